@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import table
+from weftline.llm.html_extraction import extract_main_text
+from weftline.llm.language_id import identify, language_dictionaries
 from weftline.llm.token_counts import token_counts
 
 
@@ -14,8 +16,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, language_dictionaries(docs))
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op5_html_extraction": op5_html_extraction,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
