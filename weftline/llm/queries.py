@@ -10,6 +10,12 @@ from weftline.llm.common import table
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
 from weftline.llm.token_counts import token_counts
+from weftline.llm.toxicity import learn_stems, score_toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn_stems(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +32,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
     "op9_language_id": op9_language_id,
