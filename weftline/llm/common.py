@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import shared_dir
+
 #: White space of the word rule: space, and tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,10 +6,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table
+from weftline.llm.common import new_path, table
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
+from weftline.llm.packing import pack
 from weftline.llm.token_counts import token_counts
+from weftline.llm.token_files import document_digests, read_token_files, write_token_files
 from weftline.llm.toxicity import learn_stems, score_toxicity
 
 
@@ -26,16 +28,28 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, language_dictionaries(docs))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return document_digests(read_token_files(spark, path))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
+    "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}
