@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import new_path, table
+from weftline.llm.decontamination import find_leaks
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
 from weftline.llm.packing import pack
@@ -28,6 +29,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
