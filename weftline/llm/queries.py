@@ -10,6 +10,7 @@ from weftline.llm.common import new_path, table
 from weftline.llm.decontamination import find_leaks
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
+from weftline.llm.near_duplicates import near_duplicates
 from weftline.llm.packing import pack
 from weftline.llm.token_counts import token_counts
 from weftline.llm.token_files import document_digests, read_token_files, write_token_files
@@ -37,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, language_dictionaries(docs))
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
