@@ -40,3 +40,11 @@ def words(text: Column) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def window_hashes(found: Column, width: int) -> Column:
+    """Hashes of all windows of ``width`` words, in order; none if there are fewer words."""
+    hashes = F.transform(found, lambda w: F.xxhash64(w))
+    starts = F.when(F.size(found) >= width, F.sequence(F.lit(1), F.size(found) - (width - 1)))
+    each = lambda own: F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(own, i, F.lit(width))))
+    return let(hashes, each)

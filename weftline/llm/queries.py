@@ -10,13 +10,25 @@ from weftline.llm.common import new_path, table
 from weftline.llm.decontamination import find_leaks
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
+from weftline.llm.license_scan import scan_licenses
 from weftline.llm.near_duplicates import near_duplicates
+from weftline.llm.oracles import ORACLES  # noqa: F401  part of what is registered
 from weftline.llm.packing import pack
+from weftline.llm.quality_rules import judge
 from weftline.llm.token_counts import token_counts
 from weftline.llm.token_files import document_digests, read_token_files, write_token_files
 from weftline.llm.toxicity import learn_stems, score_toxicity
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the number of windows that met depends on the hash functions, so it is no part of the result
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("n_windows")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, learn_stems(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +66,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
@@ -64,4 +78,3 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
