@@ -26,7 +26,7 @@ PLAIN = re.compile("[ \\t\\n\\r]+")
 WORD = re.compile("([ \\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
 #: Most bytes of text that are cut up at once, and most different pieces that a worker remembers.
-SLICE_BYTES, MEMO = 16 << 20, 700_000
+SLICE_BYTES, MEMO = 8 << 20, 500_000
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -58,6 +58,7 @@ class PieceCodec:
         # fixed values: how the byte-level alphabet writes the bytes that aren't printable
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(kept)))}
+        self.marks = {c: self.tokenizer.model.tokenize(self.alphabet[ord(c)])[0].id for c in ".,\n"}
         self.clear()
 
     @classmethod
@@ -67,6 +68,11 @@ class PieceCodec:
             _codecs[path] = cls(path, drops_space)
         return _codecs[path]
 
+    @staticmethod
+    def release() -> None:
+        """Free what this worker remembers, where it goes on to other work."""
+        _codecs.clear()
+
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
@@ -75,18 +81,30 @@ class PieceCodec:
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces: simple words by the library's model, all others by its whole pipeline."""
-        model, found = self.tokenizer.model.tokenize, [WORD.fullmatch(p) for p in pieces]
-        spell = lambda s: s.encode().decode("latin-1").translate(self.alphabet)
+        found = [WORD.fullmatch(p) for p in pieces]
         others = [p for p, m in zip(pieces, found, strict=True) if m is None]
         rest = iter([e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else [])
+        # spelled in the byte-level alphabet all at once; no word holds a newline
+        words = [m[2].lower() if self.drops_space else m[2] if m[1] == "\n" else m[1] + m[2] for m in found if m is not None]
+        spelled = iter("\n".join(words).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[10]))
+        tokenize, get, marks = self.tokenizer.model.tokenize, self.code.get, self.marks
         out = []
         for m in found:
             if m is None:
                 out.append(next(rest))
                 continue
-            space, word, mark = m.groups()
-            parts = [word.lower()] if self.drops_space else [space + word] if space != "\n" else [space, word]
-            out.append([t.id for part in (*parts, mark) if part for t in model(spell(part))])
+            space, _, mark = m.groups()
+            word = next(spelled)
+            if mark and (known := get(m.string[:-1])) is not None:
+                # the same word without its mark is known, with all that comes before the word
+                ids = self.pool[self.starts[known] : self.starts[known] + self.lengths[known]].tolist()
+            else:
+                ids = [t.id for t in tokenize(word)]
+                if space == "\n" and not self.drops_space:
+                    ids.insert(0, marks["\n"])
+            if mark:
+                ids.append(marks[mark])
+            out.append(ids)
         return out
 
     def _add(self, pieces: list[str]) -> None:
