@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, text_of
 from weftline.llm.transducers import Transducer
+from weftline.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
 #: The fit: labelled documents of each class at most, documents with a stem at least, odds over the other class.
 SAMPLE, LEAST_DOCS, LEAST_ODDS, MOST_STEMS = 5000, 3, 20.0, 400
 SHORTEST, LONGEST = 4, 9
+#: Score of a text without any match.
+NONE = 0.02
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_matches int"
 
 # fixed values: a general lexicon, by class; a stem stands for every word that begins with it, unless it ends in $
@@ -89,7 +92,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
         share = F.when(F.col("toxic") == label, F.lit(min(1_000_000, int(1_000_000 * most / n)))).otherwise(share)
     known = known.where(order < share)
     texts = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(known, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # the sample's ids are few, so they go to the texts
+    sample = texts.join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return materialize(sample, "toxicity-sample")
 
 
 def stems_of(text: Column) -> Column:
@@ -187,9 +192,16 @@ class Scorer:
                 matches += 1
         return 1 - rest, matches
 
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of matches of texts, null as empty; only texts with a stem are read word by word."""
+        out, matches = np.full(len(texts), NONE), np.zeros(len(texts), np.int32)
+        lower = pc.utf8_lower(pc.fill_null(texts, ""))
+        for i in pc.indices_nonzero(pc.match_substring_regex(lower, self.prefilter)).to_pylist():
+            value, matches[i] = self.score(lower[i].as_py())
+            out[i] = max(NONE, value)
+        return out, matches
+
 
-#: Score of a text without any match.
-NONE = 0.02
 
 
 def score_toxicity(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
@@ -203,12 +215,7 @@ def score_toxicity(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
         for batch in batches:
-            n = batch.num_rows
-            scores, matches = np.full(n, NONE), np.zeros(n, np.int32)
-            lower = pc.utf8_lower(batch.column(2))
-            for i in pc.indices_nonzero(pc.match_substring_regex(lower, scorer.prefilter)).to_pylist():
-                value, matches[i] = scorer.score(lower[i].as_py())
-                scores[i] = max(NONE, value)
+            scores, matches = scorer.scores(batch.column(2))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(matches)],
                 ["doc_id", "held_out", "score", "predicted", "n_matches"],
@@ -216,3 +223,15 @@ def score_toxicity(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text_of().cast("string").alias("text")).mapInArrow(score, SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``text`` isn't predicted to be toxic."""
+    bound, at = docs.sparkSession.sparkContext.broadcast(learned), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(bound.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at))[0] < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
