@@ -87,43 +87,47 @@ class Encoders:
         return out
 
 
+def predict(encoders: Encoders, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the language with the smallest encoding (-1: none) and its relative margin to the second."""
+    n, at = len(texts), 0
+    best, margin = np.full(n, -1), np.zeros(n)
+    while at < n and encoders.langs:
+        pieces, owner, chars = [], [], 0
+        while at < n and chars < SLICE:
+            if LETTER.search(texts[at] or ""):
+                own = segments(normal(texts[at]))
+                pieces += own
+                owner += [at] * len(own)
+                chars += len(texts[at])
+            at += 1
+        if not pieces:
+            continue
+        sizes, rows = encoders.sizes(pieces), np.array(owner)
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        total, rows = np.add.reduceat(sizes, first), rows[first]
+        best[rows] = total.argmin(1)
+        if total.shape[1] > 1:
+            two = np.partition(total, 1, axis=1)
+            margin[rows] = (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1)
+        else:
+            margin[rows] = 1.0
+    return best, margin
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = MARGIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and rejected of each row of ``docs(doc_id, text)``; no shuffle.
 
     ``margin`` is how much larger the second smallest encoding is, relative to it; ``score`` is 1 - exp(-50 margin).
     A text that is null or has no letter is ``und`` with score 0 and rejected; so is any text where no language was
     learned. A margin below ``least_margin`` is rejected, but the language still named; equal sizes go to the name
-    that comes first. The dictionaries are broadcast; their size is bounded by the fit.
+    that comes first. Repeated rows give repeated results. The dictionaries are broadcast; the fit bounds their size.
     """
     bound = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(bound.value)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            n = len(texts)
-            best, margin = np.full(n, -1), np.zeros(n)
-            at = 0
-            while at < n and encoders.langs:
-                pieces, owner, chars = [], [], 0
-                while at < n and chars < SLICE:
-                    if LETTER.search(texts[at] or ""):
-                        own = segments(normal(texts[at]))
-                        pieces += own
-                        owner += [at] * len(own)
-                        chars += len(texts[at])
-                    at += 1
-                if not pieces:
-                    continue
-                sizes, rows = encoders.sizes(pieces), np.array(owner)
-                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                total, rows = np.add.reduceat(sizes, first), rows[first]
-                best[rows] = total.argmin(1)
-                if total.shape[1] > 1:
-                    two = np.partition(total, 1, axis=1)
-                    margin[rows] = (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1)
-                else:
-                    margin[rows] = 1.0
+            best, margin = predict(encoders, batch.column(2).to_pylist())
             names = [encoders.langs[b] if b >= 0 else "und" for b in best]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(1 - np.exp(-50 * margin)), pa.array(margin), pa.array((best < 0) | (margin < least_margin))],
@@ -131,4 +135,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
             )
 
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text_of().cast("string").alias("text")).mapInArrow(predict, SCHEMA)
+    return docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text_of().cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``text`` isn't rejected."""
+    bound, at = docs.sparkSession.sparkContext.broadcast(dictionaries), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = Encoders(bound.value)
+        for batch in batches:
+            best, margin = predict(encoders, batch.column(at).to_pylist())
+            yield batch.filter(pa.array((best >= 0) & (margin >= least_margin)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -170,3 +170,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = found.join(result, "set_key", "left")
     own = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.when(own, F.coalesce("class", "doc_id")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def drop_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that belong to another document's class.
+
+    Of equal rows one stays; rows without a doc_id, which have no class, all stay.
+    """
+    others = near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__other_class")).distinct()
+    kept = docs.join(others, F.col("doc_id").cast("long") == others["__other_class"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])

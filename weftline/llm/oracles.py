@@ -48,7 +48,7 @@ def quality_sql() -> str:
     FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM words) LEFT JOIN covered USING (rid)),
   judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
   good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0),
-  held AS (SELECT j.* FROM judged j JOIN good USING (doc_id) WHERE NOT base_failed AND crc32(doc_id::VARCHAR) % {FOLDS} <> {AUDIT}),
+  held AS (SELECT j.* FROM judged j JOIN good USING (doc_id) WHERE NOT base_failed AND doc_id % {FOLDS} <> {AUDIT}),
   counts AS (SELECT stratum, rule, cut, count(*) AS n, sum(({case} >= cut)::INT)::BIGINT AS k FROM held, (VALUES {grid}) AS g(rule, cut) GROUP BY ALL),
   safe AS (
     SELECT stratum, rule, min(cut) AS cut FROM counts

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, let, text_of, window_hashes, words
+from weftline.llm.common import let, text_of, window_hashes, words
 from weftline.session import materialize
 
 #: False rejections allowed per stratum over all rules, and the probability that any statement about them is wrong.
 RISK, ERROR = 0.05, 0.05
-#: Rows to choose from are those whose fold isn't AUDIT, which is left for an audit of the choice.
+#: Rows to choose from are those whose fold, doc_id modulo FOLDS, isn't AUDIT, which is left for an audit of the choice.
 FOLDS, AUDIT = 4, 0
 #: Strata that a broadcast of the cutoffs holds at most; with more they are joined by a shuffle.
 MOST_STRATA = 10_000
@@ -94,7 +94,7 @@ def choose_cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error
     doc_id = F.col("doc_id").cast("long")
     good = labels.select(doc_id.alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     good = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality > 0")
-    held = rows.where(~F.col("base_failed") & (crc_mod(F.col("doc_id"), FOLDS) != AUDIT)).join(good, "doc_id")
+    held = rows.where(~F.col("base_failed") & (F.pmod(F.col("doc_id"), F.lit(FOLDS)) != AUDIT)).join(good, "doc_id")
     rejects = [F.sum((F.expr(value) >= cut).cast("long")).alias(f"{name}_{cut}") for name, value, cuts in RULES for cut in cuts]
     counts = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *rejects), "rule-counts")
     tests = counts.count() * sum(len(cuts) for _, _, cuts in RULES)
