@@ -15,7 +15,7 @@ from weftline.llm.common import let, text_of, window_hashes, words
 from weftline.session import materialize
 
 #: False rejections allowed per stratum over all rules, and the probability that any statement about them is wrong.
-RISK, ERROR = 0.05, 0.05
+RISK, ERROR = 0.03, 0.05
 #: Rows to choose from are those whose fold, doc_id modulo FOLDS, isn't AUDIT, which is left for an audit of the choice.
 FOLDS, AUDIT = 4, 0
 #: Strata that a broadcast of the cutoffs holds at most; with more they are joined by a shuffle.
@@ -26,10 +26,10 @@ WHITE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: cutoff is rejected.
 RULES = (
     ("symbols", "1000 * n_symbols div greatest(word_chars, 1)", (400, 300, 200, 100, 50, 20)),
-    ("repeats", "1000 * n_repeat_words div greatest(n_words, 1)", (190, 150, 100, 60, 30, 10)),
-    ("dup_lines", "1000 * n_dup_lines div greatest(n_words, 1)", (200, 100, 50, 20, 10, 5)),
-    ("long_words", "10 * word_chars div greatest(n_words, 1)", (200, 150, 120, 100, 90, 80)),
-    ("few_words", "1000 div greatest(n_words, 1)", (83, 66, 50, 33, 25, 20)),
+    ("repeats", "1000 * n_repeat_words div greatest(n_words, 1)", (190, 150)),
+    ("dup_lines", "1000 * n_dup_lines div greatest(n_words, 1)", (200, 100, 50)),
+    ("long_words", "10 * word_chars div greatest(n_words, 1)", (200, 150, 120, 100)),
+    ("few_words", "1000 div greatest(n_words, 1)", (83, 66, 50)),
 )
 
 
