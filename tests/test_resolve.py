@@ -147,6 +147,28 @@ def test_incremental_facts_equal_a_full_build(spark, built, tree, tmp_path):
     assert graph.freshness(facts, current).first().asDict() == {"n_changed": 2, "n_added": 1, "n_deleted": 1}
 
 
+def test_path_aliases(spark):
+    configs = {
+        "tsconfig.json": '{ "extends": "./base", "compilerOptions": { "paths": { "@app/*": ["src/*"], "@app/x/*": ["lib/*", "src/x/*"], "one": ["src/one.ts"], }, } }',
+        "base.json": '{ // a comment\n "compilerOptions": { "baseUrl": ".", "paths": {"no": ["no"]} } }',
+        "sub/tsconfig.json": '{"extends": "../tsconfig.json"}',
+        "loop/tsconfig.json": '{"extends": "./tsconfig"}',
+    }
+    sources = {
+        "src/a.ts": 'import "@app/b"; import "@app/x/c"; import "one"; import "src/b"; import "react"; import "./b"; import "no";',
+        "src/b.ts": "", "src/x/c.ts": "", "src/one.ts": "", "sub/d.ts": 'import "@app/b";', "loop/e.ts": 'import "@app/b";',
+    }
+    rows = [(p, t, p, "typescript" if p.endswith(".ts") else None, False) for p, t in (configs | sources).items()]
+    files = spark.createDataFrame(rows, "path string, content string, content_hash string, lang string, is_test boolean")
+    aliases = resolve.path_aliases(files)
+    assert {(r.folder, r.pattern): r.targets for r in aliases.collect()}["sub", "@app/*"] == ["src/*"]
+    got = {(r.src, r.specifier): r.target for r in resolve.resolve_imports(fx.extract(files), repository.packages(files), aliases).collect()}
+    assert got == {
+        ("src/a.ts", "@app/b"): "src/b.ts", ("src/a.ts", "@app/x/c"): "src/x/c.ts", ("src/a.ts", "one"): "src/one.ts", ("src/a.ts", "src/b"): "src/b.ts",
+        ("src/a.ts", "react"): None, ("src/a.ts", "./b"): "src/b.ts", ("src/a.ts", "no"): None, ("sub/d.ts", "@app/b"): "src/b.ts", ("loop/e.ts", "@app/b"): None,
+    }
+
+
 def test_path_functions(spark):
     rows = spark.createDataFrame([("a/./b/../c//d",), ("../x",), ("",), ("a/b/c.ts",)], "p string").select(resolve.normal_path(F.col("p")), resolve.folder(F.col("p")), resolve.ancestors(F.col("p"))).collect()
     assert [r[0] for r in rows] == ["a/c/d", "x", "", "a/b/c.ts"] and rows[3][1] == "a/b" and [a.folder for a in rows[3][2]] == ["", "a", "a/b"]

@@ -23,6 +23,10 @@ NODE_MODULES = (
 ).split()
 
 
+#: Configs that one can extend, one after the other.
+MOST_EXTENDS = 16
+
+
 def normal_path(path: Column) -> Column:
     """A path without empty, ``.`` and ``..`` parts."""
     step = lambda acc, part: F.when(part.isin("", "."), acc).when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, part))
@@ -60,7 +64,56 @@ def import_name(lang: Column, specifier: Column) -> Column:
     return F.when(lang == "python", F.substring_index(specifier, ".", 1)).when(F.startswith(specifier, F.lit("@")), F.regexp_extract(specifier, "^@[^/]+/[^/]+", 0)).otherwise(F.substring_index(specifier, "/", 1))
 
 
-def resolve_imports(facts: DataFrame, packages: DataFrame) -> DataFrame:
+def path_aliases(files: DataFrame) -> DataFrame:
+    """folder, pattern, rank, targets of the path aliases of each tsconfig.json, and for each a row with a null pattern
+    whose target is the base folder, if a ``baseUrl`` is set.
+
+    What a config doesn't say itself comes from the one that it extends by a relative path, and so on; a cycle ends the
+    chain. Of patterns an exact one ranks first, then those with the longest beginning.
+    """
+    named = files.where(F.substring_index("path", "/", -1).rlike(r"^[\w.-]*\.json$") & ~F.substring_index("path", "/", -1).isin("package.json", "package-lock.json"))
+    read = materialize(named.select("path", "content").mapInPandas(_read_configs, "path string, parent string, base string, aliases array<struct<pattern: string, targets: array<string>>>"), "configs")
+    chain = read.where(F.substring_index("path", "/", -1) == "tsconfig.json").select(F.col("path").alias("config"), "parent", "base", "aliases")
+    up = read.select(F.col("path").alias("parent"), F.col("parent").alias("next"), F.col("base").alias("up_base"), F.col("aliases").alias("up_aliases"))
+    for _ in range(MOST_EXTENDS):
+        if chain.where("parent is not null").isEmpty():
+            break
+        chain = materialize(chain.join(up, "parent", "left").select("config", F.col("next").alias("parent"), F.coalesce("base", "up_base").alias("base"), F.coalesce("aliases", "up_aliases").alias("aliases")), "configs")
+    rows = chain.select(folder(F.col("config")).alias("folder"), "base", F.explode_outer("aliases").alias("a")).select("folder", "base", "a.*").where("pattern is not null")
+    star = F.instr("pattern", "*")
+    out = rows.select("folder", "pattern", F.when(star > 0, star - 1).otherwise(1_000_000).alias("rank"), "targets")
+    plain = chain.select(folder(F.col("config")).alias("folder"), F.lit(None).cast("string").alias("pattern"), F.lit(-1).alias("rank"), F.array_compact(F.array("base")).alias("targets"))
+    return out.unionAll(plain)
+
+
+def _read_configs(batches):
+    import json
+    import posixpath
+    import re
+
+    import pandas as pd
+
+    # comments and commas before a closing bracket go; strings are passed over
+    extra = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/|,(?=\s*[}\]])', re.S)
+    for batch in batches:
+        out = []
+        for path, content in batch.itertuples(index=False):
+            try:
+                data = json.loads(extra.sub(lambda m: m[1] or "", extra.sub(lambda m: m[1] or ("," if m[0] == "," else ""), content or "")))
+                options = data.get("compilerOptions") or {}
+                own = posixpath.dirname(path)
+                parent = data.get("extends")
+                parent = posixpath.normpath(posixpath.join(own, parent if parent.endswith(".json") else f"{parent}.json")) if isinstance(parent, str) and parent.startswith(".") else None
+                base = posixpath.normpath(posixpath.join(own, options["baseUrl"])) if isinstance(options.get("baseUrl"), str) else None
+                paths = options.get("paths")
+                aliases = None if not isinstance(paths, dict) else [{"pattern": k, "targets": [posixpath.normpath(posixpath.join(base if base is not None else own, t)) for t in v]} for k, v in paths.items()]
+            except (ValueError, AttributeError, TypeError):
+                continue
+            out.append((path, parent, base, aliases))
+        yield pd.DataFrame(out, columns=["path", "parent", "base", "aliases"])
+
+
+def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """The imports with ``target`` (a file, or null), ``exact``, and for others ``external`` and ``declared``.
 
     Candidates are tried in the order of their ranks; what is only found by a guess at a package's layout isn't exact.
@@ -73,6 +126,21 @@ def resolve_imports(facts: DataFrame, packages: DataFrame) -> DataFrame:
     ranked = lambda array, first, exact: F.transform(array, lambda p, k: F.struct((k + first).alias("rank"), p.alias("candidate"), F.lit(exact).alias("exact")))
     relative = script.where(spec.rlike(r"^\.{1,2}(/|$)|^/")).select(*key, F.explode(ranked(probes(join_path(F.when(F.startswith(spec, F.lit("/")), "").otherwise(own_folder), spec)), 0, True)).alias("c"))
 
+    if configs is not None:
+        # the nearest config decides; of its patterns the best that fits, and then its base folder
+        holders = script.where(~spec.rlike(r"^\.{1,2}(/|$)|^/")).select(*key, "specifier", F.explode(ancestors(F.col("src"))).alias("a")).select(*key, "specifier", "a.*")
+        nearest = holders.join(configs.select("folder").distinct(), "folder").groupBy(*key, "specifier").agg(F.max_by("folder", "depth").alias("folder"))
+        before, after = F.substring_index("pattern", "*", 1), F.expr("substring(pattern, instr(pattern, '*') + 1)")
+        wild = F.instr("pattern", "*") > 0
+        fits = F.when(F.col("pattern").isNull(), True).when(wild, F.startswith("specifier", before) & F.endswith("specifier", after) & (F.length("specifier") >= F.length("pattern") - 1)).otherwise(F.col("pattern") == F.col("specifier"))
+        inner = F.expr("substring(specifier, instr(pattern, '*'), length(specifier) - length(pattern) + 1)")
+        matched = nearest.join(configs, "folder").where(fits)
+        best = matched.groupBy(*key, F.col("pattern").isNull().alias("plain")).agg(F.max_by(F.struct("pattern", "targets", "specifier"), "rank").alias("m")).select(*key, "plain", "m.*")
+        put = F.when(F.col("plain"), F.transform("targets", lambda t: join_path(t, F.col("specifier")))).otherwise(F.transform("targets", lambda t: F.when(wild, F.replace(t, F.lit("*"), inner)).otherwise(t)))
+        # ranks 50 and above: after relative paths, before packages
+        aliased = best.select(*key, "plain", F.flatten(F.transform(put, probes)).alias("tried")).select(*key, F.explode(F.transform("tried", lambda p, k: F.struct((F.when(F.col("plain"), 75).otherwise(50) + k / 10_000).cast("double").alias("rank"), p.alias("candidate"), F.lit(True).alias("exact")))).alias("c"))
+        relative = relative.select(*key, F.struct(F.col("c.rank").cast("double").alias("rank"), "c.candidate", "c.exact").alias("c")).unionAll(aliased)
+
     named = packages.select(F.col("path").alias("home"), F.col("name").alias("package"), "entries")
     workspace = script.where(~spec.rlike(r"^[./]")).withColumn("package", import_name(F.col("lang"), spec)).join(named, "package")
     rest = F.expr("substring(specifier, length(package) + 2)")
@@ -93,7 +161,7 @@ def resolve_imports(facts: DataFrame, packages: DataFrame) -> DataFrame:
     plain = roots.select(*key, F.explode(ranked(F.concat(base(), base(F.lit("src"))), F.lit(1000) - 10 * F.col("depth"), True)).alias("c"))
 
     known = facts.select(F.col("path").alias("target"))
-    candidates = relative.unionAll(workspace).unionAll(dotted).unionAll(plain).select(*key, "c.*")
+    candidates = relative.select(*key, "c.*").unionAll(workspace.select(*key, "c.*")).unionAll(dotted.select(*key, "c.*")).unionAll(plain.select(*key, "c.*"))
     hits = candidates.join(known, F.col("candidate") == F.col("target")).groupBy(*key).agg(F.min_by(F.struct("target", "exact"), "rank").alias("hit"))
 
     outside = imports.withColumn("package", import_name(F.col("lang"), spec))
@@ -185,13 +253,13 @@ def resolve_names(requests: DataFrame, own: DataFrame, links: DataFrame, stars:
         answers = answers.unionAll(known)
 
 
-def build_edges(facts: DataFrame, packages: DataFrame) -> DataFrame:
+def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """src, dst, kind, exact, line of all edges, one row per occurrence; ``graph.merge_edges`` makes them one each.
 
     Edges of test files are of kind tests, but for those to externals; an edge to a whole module is an import of it.
     """
     facts = materialize(facts, "facts")
-    resolved = materialize(resolve_imports(facts, packages), "imports")
+    resolved = materialize(resolve_imports(facts, packages, configs), "imports")
     own, links, stars = aliases(facts, resolved)
     bound = materialize(bindings_of(resolved), "bindings")
     uses = facts.select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.where("kind not in ('reexport')").select("src", "local", "imported", "target", "exact"), ["src", "local"])
@@ -248,10 +316,10 @@ def file_edges(edges: DataFrame) -> DataFrame:
     return rows.where("src <> dst").groupBy("src", "dst", "kind").agg(F.max("exact").alias("exact"))
 
 
-def published_api(facts: DataFrame, packages: DataFrame) -> DataFrame:
+def published_api(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """module, symbol that can be reached from the entry files of published packages."""
     facts = materialize(facts, "facts")
-    resolved = materialize(resolve_imports(facts, packages), "imports")
+    resolved = materialize(resolve_imports(facts, packages, configs), "imports")
     own, links, stars = aliases(facts, resolved)
     home = packages.where("published")
     index = F.concat(F.flatten(F.transform("entries", lambda e: F.concat(probes(join_path(F.col("path"), e)), probes(join_path(F.col("path"), F.regexp_replace(F.regexp_replace(e, "(^|/)(dist|build|lib|out)/", "$1src/"), r"\.[cm]?jsx?$", "")))))), probes(join_path(F.col("path"), F.lit("src"))), probes(F.col("path")))
