@@ -17,16 +17,16 @@ def closure(deps: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
     joined twice at most. A path is exact if all its hops are, a node if some path to it is; at a bound of ``depth``
     hops, if some exact path is that short. The target is never part of its own closure and is not walked through.
     Each round's rows are written to the shared folder, which keeps plans short and survives lost executors. Cycles
-    and duplicate edges are fine; rows with nulls reach nothing.
+    and duplicate edges are fine; rows with null ends reach nothing, a null confidence counts as heuristic.
     """
-    deps = deps.select(F.col("src").alias("next"), F.col("dst").alias("id"), F.col("exact").alias("hop"))
-    new = materialize(seeds.where("id <> target").groupBy("target", "id").agg(F.max("exact").alias("exact")), "closure")
+    deps = deps.select(F.col("src").alias("next"), F.col("dst").alias("id"), F.coalesce("exact", F.lit(False)).alias("hop"))
+    new = materialize(seeds.where("id <> target").groupBy("target", "id").agg(F.coalesce(F.max("exact"), F.lit(False)).alias("exact")), "closure")
     rounds = [new]
     while (depth is None or len(rounds) < depth) and not new.isEmpty():
-        known = best(rounds)
         found = new.join(deps, "id").where("next <> target").groupBy("target", F.col("next").alias("id")).agg(F.max(F.col("exact") & F.col("hop")).alias("exact"))
-        seen = known.withColumnRenamed("exact", "had")
-        new = materialize(found.join(seen, ["target", "id"], "left").where("had is null or (exact and not had)").drop("had"), "closure")
+        known = reduce(DataFrame.unionAll, rounds).toDF("of", "at", "had")
+        as_good = (F.col("target") == F.col("of")) & (F.col("id") == F.col("at")) & (F.col("had") | ~F.col("exact"))
+        new = materialize(found.join(known, as_good, "left_anti"), "closure")
         rounds.append(new)
     return best(rounds)
 
