@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Characters of text that are encoded at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
