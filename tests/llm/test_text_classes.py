@@ -110,6 +110,25 @@ def test_pages(spark):
     assert html_extraction.extract_main_text(pages.limit(0)).count() == 0
 
 
+STORY = [f"{prose(60, i)}, {prose(9, i + 50)}. {prose(20, i + 90)}, and so on." for i in range(3)]
+PARAGRAPHS = "".join(f"<p>{s}</p>" for s in STORY)
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        ("".join(f"<article class=teaser><h2>Card {i}</h2><p>Read more here</p></article>" for i in range(4)) + f"<div>{PARAGRAPHS}</div>", STORY),
+        (f'<article>{PARAGRAPHS}</article><article class="hentry comment"><p>{prose(50, 7)}</p></article><article id="comment-12"><p>{prose(50, 8)}</p></article>', STORY),
+        (f"<article><h1>Head</h1><p>{STORY[0]}</p></article><div><p>{STORY[1]}</p><p>{STORY[2]}</p></div>", ["Head", *STORY]),
+        (f"<main><section>{PARAGRAPHS}</section><ul><li>Home<li>News<li>Sport<li>Help</ul></main>", STORY),
+        (f'<article class="post sponsored"><h1>Head</h1><div>{PARAGRAPHS}<table><tr><td>1</td><td>2</td></tr></table></div></article>', ["Head", *STORY, "1", "2"]),
+    ],
+    ids=["article teasers", "article comments", "text outside article", "links in main", "table in article"],
+)
+def test_ratios_decide_within_and_outside_articles(page, blocks):
+    assert html_extraction.main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
+
+
 def test_long_and_broken_pages():
     assert html_extraction.main_text("<p>" * 20_000 + "x") == "x"
     assert html_extraction.main_text('<a href="' * 3000 + "y") is not None

@@ -2,7 +2,8 @@
 
 A page is read as a list of text nodes, each with its root-to-leaf path of tags. Per path the text length and the
 punctuation are summed and divided by its nodes; the ratios are smoothed over the page order, fused with those of
-the enclosing container, and paths over a threshold are the content.
+the enclosing container (and, within an article or main element, of that element), and nodes over a threshold are
+the content.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ NOT_ARTICLE = frozenset(
     " share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: Names by which an article is a reader's comment; such articles often carry a number.
+COMMENT = frozenset("comment comments commentlist disqus reply replies".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -60,16 +64,21 @@ def is_other(tag: str, attributes: str) -> bool:
     """Whether an element is a menu, header, advert or the like, by its kind or its names."""
     if tag in SKIPPED:
         return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(name.rstrip("0123456789-_") in COMMENT for found in NAMES.findall(attributes) for name in "".join(found).lower().split())
     if HIDDEN.search(attributes):
         return True
     return any(part in NOT_ARTICLE for found in NAMES.findall(attributes) for part in PARTS.split("".join(found).lower()))
 
 
-def text_nodes(page: str) -> list[tuple[str, str, str, bool]]:
-    """(path, container path, block text, within article or main) of the blocks of a page, in page order."""
-    out: list[tuple[str, str, str, bool]] = []
+def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
+    """(path, container path, block text, wider paths) of the blocks of a page, in page order.
+
+    Within an article or main the wider paths are those of this element and of the nearest container that is no table.
+    """
+    out: list[tuple[str, str, str, tuple[str, ...]]] = []
     stack: list[str] = []
     skips: list[bool] = []
     held: list[str] = []
@@ -79,7 +88,10 @@ def text_nodes(page: str) -> list[tuple[str, str, str, bool]]:
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
                 at = max((i for i, t in enumerate(stack) if t in CONTAINER), default=-1)
-                out.append(("/".join(stack), "/".join(stack[: at + 1]), text, "article" in stack or "main" in stack))
+                core = max((i for i, t in enumerate(stack) if t in ("article", "main")), default=-1)
+                outer = max((i for i, t in enumerate(stack) if t in CONTAINER and t not in ("table", "td")), default=-1)
+                wider = () if core < 0 else tuple("/".join(stack[: i + 1]) for i in {core, outer})
+                out.append(("/".join(stack), "/".join(stack[: at + 1]), text, wider))
             held.clear()
 
     def pop(to: int) -> None:
@@ -132,8 +144,6 @@ def text_nodes(page: str) -> list[tuple[str, str, str, bool]]:
 def main_text(page: str) -> str:
     """Blocks of the content paths of one page, joined by newlines; empty if there are none."""
     nodes = text_nodes(page)
-    if any(n[3] for n in nodes):
-        nodes = [n for n in nodes if n[3]]
     if not nodes:
         return ""
     sums: dict[str, list[float]] = {}
@@ -144,12 +154,14 @@ def main_text(page: str) -> str:
             one[0], one[1], one[2] = one[0] + len(text), one[1] + marks, one[2] + 1
     ratio = {k: (chars / n) * (1 + marks / n) for k, (chars, marks, n) in sums.items()}
     own = np.array([ratio[n[0]] for n in nodes])
-    around = np.array([ratio[n[1] + "//"] for n in nodes])
+    around = np.array([max(ratio.get(key + "//", 0.0) for key in (n[1], *n[3])) for n in nodes])
     padded = np.pad(own, 2, mode="edge")
     smooth = np.convolve(padded, KERNEL / KERNEL.sum(), mode="valid")
     fused = np.maximum(np.sqrt(own * smooth), around)
-    within = np.array([n[3] for n in nodes])
-    kept = within | (fused >= THRESHOLD * fused.max())
+    for i in range(len(nodes) - 2, -1, -1):  # a heading goes with what it heads
+        if not HEADINGS.isdisjoint(nodes[i][0].split("/")):
+            fused[i] = max(fused[i], fused[i + 1])
+    kept = fused >= THRESHOLD * fused.max()
     return "\n".join(n[2] for n, k in zip(nodes, kept, strict=True) if k)
 
 
