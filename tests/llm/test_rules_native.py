@@ -44,6 +44,32 @@ def test_license_bands_meet_every_notice_at_any_place(spark):
         assert {(i, name), (100 + i, name)} <= exact
 
 
+def test_license_bands_keep_their_guarantee(spark):
+    one = F.array(*(F.xxhash64("id", F.lit(i)) for i in range(license_scan.WINDOW)))
+    rows = spark.range(100_000).select(license_scan.bands(F.slice(one, 1, 1)).alias("a"), license_scan.bands(one).alias("b"))
+    missed = rows.where(~F.exists(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same)).count()
+    assert missed <= 2 * 100_000 * (1 - license_scan.collision_probability(1))
+
+
+def test_license_guarantee_holds_at_every_place(spark):
+    hashes = F.sequence(F.lit(0), F.col("id") - 1)
+    rows = spark.range(1, 15).select("id", license_scan.windows(hashes, license_scan.STRIDE).alias("windows"), license_scan.end_windows(hashes).alias("ends")).collect()
+    for n, found, ends in rows:
+        assert [0] in found + ends and [n - 1] in found + ends
+        for size in range(1, n + 1):
+            for start in range(n - size + 1):
+                own = [set(range(i, i + min(size, license_scan.WINDOW))) for i in range(start, start + max(1, size - license_scan.WINDOW + 1))]
+                best = max(len(o & set(w)) / len(o | set(w)) for o in own for w in found)
+                assert 1 - (1 - best) ** license_scan.BANDS >= license_scan.collision_probability(size)
+
+
+def test_license_notices_of_one_shingle_are_found_at_both_ends(spark):
+    notice = "Released under the MIT License."
+    rows = [(i, f"{notice} {prose(20 + i % 2, i)}" if i % 4 < 2 else f"{prose(20 + i % 2, i)} {notice}") for i in range(4000)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.where("license = 'MIT'").collect()} == set(range(4000))
+
+
 def base_of(text):
     text = text or ""
     found = words_of(text)

@@ -43,14 +43,16 @@ CONTAINMENT = 0.8
 
 
 def collision_probability(template_shingles: int) -> float:
-    """Least probability that an unedited template of so many shingles meets a window in some band.
+    """Least probability that an unedited template of so many shingles meets a window in some band, wherever it is.
 
-    A template of up to WINDOW - STRIDE + 1 shingles lies whole within a window and has a Jaccard similarity of its
-    size over WINDOW with it; a longer one covers a window at least, which equals a window of the template. One
-    shingle gives 1 - (3/4)**32 = 0.9999.
+    Every run of up to WINDOW - STRIDE + 1 shingles lies whole within a window, also at both ends of a text. A
+    template of so many has a Jaccard similarity of its size over WINDOW with that window at least; a longer one
+    shares as many shingles with a window of its own at least, one of WINDOW + STRIDE - 1 covers a window. Each band
+    hashes anew, so bands miss one another independently: one shingle gives 1 - (3/4)**32 = 0.9999.
     """
-    similarity = min(1.0, template_shingles / WINDOW)
-    return 1 - (1 - similarity) ** BANDS
+    shared = WINDOW if template_shingles >= WINDOW + STRIDE - 1 else min(template_shingles, WINDOW - STRIDE + 1)
+    own = min(template_shingles, WINDOW)
+    return 1 - (1 - shared / (WINDOW + own - shared)) ** BANDS
 
 
 def shingles(text: Column) -> Column:
@@ -59,16 +61,23 @@ def shingles(text: Column) -> Column:
 
 
 def windows(hashes: Column, stride: int) -> Column:
-    """Overlapping windows of an array of hashes; the last may be shorter, an array without hashes has none."""
-    last = F.greatest(F.lit(0), F.size(hashes) - (WINDOW - stride + 1))
-    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), last, F.lit(stride)))
+    """Overlapping windows of an array of hashes, the last of which ends with it; an array without hashes has none."""
+    last = F.greatest(F.lit(0), F.size(hashes) - WINDOW)
+    starts = F.when(F.size(hashes) > 0, F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))))
     return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.slice(hashes, i + 1, F.lit(WINDOW)))
 
 
+def end_windows(hashes: Column) -> Column:
+    """Shorter windows at the first and the last place: a notice of one shingle there is a window of its own."""
+    sizes = F.when(F.size(hashes) > 1, F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(hashes)) - 1))
+    sizes = F.coalesce(sizes, F.array().cast("array<int>"))
+    return F.concat(F.transform(sizes, lambda n: F.slice(hashes, F.lit(1), n)), F.transform(sizes, lambda n: F.slice(hashes, -n, n)))
+
+
 def bands(window: Column) -> Column:
-    """The band keys of a window: its least hash under each of BANDS masks, each of which reorders all hashes."""
-    masks = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.xxhash64(k))
-    return F.transform(masks, lambda m: F.array_min(F.transform(window, lambda h: h.bitwiseXOR(m))))
+    """The band keys of a window: the least hash of its shingles with the band's number, for each of BANDS bands."""
+    numbers = F.sequence(F.lit(1), F.lit(BANDS))
+    return F.transform(numbers, lambda k: F.array_min(F.transform(window, lambda h: F.xxhash64(h, k))))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -90,7 +99,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = CONTAINME
     wanted = sorted({h for r in known.select("own").collect() for h in r["own"]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(text_of().cast("string")).alias("hashes"))
     rows = rows.where(F.exists("hashes", lambda h: h.isin(wanted))).withColumn("text_key", F.xxhash64("hashes"))
-    each = rows.select("doc_id", "text_key", "hashes", F.posexplode(windows(F.col("hashes"), STRIDE)).alias("at", "window"))
+    each = rows.select("doc_id", "text_key", "hashes", F.posexplode(F.concat(windows(F.col("hashes"), STRIDE), end_windows(F.col("hashes")))).alias("at", "window"))
     each = each.where(F.exists("window", lambda h: h.isin(wanted)))
     each = each.select("doc_id", "text_key", "hashes", "at", F.posexplode(bands(F.col("window"))).alias("band", "key"))
     keys = known.select("template", F.explode(windows(F.col("hashes"), 1)).alias("window")).select("template", F.posexplode(bands(F.col("window"))).alias("band", "key")).distinct()
