@@ -73,6 +73,15 @@ def test_one_document_of_each_class_stays(spark, odd_docs):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    a, b, c = prose(60, 21), prose(60, 22), prose(60, 23)
+    rows = [(3, a), (5, a), (5, b), (5, c), (7, f"{b} x"), (8, f"{c} x"), (9, prose(60, 24)), (5, b), (None, a), (None, a), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(docs)) == brute(rows)
+    kept = Counter((r.doc_id, r.text) for r in nd.drop_duplicates(docs).collect())
+    assert kept == Counter([(3, a), (5, b), (5, c), (9, prose(60, 24)), (None, a), (None, a), (None, None), (None, None)])
+
+
 def test_bands_find_pairs_at_the_threshold():
     hits = 0
     rng = random.Random(2)

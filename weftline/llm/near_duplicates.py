@@ -13,7 +13,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
@@ -43,8 +43,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((least.reshape(BANDS, ROWS) * BAND_STEPS).sum(1, dtype=np.uint64) + BAND_SEEDS)
 
 
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the shingle set (null without words) and its band keys, of each row of ``docs(doc_id, text)``."""
+    """doc_id, keys of the text and of its shingle set (null without words) and the band keys, of each row of ``docs(doc_id, text)``."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +57,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             for own in shingle_sets(batch.column(1)):
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 bands.append(band_keys(own).view(np.int64) if len(own) else None)
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    return rows.mapInArrow(sketch, "doc_id long, text_key long, set_key binary, bands array<long>")
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -142,10 +148,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null) has no link and is its own class. Rows that repeat a doc_id count as one more document each; a null doc_id
     gives a null class_id and no link. Other columns are ignored; an empty table gives no rows.
     """
+    return _classes(docs).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with the keys of their texts, as one doc_id may have texts of several classes."""
     spark = docs.sparkSession
     found = materialize(sketches(docs), "sketches")
     known = found.where("set_key is not null and doc_id is not null")
-    reps = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
+    first = F.min_by(F.struct("text_key", "bands"), "doc_id").alias("first")
+    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), first).select("set_key", "least", "copies", "first.*")
+    # several sets may have the same least doc_id, so each has a number of its own, fixed once it is written
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("band", "first")
     star = banded.join(buckets, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
@@ -156,20 +170,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per_block = max(LEAST_BLOCK, min(MOST_BLOCK, groups.count() // max(1, partitions)))
     blocks = F.ceil(F.col("size") / per_block).cast("int")
     placed = groups.join(sizes, "grp").select("rep", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    placed = placed.join(reps.select("rep", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    # a repeated doc_id may have several texts: the one that was sketched first by its key stands for it
-    members = materialize(texts.join(placed, "rep").groupBy("rep").agg(F.min(F.struct("text", "grp", "blocks", "block", "copies")).alias("m")).select("rep", "m.*"), "members")
+    placed = placed.join(reps.select("rep", "copies", "least", "text_key"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    # rows may repeat: one of them has the text
+    members = materialize(texts.join(placed, ["least", "text_key"]).groupBy("rep").agg(F.min(F.struct("text", "grp", "blocks", "block", "copies")).alias("m")).select("rep", "m.*"), "members")
     spread = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
     compared = materialize(compare(spread.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")), "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "class")
+    classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "component")
+    numbered = classes.join(reps.select("rep", "least"), "rep")
+    classes = classes.join(numbered.groupBy("component").agg(F.min("least").alias("class")), "component").select("rep", "class")
     result = reps.join(links, "rep", "left").join(classes, "rep", "left")
-    result = result.select("set_key", F.coalesce("class", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    result = result.select("set_key", F.coalesce("class", "least").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = found.join(result, "set_key", "left")
     own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(own, F.coalesce("class", "doc_id")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_key", F.when(own, F.coalesce("class", "doc_id")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,6 +193,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     Of equal rows one stays; rows without a doc_id, which have no class, all stay.
     """
-    others = near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__other_class")).distinct()
-    kept = docs.join(others, F.col("doc_id").cast("long") == others["__other_class"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    others = _classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__other_class"), F.col("text_key").alias("__other_text")).distinct()
+    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    same = (F.col("doc_id").cast("long") == others["__other_class"]) & (text_key() == others["__other_text"])
+    return rows.join(others, same, "left_anti").dropDuplicates(["doc_id", "text", "__row"]).drop("__row")
