@@ -129,6 +129,22 @@ def test_ratios_decide_within_and_outside_articles(page, blocks):
     assert html_extraction.main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
 
 
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        (f'<div class="content has-sidebar"><article>{PARAGRAPHS}</article></div>', STORY),
+        (f'<div id="page" class="with-header"><div>{PARAGRAPHS}</div></div>', STORY),
+        (f'<div class="header fixed"><article>{PARAGRAPHS}</article><div class="ad"><p>{prose(40, 5)}</p></div></div>', STORY),
+        (f'<form id="aspnet"><div class="social"><div>{PARAGRAPHS}</div></div></form>', STORY),
+        (f'<div>{PARAGRAPHS}</div><div class="post-comments"><div><p>{prose(900, 6)}</p></div></div>', STORY),
+        (f'<div><p>{STORY[0]} <span class="share">Share</span></p></div><div class="left-sidebar"><div><p>{prose(20, 6)}</p></div></div>', STORY[:1]),
+    ],
+    ids=["has-sidebar", "with-header", "header around article", "form around page", "long comments", "leaf regions"],
+)
+def test_names_do_not_cut_what_wraps_the_page(page, blocks):
+    assert html_extraction.main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
+
+
 def test_long_and_broken_pages():
     assert html_extraction.main_text("<p>" * 20_000 + "x") == "x"
     assert html_extraction.main_text('<a href="' * 3000 + "y") is not None

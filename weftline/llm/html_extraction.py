@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ NOT_ARTICLE = frozenset(
 
 #: Names by which an article is a reader's comment; such articles often carry a number.
 COMMENT = frozenset("comment comments commentlist disqus reply replies".split())
+#: Words in a name after which it tells what else is on the page: has-sidebar, page-with-header.
+ELSEWHERE = frozenset("has is no not with without".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -70,15 +73,27 @@ def is_other(tag: str, attributes: str) -> bool:
         return any(name.rstrip("0123456789-_") in COMMENT for found in NAMES.findall(attributes) for name in "".join(found).lower().split())
     if HIDDEN.search(attributes):
         return True
-    return any(part in NOT_ARTICLE for found in NAMES.findall(attributes) for part in PARTS.split("".join(found).lower()))
+    return not NOT_ARTICLE.isdisjoint(name_parts(attributes))
+
+
+def name_parts(attributes: str) -> set[str]:
+    """The words of class, id and role, each name up to a word that speaks of other elements."""
+    names = (PARTS.split(name) for found in NAMES.findall(attributes) for name in "".join(found).lower().split())
+    return {part for parts in names for part in takewhile(lambda p: p not in ELSEWHERE, parts)}
 
 
 def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
     """(path, container path, block text, wider paths) of the blocks of a page, in page order.
 
     Within an article or main the wider paths are those of this element and of the nearest container that is no table.
+    Containers and forms with other names are left out only once the page is read: one that holds all articles, or
+    containers with more than half of the text (comments aside), wraps the page and stays.
     """
     out: list[tuple[str, str, str, tuple[str, ...]]] = []
+    regions: list[dict] = []
+    opened: list[dict] = []
+    within: list[list[dict]] = []
+    free_core = False
     stack: list[str] = []
     skips: list[bool] = []
     held: list[str] = []
@@ -92,6 +107,9 @@ def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
                 outer = max((i for i, t in enumerate(stack) if t in CONTAINER and t not in ("table", "td")), default=-1)
                 wider = () if core < 0 else tuple("/".join(stack[: i + 1]) for i in {core, outer})
                 out.append(("/".join(stack), "/".join(stack[: at + 1]), text, wider))
+                within.append(opened[:])
+                for region in opened:
+                    region["chars"] += len(text)
             held.clear()
 
     def pop(to: int) -> None:
@@ -101,6 +119,14 @@ def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
                 flush()
             stack.pop()
             skipped -= skips.pop()
+            if opened and opened[-1]["depth"] > len(stack):
+                opened.pop()
+
+    def mark(what: str) -> None:
+        for region in reversed(opened):
+            if region[what]:
+                break
+            region[what] = True
 
     def text(s: str) -> None:
         if s and not skipped:
@@ -134,11 +160,27 @@ def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
             text(" " if tag in ("br", "img", "wbr", "input") else "")
             continue
         stack.append(tag)
-        skips.append(is_other(tag, attributes))
-        skipped += skips[-1]
+        other = is_other(tag, attributes)
+        if not skipped and tag in CONTAINER:
+            mark("nested")
+            if tag in ("article", "main") and not other:
+                mark("core")
+                free_core = free_core or not opened
+        if other and (tag == "form" or tag in CONTAINER and tag != "article") and not HIDDEN.search(attributes):
+            if not skipped:
+                opened.append({"depth": len(stack), "chars": 0, "nested": False, "core": False, "comment": not COMMENT.isdisjoint(name_parts(attributes))})
+                regions.append(opened[-1])
+            other = False
+        skips.append(other)
+        skipped += other
     text(page[at:])
     flush()
-    return out
+    if not regions:
+        return out
+    total = sum(len(n[2]) for n in out)
+    for region in regions:
+        region["wraps"] = region["core"] and not free_core or region["nested"] and not region["comment"] and 2 * region["chars"] > total
+    return [n for n, around in zip(out, within, strict=True) if all(region["wraps"] for region in around)]
 
 
 def main_text(page: str) -> str:
