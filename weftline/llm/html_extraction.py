@@ -2,14 +2,15 @@
 
 A page is read as a list of text nodes, each with its root-to-leaf path of tags. Per path the text length and the
 punctuation are summed and divided by its nodes; the ratios are smoothed over the page order, fused with those of
-the enclosing container (and, within an article or main element, of that element), and nodes over a threshold are
-the content.
+the enclosing container (and, within an article or main element, of that element) and with a weight that is low in
+elements whose kind or names speak of menus, adverts and the like. Nodes over a threshold are the content.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -28,7 +29,9 @@ BLOCK = frozenset(
     " tbody td tfoot th thead title tr ul".split()
 )
 CONTAINER = frozenset("article body div html main section table td".split())
-SKIPPED = frozenset("aside button dialog footer form header iframe label menu nav noscript object search select svg template title".split())
+ASIDE = frozenset("aside dialog footer form header label menu nav search".split())
+#: Elements whose text isn't on the page, or is part of a control.
+UNREAD = frozenset("button head iframe noscript object select svg template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Which open elements an opening tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -59,20 +62,20 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|d
 PARTS = re.compile(r"[^a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-#: Share of the page's best path ratio from which a path is content; weights of the neighbours in page order.
+#: Share of the page's best fused ratio from which a node is content; weights of the neighbours in page order.
 THRESHOLD, KERNEL = 0.15, np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+#: Weight of a node in an element that is named as no article: its path must be so many times better to be content.
+LOW = 1e-5
 
 
 def is_other(tag: str, attributes: str) -> bool:
     """Whether an element is a menu, header, advert or the like, by its kind or its names."""
-    if tag in SKIPPED:
+    if tag in ASIDE:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if tag == "article":
         return any(name.rstrip("0123456789-_") in COMMENT for found in NAMES.findall(attributes) for name in "".join(found).lower().split())
-    if HIDDEN.search(attributes):
-        return True
     return not NOT_ARTICLE.isdisjoint(name_parts(attributes))
 
 
@@ -82,128 +85,164 @@ def name_parts(attributes: str) -> set[str]:
     return {part for parts in names for part in takewhile(lambda p: p not in ELSEWHERE, parts)}
 
 
-def text_nodes(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
-    """(path, container path, block text, wider paths) of the blocks of a page, in page order.
+class Region:
+    """An open element whose kind or names say that it isn't the article, with what was read within it."""
 
-    Within an article or main the wider paths are those of this element and of the nearest container that is no table.
-    Containers and forms with other names are left out only once the page is read: one that holds all articles, or
-    containers with more than half of the text (comments aside), wraps the page and stays.
-    """
-    out: list[tuple[str, str, str, tuple[str, ...]]] = []
-    regions: list[dict] = []
-    opened: list[dict] = []
-    within: list[list[dict]] = []
-    free_core = False
-    stack: list[str] = []
-    skips: list[bool] = []
-    held: list[str] = []
-    skipped = 0
-
-    def flush() -> None:
-        if held:
-            if text := " ".join(html.unescape("".join(held)).split()):
-                at = max((i for i, t in enumerate(stack) if t in CONTAINER), default=-1)
-                core = max((i for i, t in enumerate(stack) if t in ("article", "main")), default=-1)
-                outer = max((i for i, t in enumerate(stack) if t in CONTAINER and t not in ("table", "td")), default=-1)
-                wider = () if core < 0 else tuple("/".join(stack[: i + 1]) for i in {core, outer})
-                out.append(("/".join(stack), "/".join(stack[: at + 1]), text, wider))
-                within.append(opened[:])
-                for region in opened:
-                    region["chars"] += len(text)
-            held.clear()
-
-    def pop(to: int) -> None:
-        nonlocal skipped
-        while len(stack) > to:
-            if stack[-1] in BLOCK:
-                flush()
-            stack.pop()
-            skipped -= skips.pop()
-            if opened and opened[-1]["depth"] > len(stack):
-                opened.pop()
-
-    def mark(what: str) -> None:
-        for region in reversed(opened):
-            if region[what]:
-                break
-            region[what] = True
+    def __init__(self, parent: Region | None, container: bool, comment: bool):
+        self.parent, self.container, self.comment = parent, container, comment
+        self.chars, self.nested, self.core = 0, False, False
 
-    def text(s: str) -> None:
-        if s and not skipped:
-            held.append(s)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
-        if tag is None:
-            continue
-        tag, attributes = tag.lower(), (m[4] or m[7] or "")
-        if m[2] or m[5]:
-            if tag in stack:
-                pop(len(stack) - 1 - stack[::-1].index(tag))
-            elif tag in BLOCK:
-                flush()
-            continue
+class Reader:
+    """Reads a page into text nodes; what is known of the open elements is kept in a tree, so depth costs nothing."""
+
+    def __init__(self):
+        self.nodes: list[tuple] = []
+        self.regions: list[Region] = []
+        self.free_core = False
+        self.ids: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.count: Counter = Counter()
+        #: Per open element: path, nearest container's path, nearest article or main's, nearest container's but tables, region, hidden, heading.
+        self.open: list[tuple] = [(0, 0, None, 0, None, False, False)]
+        self.held: list[str] = []
+
+    def flush(self) -> None:
+        if self.held:
+            path, container, core, outer, region, hidden, heading = self.open[-1]
+            if not hidden and (text := " ".join(html.unescape("".join(self.held)).split())):
+                wider = () if core is None else (core, outer)
+                self.nodes.append((path, container, text, wider, region, heading))
+                if region:
+                    region.chars += len(text)
+            self.held.clear()
+
+    def text(self, s: str) -> None:
+        if s and not self.open[-1][5]:
+            self.held.append(s)
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of a tag, with all within it."""
+        while self.count[tag]:
+            last = self.tags[-1]
+            if last in BLOCK:
+                self.flush()
+            self.tags.pop()
+            self.open.pop()
+            self.count[last] -= 1
+            if last == tag:
+                break
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            if tag != "hr" and "p" in stack and tag not in ("html", "body", "head", "title"):
-                pop(len(stack) - 1 - stack[::-1].index("p"))
-            flush()
-        if tag == "body" and "head" in stack:
-            pop(stack.index("head"))
+            if tag != "hr" and tag not in ("html", "body", "head", "title"):
+                self.close("p")
+            self.flush()
+        if tag == "body":
+            self.close("head")
         if ended := ENDS.get(tag):
-            last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in ended or stack[i] in ("ul", "ol", "dl", "table", "select")), None)
-            if last is not None and stack[last] in ended:
-                pop(last)
+            last = next((t for t in reversed(self.tags) if t in ended or t in ("ul", "ol", "dl", "table", "select")), None)
+            if last in ended:
+                self.close(last)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-            text(" " if tag in ("br", "img", "wbr", "input") else "")
-            continue
-        stack.append(tag)
+            self.text(" " if tag in ("br", "img", "wbr", "input") else "")
+            return
+        parent, container, core, outer, region, hidden, heading = self.open[-1]
+        path = self.ids.setdefault((parent, tag), len(self.ids) + 1)
+        if not hidden and tag in CONTAINER:
+            self.mark(region, "nested")
+        if tag in CONTAINER:
+            container = path
+            outer = outer if tag in ("table", "td") else path
         other = is_other(tag, attributes)
-        if not skipped and tag in CONTAINER:
-            mark("nested")
-            if tag in ("article", "main") and not other:
-                mark("core")
-                free_core = free_core or not opened
-        if other and (tag == "form" or tag in CONTAINER and tag != "article") and not HIDDEN.search(attributes):
-            if not skipped:
-                opened.append({"depth": len(stack), "chars": 0, "nested": False, "core": False, "comment": not COMMENT.isdisjoint(name_parts(attributes))})
-                regions.append(opened[-1])
-            other = False
-        skips.append(other)
-        skipped += other
-    text(page[at:])
-    flush()
-    if not regions:
-        return out
-    total = sum(len(n[2]) for n in out)
-    for region in regions:
-        region["wraps"] = region["core"] and not free_core or region["nested"] and not region["comment"] and 2 * region["chars"] > total
-    return [n for n, around in zip(out, within, strict=True) if all(region["wraps"] for region in around)]
-
-
-def main_text(page: str) -> str:
+        if tag in ("article", "main"):
+            core = path
+            if not other and not hidden:
+                self.mark(region, "core")
+                self.free_core = self.free_core or region is None
+        if other and tag not in BLOCK:
+            hidden = True  # a phrase within a block is no node of its own
+        elif other and not hidden:
+            region = Region(region, tag == "form" or tag in CONTAINER and tag != "article", tag == "article" or not COMMENT.isdisjoint(name_parts(attributes)))
+            self.regions.append(region)
+        self.tags.append(tag)
+        self.count[tag] += 1
+        self.open.append((path, container, core, outer, region, hidden or is_hidden(tag, attributes), heading or tag in HEADINGS))
+
+    @staticmethod
+    def mark(region: Region | None, what: str) -> None:
+        while region and not getattr(region, what):
+            setattr(region, what, True)
+            region = region.parent
+
+    def weights(self) -> list[float]:
+        """1 for each node, or LOW within a region that isn't the page's own wrapper.
+
+        A container or form that holds all articles or, comments aside, containers with more than half of the text
+        wraps the page, whatever its names.
+        """
+        total = sum(len(n[2]) for n in self.nodes)
+        for region in reversed(self.regions):
+            if region.parent:
+                region.parent.chars += region.chars
+        for region in self.regions:  # parents come first
+            wraps = region.container and (region.core and not self.free_core or region.nested and not region.comment and 2 * region.chars > total)
+            region.weight = (region.parent.weight if region.parent else 1.0) if wraps else LOW
+        return [n[4].weight if n[4] else 1.0 for n in self.nodes]
+
+
+def is_hidden(tag: str, attributes: str) -> bool:
+    return tag in UNREAD or bool(attributes) and tag not in ("html", "body", "main", "article") and bool(HIDDEN.search(attributes))
+
+
+def read_page(page: str) -> Reader:
+    """The blocks of a page as nodes (path, container path, text, wider paths, region, heading), in page order.
+
+    Within an article or main the wider paths are those of this element and of the nearest container that is no table.
+    """
+    reader, at = Reader(), 0
+    for m in TOKEN.finditer(page):
+        reader.text(page[at : m.start()])
+        at = m.end()
+        if (tag := m[3] or m[6]) is None:
+            continue
+        tag = tag.lower()
+        if not (m[2] or m[5]):
+            reader.start(tag, m[4] or m[7] or "")
+        elif reader.count[tag]:
+            reader.close(tag)
+        elif tag in BLOCK:
+            reader.flush()
+    reader.text(page[at:])
+    reader.flush()
+    return reader
+
+
+def main_text(page: str, threshold: float = THRESHOLD) -> str:
     """Blocks of the content paths of one page, joined by newlines; empty if there are none."""
-    nodes = text_nodes(page)
+    reader = read_page(page)
+    nodes = reader.nodes
     if not nodes:
         return ""
-    sums: dict[str, list[float]] = {}
-    for path, container, text, _ in nodes:
+    sums: dict[tuple[int, bool], list[float]] = {}
+    for path, container, text, *_ in nodes:
         marks = len(PUNCTUATION.findall(text))
-        for key in {path, container + "//"}:
+        for key in ((path, False), (container, True)):
             one = sums.setdefault(key, [0.0, 0.0, 0.0])
             one[0], one[1], one[2] = one[0] + len(text), one[1] + marks, one[2] + 1
     ratio = {k: (chars / n) * (1 + marks / n) for k, (chars, marks, n) in sums.items()}
-    own = np.array([ratio[n[0]] for n in nodes])
-    around = np.array([max(ratio.get(key + "//", 0.0) for key in (n[1], *n[3])) for n in nodes])
-    padded = np.pad(own, 2, mode="edge")
+    weight = np.array(reader.weights())
+    own = np.array([ratio[n[0], False] for n in nodes])
+    around = np.array([max(ratio.get((key, True), 0.0) for key in (n[1], *n[3])) for n in nodes])
+    padded = np.pad(own * weight, 2, mode="edge")
     smooth = np.convolve(padded, KERNEL / KERNEL.sum(), mode="valid")
     fused = np.maximum(np.sqrt(own * smooth), around)
     for i in range(len(nodes) - 2, -1, -1):  # a heading goes with what it heads
-        if not HEADINGS.isdisjoint(nodes[i][0].split("/")):
+        if nodes[i][5] and weight[i] == weight[i + 1]:
             fused[i] = max(fused[i], fused[i + 1])
-    kept = fused >= THRESHOLD * fused.max()
+    # the best is that of a node without a name against it; where there is none, nothing is content
+    best = max(fused[weight == 1], default=np.inf)
+    kept = fused * weight >= threshold * best
     return "\n".join(n[2] for n, k in zip(nodes, kept, strict=True) if k)
 
 
