@@ -116,12 +116,13 @@ class Matcher:
                 item = self.items[i][1]
                 length = len(item)
                 if start >= 0 and n.startswith(item, start):
-                    found[i] = (i, 0, start, start + length)
+                    if most or (start == 0 or n[start - 1] == " ") and n[start + length : start + length + 1] in ("", " "):
+                        found[i] = (i, 0, start, start + length)
                 elif most:
                     low = max(0, start - most)
                     window = n[low : start + length + most]
-                    # each edit touches two words at most
-                    if len(self.words(i) & set(window.split())) < len(self.words(i)) - 2 * most:
+                    # each edit touches two words at most, and what is around the item may be glued to its two ends
+                    if len(self.words(i) & set(window.split())) < len(self.words(i)) - 2 * most - 2:
                         continue
                     got = self.pattern(i).best(window, most if not known else known[1] - 1)
                     if got:
@@ -168,9 +169,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> Dat
     """doc_id, item_id, distance, start and end of each item that occurs in each of ``docs(doc_id, text)``.
 
     ``start`` and ``end`` are code points of the text, widened to whole words. Texts and items are compared by their
-    lower-case words; an item matches with at most ``errors`` of its length in edits. Null and empty texts and items
-    without a word match nothing. Repeated rows give repeated results. No shuffle; the items are broadcast in blocks
-    of bounded size, the texts read once for each block.
+    lower-case words; an item matches with at most ``errors`` of its length in edits, and may then be glued to the
+    words around it. An item too short for an edit matches whole words only. Where edits insert or delete, ``start``
+    is the end less the item's length. Null and empty texts and items without a word match nothing. Repeated rows give
+    repeated results. No shuffle; the items are broadcast in blocks of bounded size, the texts read once for each.
     """
     out = None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
