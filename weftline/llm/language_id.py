@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_mod, text_of
 
-#: The fit: excerpts per language, their code points, and bytes of a dictionary. These bound what is collected.
-EXCERPTS, EXCERPT_CHARS, DICTIONARY_BYTES = 96, 1200, 64 << 10
+#: The fit: bytes of a dictionary and the excerpts in it, each with an even share of these. These bound what is collected.
+DICTIONARY_BYTES, EXCERPTS = 64 << 10, 96
+EXCERPT_CHARS = DICTIONARY_BYTES // EXCERPTS
 #: Bytes of a segment, of a short text and of what is put before it; level of the encoder, and least relative margin of an accepted text.
 SEGMENT, SHORT, BEFORE, LEVEL, MARGIN = 4096, 256, 256, 6, 0.004
 FOLDS, HELD_OUT = 4, 2
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 
-LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Characters of text that are encoded at once.
 SLICE = 1 << 20
@@ -34,6 +34,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_mod(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as \u00b2 and \u00bd are none."""
+    return bool(text) and any(w[0].isalpha() or any(map(str.isalpha, w)) for w in map(re.Match.group, WORD.finditer(text)))
+
+
 def normal(text: str) -> bytes:
     """The words of a text in lower case, with a space before and after each."""
     return f" {' '.join(WORD.findall(text.lower()))} ".encode(errors="replace")
@@ -44,7 +49,8 @@ def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
 
     The excerpts of a language are those of the documents that come first by hash in each of ``EXCERPTS`` classes of
     ids, so the fit is bounded, spread over all rows and the same for any order of them. It needs one aggregation
-    with partial sums; ``EXCERPTS * EXCERPT_CHARS`` characters per language come to the driver.
+    with partial sums; ``EXCERPTS * EXCERPT_CHARS`` characters per language come to the driver. Each excerpt is cut to
+    its share of the dictionary, so none goes missing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
@@ -54,8 +60,8 @@ def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
     found = rows.groupBy("lang", "class").agg(F.min("first").alias("first")).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["first"]["order"], r["first"]["text"])):
-        by_lang.setdefault(r["lang"], []).append(normal(r["first"]["text"]))
-    return {lang: b" ".join(texts)[-DICTIONARY_BYTES:] for lang, texts in by_lang.items()}
+        by_lang.setdefault(r["lang"], []).append(normal(r["first"]["text"])[:EXCERPT_CHARS])
+    return {lang: b"".join(texts) for lang, texts in by_lang.items()}
 
 
 def segments(text: bytes) -> list[bytes]:
@@ -94,7 +100,7 @@ def predict(encoders: Encoders, texts: list[str | None]) -> tuple[np.ndarray, np
     while at < n and encoders.langs:
         pieces, owner, chars = [], [], 0
         while at < n and chars < SLICE:
-            if LETTER.search(texts[at] or ""):
+            if has_letter(texts[at]):
                 own = segments(normal(texts[at]))
                 pieces += own
                 owner += [at] * len(own)
