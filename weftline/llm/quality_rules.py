@@ -15,8 +15,8 @@ from weftline.llm.common import let, text_of, window_hashes, words
 from weftline.session import materialize
 
 #: False rejections allowed per stratum over all rules, and the probability that any statement about them is wrong.
-RISK, ERROR = 0.03, 0.05
-#: Rows to choose from are those whose fold, doc_id modulo FOLDS, isn't AUDIT, which is left for an audit of the choice.
+RISK, ERROR = 0.05, 0.05
+#: Rows to choose from are those whose fold, doc_id modulo FOLDS, isn't AUDIT; on the others ``audit`` tests the choice.
 FOLDS, AUDIT = 4, 0
 #: Strata that a broadcast of the cutoffs holds at most; with more they are joined by a shuffle.
 MOST_STRATA = 10_000
@@ -26,10 +26,10 @@ WHITE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: cutoff is rejected.
 RULES = (
     ("symbols", "1000 * n_symbols div greatest(word_chars, 1)", (400, 300, 200, 100, 50, 20)),
-    ("repeats", "1000 * n_repeat_words div greatest(n_words, 1)", (190, 150)),
-    ("dup_lines", "1000 * n_dup_lines div greatest(n_words, 1)", (200, 100, 50)),
-    ("long_words", "10 * word_chars div greatest(n_words, 1)", (200, 150, 120, 100)),
-    ("few_words", "1000 div greatest(n_words, 1)", (83, 66, 50)),
+    ("repeats", "1000 * n_repeat_words div greatest(n_words, 1)", (190, 150, 100, 60, 30, 10)),
+    ("dup_lines", "1000 * n_dup_lines div greatest(n_words, 1)", (200, 100, 50, 20, 10, 5)),
+    ("long_words", "10 * word_chars div greatest(n_words, 1)", (200, 150, 120, 100, 90, 80)),
+    ("few_words", "1000 div greatest(n_words, 1)", (83, 66, 50, 33, 25, 20)),
 )
 
 
@@ -85,16 +85,36 @@ def at_most(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, F.struct(first.alias("log"), F.exp(first).alias("sum")), add, lambda acc: acc["sum"])
 
 
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of good documents that pass the base. A document with several labels counts by its best."""
+    doc_id = F.col("doc_id").cast("long")
+    good = labels.select(doc_id.alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    good = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality > 0").select("doc_id")
+    return rows.where(~F.col("base_failed")).join(good, "doc_id")
+
+
+def failed_rules() -> Column:
+    return F.array_compact(F.array(*(F.when(F.expr(value) >= F.col(f"cut_{name}"), F.lit(name)) for name, value, _ in RULES)))
+
+
+def audit(rows: DataFrame, labels: DataFrame, cutoffs: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """stratum, n, n_rejected, p_value and confirmed: the cutoffs on the good documents that had no part in choosing them.
+
+    ``p_value`` is the exact probability of so few rejections if the rate were ``risk`` over all rules together; a
+    stratum is confirmed if it is ``error`` or less. Too few audit rows confirm nothing, which is no contradiction.
+    """
+    unseen = labelled(rows, labels).where(F.pmod(F.col("doc_id"), F.lit(FOLDS)) == AUDIT).join(F.broadcast(cutoffs), "stratum")
+    counts = unseen.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(F.size(failed_rules()) > 0).alias("n_rejected"))
+    tail = F.when(F.col("n_rejected") <= F.col("n") * risk, at_most(F.col("n_rejected"), F.col("n"), risk)).otherwise(1.0)
+    return counts.withColumn("p_value", tail).withColumn("confirmed", F.col("p_value") <= error)
+
+
 def choose_cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """stratum and a cutoff for each rule (null: none is safe), for strata that have any.
 
-    ``rows`` is what ``features`` gives. A document with several labels counts by its best. Base failures are left
-    out, as no cutoff decides on them.
+    ``rows`` is what ``features`` gives. Base failures are left out, as no cutoff decides on them.
     """
-    doc_id = F.col("doc_id").cast("long")
-    good = labels.select(doc_id.alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    good = good.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality > 0")
-    held = rows.where(~F.col("base_failed") & (F.pmod(F.col("doc_id"), F.lit(FOLDS)) != AUDIT)).join(good, "doc_id")
+    held = labelled(rows, labels).where(F.pmod(F.col("doc_id"), F.lit(FOLDS)) != AUDIT)
     rejects = [F.sum((F.expr(value) >= cut).cast("long")).alias(f"{name}_{cut}") for name, value, cuts in RULES for cut in cuts]
     counts = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *rejects), "rule-counts")
     tests = counts.count() * sum(len(cuts) for _, _, cuts in RULES)
@@ -115,6 +135,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     rows = materialize(features(docs), "quality-features")
     cutoffs = materialize(choose_cutoffs(rows, labels, risk, error), "quality-cutoffs")
     side = F.broadcast(cutoffs) if cutoffs.count() <= MOST_STRATA else cutoffs
-    failed = F.array_compact(F.array(*(F.when(F.expr(value) >= F.col(f"cut_{name}"), F.lit(name)) for name, value, _ in RULES)))
-    out = rows.join(side, "stratum", "left").withColumn("failed_rules", failed)
+    out = rows.join(side, "stratum", "left").withColumn("failed_rules", failed_rules())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "stratum", "failed_rules")
