@@ -59,6 +59,8 @@ class PieceCodec:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(kept)))}
         self.marks = {c: self.tokenizer.model.tokenize(self.alphabet[ord(c)])[0].id for c in ".,\n"}
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+            raise ValueError("the vocabulary has more than 65,536 ids, which don't fit the 16 bits kept for each")
         self.clear()
 
     @classmethod
