@@ -7,31 +7,45 @@ from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
+#: Keys with fewer rows are never hot; hot ones are so many at most, as the limit rises with the rows.
+LEAST_HOT, MOST_HOT = 256, 2000
+
+
+def look_up(rows: DataFrame, values: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """An inner join of ``rows`` with ``values(key, n, ...)``, where ``n`` is how many of the rows have the key.
+
+    Keys with more rows than ``n_rows / MOST_HOT`` are fewer than ``MOST_HOT``, so their values are broadcast and
+    their rows stay where they are; all others are shuffled. ``n`` isn't part of the result.
+    """
+    hot = F.col("n") > max(LEAST_HOT, n_rows // MOST_HOT)
+    few, rest = F.broadcast(values.where(hot).drop("n")), values.where(~hot).drop("n")
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of each node of ``edges(a, b)``, two long columns without nulls.
 
     Alternates large-star and small-star steps until the edges are a star around each least node. Every step is an
-    aggregation with partial sums and a join whose skewed keys adaptive execution splits; each round is written to
-    the shared folder, so lineage stays short and lost executors cost no more than a round. Nodes without edges to
-    others come back as their own components; an empty table gives none.
+    aggregation with partial sums and a look-up that leaves the edges of hot nodes, as a star's centre is one, in
+    their tasks; each round is written to the shared folder, so lineage stays short and lost executors cost no more
+    than a round. Nodes without edges to others come back as their own components; an empty table gives none.
     """
     edges = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    before, n = None, edges.count()
     while True:
         # large star: what is above a node goes to its least neighbour
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        links = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        links = look_up(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and what is below it go to the least of these
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        below = links.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        below = look_up(links, least, "u", 2 * n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v"))
         links = materialize(below.where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

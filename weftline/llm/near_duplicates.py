@@ -1,9 +1,10 @@
 """N-gram Jaccard join of documents with themselves by MinHash banding.
 
 Each text's set of word shingles is sketched once. Equal sets collapse to one representative; representatives that
-share a band are candidates. The connected groups of candidates are compared in blocks on their full shingle sets, so
-a large group is spread over many tasks, and what leaves a task is a link count for each document and a spanning
-forest of the links, never the pairs themselves.
+share a band are candidates and meet in the bucket of that band. Buckets that lie within another are left out, all
+others are compared in blocks on the full shingle sets, so a large bucket is spread over many tasks and a chain of
+candidates costs no more than its buckets. What leaves a task is a link count for each document and a spanning forest
+of the links, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.components import connected_components
+from weftline.llm.components import connected_components, look_up
 from weftline.llm.shingles import mix, shingle_sets
 from weftline.session import materialize
 
@@ -24,8 +25,8 @@ from weftline.session import materialize
 BANDS, ROWS = 32, 6
 #: Similarity of a link, as the whole numbers 4 / 5.
 ABOVE, BELOW = 4, 5
-#: Least and most representatives in a block of a group that is compared.
-LEAST_BLOCK, MOST_BLOCK = 64, 2048
+#: Least and most representatives in a block of a bucket that is compared, and code points of a block.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_CHARS = 64, 2048, 4 << 20
 #: Shingles compared at once, which bounds the memory of a comparison.
 COLUMNS = 8192
 
@@ -49,7 +50,7 @@ def text_key() -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, keys of the text and of its shingle set (null without words) and the band keys, of each row of ``docs(doc_id, text)``."""
+    """doc_id, keys of the text and of its shingle set (null without words), its length and the band keys, of each row of ``docs(doc_id, text)``."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,10 +58,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             for own in shingle_sets(batch.column(1)):
                 keys.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 bands.append(band_keys(own).view(np.int64) if len(own) else None)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "chars", "set_key", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
-    return rows.mapInArrow(sketch, "doc_id long, text_key long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"), F.length(F.col("text").cast("string")).cast("long").alias("chars"))
+    return rows.mapInArrow(sketch, "doc_id long, text_key long, chars long, set_key binary, bands array<long>")
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -82,6 +83,22 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
     return (ABOVE + BELOW) * common >= ABOVE * (sizes_a[:, None] + sizes_b[None, :])
 
 
+def share_one(lists: list[list[int]]) -> np.ndarray:
+    """Which of the rows have a number in common."""
+    sizes = np.array([len(own) for own in lists], np.int64)
+    values, place, often = np.unique(np.array([b for own in lists for b in own], np.int64), return_inverse=True, return_counts=True)
+    rows, common = np.repeat(np.arange(len(lists)), sizes), np.zeros((len(lists), len(lists)), bool)
+    useful = np.flatnonzero(often > 1)
+    for at in range(0, len(useful), COLUMNS // 8):
+        some = useful[at : at + COLUMNS // 8]
+        to = np.minimum(np.searchsorted(some, place), len(some) - 1)
+        hit = some[to] == place
+        marks = np.zeros((len(lists), len(some)), np.float32)
+        marks[rows[hit], to[hit]] = 1
+        common |= marks @ marks.T > 0
+    return common
+
+
 def forest(ids: list[int], links: np.ndarray) -> list[int]:
     """For each id the least id that the symmetric matrix of links connects it with."""
     order = np.argsort(ids, kind="stable")
@@ -101,9 +118,10 @@ def forest(ids: list[int], links: np.ndarray) -> list[int]:
 def compare(members: DataFrame) -> DataFrame:
     """rep, other and links of each representative in each block pair it is in.
 
-    ``members(grp, i, j, rep, block, copies, text)`` has the rows of a block pair (grp, i, j) next to each other.
-    ``links`` counts the documents that are linked to ``rep`` across the pair, ``other`` is the least representative
-    that the pair's links connect it with.
+    ``members(band, i, j, rep, block, copies, text, earlier)`` has the rows of a block pair (band, i, j) next to each
+    other; ``earlier`` are the row's other buckets with a lesser key. ``links`` counts the documents that are linked
+    to ``rep`` across the pair and that it doesn't meet in an earlier bucket already; ``other`` is the least
+    representative that the pair's links connect it with.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,23 +138,41 @@ def compare(members: DataFrame) -> DataFrame:
             elif len(a := np.flatnonzero(block == key[1])) and len(b := np.flatnonzero(block == key[2])):
                 across = linked([sets[k] for k in a], [sets[k] for k in b])
                 links[np.ix_(a, b)], links[np.ix_(b, a)] = across, across.T
-            some = links.any(1)
+            kept = np.flatnonzero(links.any(1))
             others = forest(ids, links)
-            kept = np.flatnonzero(some)
+            if len(kept) and any(r[4] for r in rows):
+                links &= ~share_one([r[4] for r in rows])
             counts = (links @ copies)[kept]
             return pa.record_batch([pa.array([ids[k] for k in kept], pa.int64()), pa.array([others[k] for k in kept], pa.int64()), pa.array(counts, pa.int64())], ["rep", "other", "links"])
 
         for batch in batches:
-            for grp, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (grp, i, j) != key:
+            for band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != key:
                     if len(rows) > 1:
                         yield result()
-                    key, rows = (grp, i, j), []
+                    key, rows = (band, i, j), []
                 rows.append(row)
         if len(rows) > 1:
             yield result()
 
-    return members.select("grp", "i", "j", "rep", "block", "copies", "text").mapInArrow(run, "rep long, other long, links long")
+    return members.select("band", "i", "j", "rep", "block", "copies", "text", "earlier").mapInArrow(run, "rep long, other long, links long")
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """rep, and own: band, n and chars of each bucket that it is compared in, by band; of ``reps(rep, bands, chars)``.
+
+    A bucket is left out if all its members have the same largest bucket, within which it lies then.
+    """
+    banded = reps.select("rep", F.explode("bands").alias("band"), "chars")
+    n_rows = BANDS * reps.count()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("chars").alias("sum")).where("n > 1").withColumn("size", F.col("n"))
+    met = look_up(banded.select("rep", "band"), sizes, "band", n_rows)
+    # a representative has as many buckets as bands at most
+    mine = materialize(met.groupBy("rep").agg(F.collect_list(F.struct("size", "band", "sum")).alias("own")), "buckets")
+    rows = mine.select("rep", F.array_max("own")["band"].alias("top"), F.explode("own").alias("b")).select("rep", "top", "b.*")
+    within = rows.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n")).where("low <> high or low = band")
+    kept = look_up(rows.select("rep", "band", "size", "sum"), within.select("band", "n"), "band", n_rows)
+    return kept.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("band", "size", "sum"))).alias("own"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -156,27 +192,22 @@ def _classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     found = materialize(sketches(docs), "sketches")
     known = found.where("set_key is not null and doc_id is not null")
-    first = F.min_by(F.struct("text_key", "bands"), "doc_id").alias("first")
+    first = F.min_by(F.struct("text_key", "bands", "chars"), "doc_id").alias("first")
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), first).select("set_key", "least", "copies", "first.*")
     # several sets may have the same least doc_id, so each has a number of its own, fixed once it is written
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("band", "first")
-    star = banded.join(buckets, "band").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    groups = materialize(connected_components(star), "candidates").toDF("rep", "grp")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    # a block holds about as many rows as an even share of a task has
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_block = max(LEAST_BLOCK, min(MOST_BLOCK, groups.count() // max(1, partitions)))
-    blocks = F.ceil(F.col("size") / per_block).cast("int")
-    placed = groups.join(sizes, "grp").select("rep", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    placed = placed.join(reps.select("rep", "copies", "least", "text_key"), "rep")
+    placed = materialize(buckets(reps), "candidates").join(reps.select("rep", "copies", "least", "text_key"), "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
     # rows may repeat: one of them has the text
-    members = materialize(texts.join(placed, ["least", "text_key"]).groupBy("rep").agg(F.min(F.struct("text", "grp", "blocks", "block", "copies")).alias("m")).select("rep", "m.*"), "members")
-    spread = members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
-    compared = materialize(compare(spread.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")), "compared")
+    members = materialize(texts.join(placed, ["least", "text_key"]).groupBy("rep").agg(F.min(F.struct("text", "own", "copies")).alias("m")).select("rep", "m.*"), "members")
+    # a block holds about as many rows as an even share of a task has
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_block = max(LEAST_BLOCK, min(MOST_BLOCK, members.count() // max(1, partitions)))
+    blocks = F.greatest(F.ceil(F.col("size") / per_block), F.ceil(F.col("sum") / BLOCK_CHARS)).cast("int")
+    spread = members.select("rep", "text", "copies", F.col("own.band").alias("all"), F.explode("own").alias("b")).select("rep", "text", "copies", "all", "b.*").withColumn("blocks", blocks)
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k"), "earlier": F.filter("all", lambda other: other < F.col("band"))})
+    compared = materialize(compare(spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")), "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "component")
     numbered = classes.join(reps.select("rep", "least"), "rep")
