@@ -82,6 +82,42 @@ def test_texts_of_one_doc_id_are_told_apart(spark):
     assert kept == Counter([(3, a), (5, b), (5, c), (9, prose(60, 24)), (None, a), (None, a), (None, None), (None, None)])
 
 
+def test_chains_and_stars_of_candidates(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(nd, "BLOCK_CHARS", 4000)
+    words = prose(500, 31).split()
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(120)]  # each is linked with its neighbours alone
+    base = prose(80, 32)
+    rows += [(1000 + i, edited(base, i, i % 4)) for i in range(90)] + [(2000, base), (2001, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(docs)) == brute(rows)
+
+
+def test_hot_keys_are_looked_up_like_others(spark, monkeypatch):
+    from weftline.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HOT", 5)
+    rows = spark.range(200).select(F.when(F.col("id") < 150, 0).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    values = rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    got = {(r.u, r.v, r.m) for r in components.look_up(rows, values, "u", 200).collect()}
+    assert got == {(0, i, 0) for i in range(150)} | {(i, i, i) for i in range(150, 200)}
+
+
+@pytest.mark.parametrize("size", [20, 60, 200, 1000])
+def test_recall_on_whole_texts(spark, size):
+    """Pairs of texts a little over the threshold, at several lengths: the bands must bring nearly all together."""
+    rng, rows = random.Random(size), []
+    for i in range(200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        other = words[: size - size // 12] + [f"v{rng.randrange(10**9)}" for _ in range(size // 12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    true = {i for i in range(0, 400, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])}
+    got = {r.class_id for r in nd.near_duplicates(docs).where("n_links > 0").collect()}
+    assert got <= true and len(got) >= 0.99 * len(true) and len(true) >= 190
+
+
 def test_bands_find_pairs_at_the_threshold():
     hits = 0
     rng = random.Random(2)
@@ -147,6 +183,24 @@ def test_matching_equals_brute_force(errors):
         assert {matcher.items[k][0] for k, _, _, _ in matcher.find(text)} == want
 
 
+def test_items_glued_to_other_words_and_short_items():
+    glued = de.Matcher([(1, "aa bb cc dd ee")], 0.08)
+    assert [m[1] for m in glued.find("xxaa bb cx dd eeyy")] == [1]
+    short = de.Matcher([(1, "in"), (2, "a thing or")], 0.08)
+    assert not short.find("nothing within a thingy or two") and [short.items[m[0]][0] for m in short.find("it is IN a box")] == [1]
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(4, 9)))) for i in range(20)]
+    matcher = de.Matcher(items, 0.1)
+    for _ in range(300):
+        text = list("x" * rng.randint(0, 3) + items[rng.randrange(20)][1] + "y" * rng.randint(0, 3))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["a", "b", " ", ""])
+        text = de.normal("".join(text))
+        want = {i for i, t in items if de.budget(len(t), 0.1) and distance(t, text) <= de.budget(len(t), 0.1)}
+        assert {matcher.items[m[0]][0] for m in matcher.find(text)} == want | {i for i, t in items if not de.budget(len(t), 0.1) and f" {t} " in f" {text} "}
+
+
 def test_leaks(spark, odd_docs, no_docs, monkeypatch):
     items = [(1, prose(20, 1)), (2, "Ünïcode straße, test: of WORDS and more words"), (3, None), (4, ""), (5, "?!"), (None, prose(25, 77)), (1, prose(20, 1))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")

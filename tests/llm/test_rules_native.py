@@ -116,3 +116,24 @@ def test_cutoffs_limit_false_rejections(spark, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept != r.base_failed for r in quality_rules.judge(docs, none).collect())
     assert quality_rules.judge(no_docs, none).count() == 0
+
+
+def test_audit_rows_confirm_the_statement(spark):
+    good = [(i, prose(60, i % 7) + f" w{i}", "en") for i in range(4000)]
+    bad = [(9000 + i, " ".join(w + "###" for w in prose(60, i).split()), "en") for i in range(100)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i, _, _ in good + bad], "doc_id long, quality int")
+    rows = quality_rules.features(docs)
+    cutoffs = quality_rules.choose_cutoffs(rows, labels)
+    report = quality_rules.audit(rows, labels, cutoffs)
+    assert not re.search("Python|Arrow|Pandas", plan(report))
+    r = report.first()
+    passed = {i for i, t, _ in good if base_of(t)[0] >= 10 and 100 * base_of(t)[4] <= 20 * base_of(t)[0]}
+    unseen = [i for i in passed if i % quality_rules.FOLDS == quality_rules.AUDIT]
+    kept = {r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()}
+    assert r.n == len(unseen) and r.n_rejected == sum(i not in kept for i in unseen) <= quality_rules.RISK * r.n
+    want = sum(math.comb(r.n, i) * quality_rules.RISK**i * (1 - quality_rules.RISK) ** (r.n - i) for i in range(r.n_rejected + 1))
+    assert math.isclose(r.p_value, want, rel_tol=1e-6) and r.confirmed == (want <= quality_rules.ERROR)
+    # cutoffs that weren't chosen but made up don't pass
+    wild = cutoffs.withColumn("cut_long_words", F.lit(1))
+    assert not quality_rules.audit(rows, labels, wild).first().confirmed

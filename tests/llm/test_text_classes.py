@@ -84,6 +84,18 @@ def test_languages_on_odd_rows(spark, odd_docs, no_docs):
     assert language_id.keep_identified(odd_docs, dictionaries).columns == odd_docs.columns
 
 
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "²½ 12 ①"), (2, "² x"), (3, "_"), (4, "日")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, {"en": b" x y z " * 20, "ja": "日本語".encode() * 20}).collect()}
+    assert got[1] == got[3] == "und" and got[2] != "und" and got[4] != "und"
+
+
+def test_all_excerpts_are_in_the_dictionary(spark):
+    docs = spark.createDataFrame([(i, prose(400, i) + " ñçé" * 50, "xx") for i in range(900)], "doc_id long, text string, lang string")
+    size = len(language_id.language_dictionaries(docs)["xx"])
+    assert 0.9 * language_id.DICTIONARY_BYTES <= size <= language_id.DICTIONARY_BYTES
+
+
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav><article><h1>Head</h1><p>One,  two.<p>Three &amp; four<br>five</p>"
      '<section class="comments"><p>No</p></section><form><p>No</p></form></article><footer>No</footer></body></html>', "Head\nOne, two.\nThree & four five"),
@@ -145,6 +157,27 @@ def test_names_do_not_cut_what_wraps_the_page(page, blocks):
     assert html_extraction.main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
 
 
+def test_the_threshold_decides_on_real_pages():
+    import re
+
+    pages = [r[0] for r in __import__("duckdb").sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+    texts = [html_extraction.main_text(p) for p in pages]
+    assert all(t != html_extraction.main_text(p, threshold=0.0) for p, t in zip(pages, texts, strict=True))
+    # the landmark elements are not what the choice rests on
+    bare = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p) for p in pages]
+    assert sum(html_extraction.main_text(p) == t for p, t in zip(bare, texts, strict=True)) >= 0.99 * len(pages)
+    # the article as a plain reading of the markup gives it
+    article = re.compile(r"<article>(.*?)</article>", re.S)
+    plain = lambda h: re.sub(r"\s+", "", __import__("html").unescape(re.sub(r"<[^>]+>", " ", h)))
+    clean = [(plain(m[1]), re.sub(r"\s+", "", t)) for p, t in zip(pages, texts, strict=True) if (m := article.search(p)) and "<!--" not in m[1] and "class=" not in m[1] and "<script" not in m[1]]
+    assert len(clean) > 100 and sum(a == b for a, b in clean) >= 0.99 * len(clean)
+
+
+def test_deep_nesting_costs_no_more_than_its_length():
+    assert html_extraction.main_text("<div>x. " * 50_000).count("\n") == 49_999
+    assert html_extraction.main_text("<aside>x. " * 50_000) == ""
+
+
 def test_long_and_broken_pages():
     assert html_extraction.main_text("<p>" * 20_000 + "x") == "x"
     assert html_extraction.main_text('<a href="' * 3000 + "y") is not None
