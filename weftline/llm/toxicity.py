@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as classes (insult, threat, target, negation, report, ...). Transducers for reported speech, negation,
-targets and threats are composed into one machine that is run over each clause that holds an insult or a threat:
-what counts is the matched clause, so a negated or reported insult weighs little and a targeted one most. Insult
-stems and their weights are learned from labelled documents; a short general lexicon is always there.
+Words are read as classes (insult, threat, target, negation, report, link, ...). Transducers for reported speech,
+negation, targets, frames (a phrase or an address around the insult) and threats are composed into one machine that
+is run over each clause that holds an insult or a threat. What counts is the pattern that the clause matches: a lone
+insult never decides by itself, a negated or reported one weighs little, a framed or targeted one most. Insult stems
+and the weights of the patterns are learned from labelled documents; a short general lexicon is always there.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,11 +28,11 @@ from weftline.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
 #: The fit: labelled documents of each class at most, documents with a stem at least, odds over the other class.
-SAMPLE, LEAST_DOCS, LEAST_ODDS, MOST_STEMS = 5000, 3, 20.0, 400
+SAMPLE, LEAST_DOCS, LEAST_ODDS = 5000, 3, 20.0
 SHORTEST, LONGEST = 4, 9
 #: Score of a text without any match.
 NONE = 0.02
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_matches int"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_matches int, n_composed int"
 
 # fixed values: a general lexicon, by class; a stem stands for every word that begins with it, unless it ends in $
 INSULTS = (
@@ -41,22 +45,36 @@ TARGETS = "you$ your$ you're$ youre$ u$ he$ she$ they$ him$ her$ them$ these$ th
 FUTURES = "will$ gonna$ going$ i'll$ we'll$ werde$ werden$ voy$ vamos$ vais$ allons$ should$ must$".split()
 NEGATIONS = "not$ never$ isn't$ aren't$ wasn't$ weren't$ don't$ nobody$ hardly$ nicht$ kein$ keine$ jamais$ nunca$".split()
 LINKS = "a$ an$ the$ is$ are$ was$ be$ being$ so$ such$ very$ really$ that$ ein$ eine$ un$ une$ es$ est$ call$ called$".split()
+JOINTS = (
+    "of$ to$ in$ for$ with$ by$ at$ on$ from$ as$ and$ or$ but$ like$ what$ this$ it$ which$ than$ into$ about$ only$"
+    " der$ die$ das$ den$ dem$ des$ und$ oder$ zu$ zum$ zur$ für$ auf$ mit$ von$ vom$ bei$ als$ wie$ ist$ sind$ war$ im$ in$ an$ am$ aus$ nach$ um$ auch$ sich$ dass$ einer$ einem$ einen$ eines$"
+    " le$ la$ les$ du$ de$ des$ en$ pour$ par$ avec$ et$ ou$ que$ qui$ est$ sont$ sur$ dans$ au$ aux$ ce$ cet$ cette$ il$ elle$ se$ plus$ comme$ à$"
+    " el$ los$ las$ del$ al$ y$ o$ por$ para$ con$ como$ son$ se$ su$ sus$ lo$ más$ una$ uno$ este$ esta$ ese$ esa$ era$ fue$"
+).split()
 REPORTS = "said$ says$ wrote$ writes$ quoted$ reported$ reportedly$ allegedly$ claimed$ claims$ sagte$ schrieb$ dijo$ escribió$ déclaré$ écrit$".split()
 
-CLASSES = {"H": THREATS, "Y": TARGETS, "F": FUTURES, "N": NEGATIONS, "A": LINKS, "R": REPORTS}
-SYMBOLS = "IHYFNARO"
+CLASSES = {"H": THREATS, "Y": TARGETS, "F": FUTURES, "N": NEGATIONS, "P": JOINTS, "A": LINKS, "R": REPORTS}
+#: What the machine reads: the classes, I for an insult, O for any other word, $ for the end of a clause.
+SYMBOLS = "IHYFNPARO$"
 CLAUSE = re.compile(r"[^.!?;:\n]+")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: A word, or a pause between words: what sets off an address or an apposition.
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[^\w\s]+")
 # fixed values: insults that are ordinary words elsewhere; their weight alone is not enough
 MILD = "trash$ garbage$ clown$ clowns$ disgusting$ dumb$ fool$ fools$ ugly$ liar$ jerk$ filth$ vermin$ pig$ pigs$ dummkopf trottel$ tonto$ idiota$ basura$ débile$".split()
-#: Weights of matched insults, as shares of the stem's own: plain, targeted, negated, reported; and of a threat.
-PLAIN, TARGETED, NEGATED, REPORTED, THREAT = 1.0, 1.25, 0.15, 0.3, 3.0
+#: Weights of the patterns before any label is seen, as shares of the stem's own, and how many documents that counts for.
+PRIOR = {"lone": 0.45, "framed": 0.75, "targeted": 0.95, "negated": 0.12, "reported": 0.25}
+STRENGTH = 10
+#: What is learned stays below: a lone, negated or reported insult never passes 0.5 by itself.
+MOST = {"lone": 0.49, "negated": 0.3, "reported": 0.4}
+#: Log weight of a complete threat.
+THREAT = 3.0
 
 
 @cache
 def grammar() -> Transducer:
-    """The composed machine. It writes I for a plain insult, T for a targeted, n for a negated and r for a reported one,
-    K where a threat to a target is complete, and adds a weight for a threat."""
+    """The composed machine. It writes n for a negated insult, r for a reported, T for a targeted and f for a framed one,
+    I for any other, which Q after it (or C, itself an insult) makes framed too; K completes a threat and has a weight.
+    """
     report = Transducer({(0, "R"): (1, "R", 0.0), (1, "I"): (1, "r", 0.0), (1, "H"): (1, "O", 0.0)})
     negation = Transducer({(0, "N"): (1, "N", 0.0), (1, "A"): (1, "A", 0.0), (1, "N"): (1, "N", 0.0), (1, "I"): (0, "n", 0.0), (1, "H"): (0, "O", 0.0)}, {1: 0})
     reach = 4
@@ -64,13 +82,27 @@ def grammar() -> Transducer:
         {(s, "Y"): (1, "Y", 0.0) for s in range(reach + 1)} | {(s, "I"): (s, "T", 0.0) for s in range(1, reach + 1)},
         {s: s % reach + 1 if s < reach else 0 for s in range(1, reach + 1)},
     )
+    # states: up to near after a link, another insult or the clause's beginning; beyond it after an insult without a frame
+    near = reach + 1
+    before, after = range(1, near + 1), range(near + 1, 2 * near + 1)
+    link = {(s, w): (1, w, 0.0) for s in (0, *before) for w in "AP"} | {(s, w): (1, "Q", 0.0) for s in after for w in "AP$"}
+    insult = {(s, "I"): (1, "f", 0.0) for s in before} | {(0, "I"): (near + 1, "I", 0.0)} | {(s, "I"): (1, "C", 0.0) for s in after}
+    frame = Transducer(link | insult, {s: 0 if s in (near, 2 * near) else s + 1 for s in (*before, *after)}, start=1)
     # a future word, then a threat within two words, then a target within two words
     threat = Transducer(
         {(s, "F"): (1, "F", 0.0) for s in range(7)} | {(s, "H"): (4, "H", 0.0) for s in (1, 2, 3)} | {(s, "Y"): (0, "K", THREAT) for s in (4, 5, 6)},
         {1: 2, 2: 3, 3: 0, 4: 5, 5: 6, 6: 0},
     )
-    symbols = SYMBOLS + "rnTK"
-    return report.then(negation, symbols).then(target, symbols).then(threat, symbols)
+    symbols = SYMBOLS + "rnTfQCK"
+    return report.then(negation, symbols).then(target, symbols).then(frame, symbols).then(threat, symbols)
+
+
+class Learned(dict):
+    """Stems and their weights, with ``shares``, the weights of the patterns."""
+
+    def __init__(self, stems=(), shares: dict[str, float] | None = None):
+        super().__init__(stems)
+        self.shares = shares or dict(PRIOR)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,7 +110,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text and toxic of labelled rows to learn from: about ``most`` of either class, those with the lowest hashes.
+    """text, toxic and a number of labelled rows to learn from: about ``most`` of either class, those with the lowest hashes.
 
     A document with labels of both classes counts as toxic; rows without a label, an id or a text are left out.
     """
@@ -93,7 +125,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     known = known.where(order < share)
     texts = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # the sample's ids are few, so they go to the texts
-    sample = texts.join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    sample = texts.join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.monotonically_increasing_id().alias("at"))
     return materialize(sample, "toxicity-sample")
 
 
@@ -104,56 +136,92 @@ def stems_of(text: Column) -> Column:
     return F.array_distinct(F.flatten(starts))
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict[str, float]:
-    """Stems that mark toxic documents, each with its weight in (0, 1).
+def learn_stems(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Learned:
+    """Stems that mark toxic documents, each with its weight in (0, 1), and the weights of the patterns they are in.
 
     Candidates are beginnings of words in ``LEAST_DOCS`` toxic sample documents at least and with odds of
-    ``LEAST_ODDS`` over clean ones. Of these a greedy cover keeps those that explain documents which no kept stem
-    does, so the other words of a copied toxic text are not learned. What is collected is bounded by the sample.
+    ``LEAST_ODDS`` over clean ones. Of these a greedy cover keeps those that explain ``LEAST_DOCS`` documents which no
+    kept stem does, so the other words of a copied toxic text are not learned. What is collected is bounded by the
+    sample. The weight of a pattern is the share of toxic ones among the documents with such a clause, as if there
+    were as many of either class, starting from ``PRIOR``.
     """
     sample = labelled_sample(docs, labels, most)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if toxic < LEAST_DOCS or not clean:
-        return {}
-    rows = sample.select("toxic", F.explode(stems_of(F.col("text"))).alias("stem"))
-    counts = rows.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        return Learned()
+    rows = sample.select("at", "toxic", F.explode(stems_of(F.col("text"))).alias("stem"))
+    counts = rows.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.collect_list(F.when(F.col("toxic") == 1, F.col("at"))).alias("holders"))
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    counts = counts.where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "stem").limit(20 * MOST_STEMS)
-    found = {r["stem"]: (r["t"], r["c"]) for r in counts.collect()}
-    if not found:
-        return {}
-    wanted = F.array_intersect(stems_of(F.col("text")), F.lit(sorted(found)))
-    incidence = [set(r["stems"]) for r in sample.where("toxic = 1").select(wanted.alias("stems")).collect()]
-    holders: dict[str, set[int]] = {}
-    for i, stems in enumerate(incidence):
-        for stem in stems:
-            holders.setdefault(stem, set()).add(i)
-    kept: dict[str, float] = {}
-    left = set(range(len(incidence)))
-    while holders and len(kept) < MOST_STEMS:
-        gain = {s: len(h & left) for s, h in holders.items()}
-        top = max(gain.values())
+    found = {r["stem"]: r for r in counts.where((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).collect()}
+
+    def weight(stem: str) -> float:
+        rate_t, rate_c = (found[stem]["t"] + 0.5) / (toxic + 1), (found[stem]["c"] + 0.5) / (clean + 1)
+        return rate_t / (rate_t + rate_c)
+
+    stems = {s: weight(s) for s in cover({s: frozenset(r["holders"]) for s, r in found.items()})}
+    stems |= {s: weight(s) for s in (*INSULTS, *MILD) if s in found and s not in stems}
+    return Learned(stems, learn_shares(sample, Learned(stems), toxic, clean))
+
+
+def cover(holders: dict[str, frozenset[int]]) -> list[str]:
+    """Stems that explain all documents which ``LEAST_DOCS`` or more share, greedily those with the most first."""
+    names, left, kept = sorted(holders), set().union(*holders.values()), []
+    gain = lambda s: len(holders[s] & left)
+    heap = [(-len(h), len(s), s) for s, h in holders.items()]
+    heapq.heapify(heap)
+    gone: set[str] = set()
+
+    def extensions(stem: str) -> list[str]:
+        at = bisect_left(names, stem)
+        return names[at : bisect_left(names, stem + chr(0x10FFFF), at)]
+
+    while heap:
+        known, size, first = heapq.heappop(heap)
+        top = 0 if first in gone else gain(first)
         if top < LEAST_DOCS:
-            break
+            continue
+        if top < -known:
+            heapq.heappush(heap, (-top, size, first))
+            continue
         # of beginnings that explain about as much, the longest of those that extend the first
-        first = min((s for s in gain if gain[s] == top), key=lambda s: (len(s), s))
-        best = max((s for s in gain if s.startswith(first) and gain[s] >= 0.9 * top), key=lambda s: (len(s), s))
-        t, c = found[best]
-        rate_t, rate_c = (t + 0.5) / (toxic + 1), (c + 0.5) / (clean + 1)
-        kept[best] = rate_t / (rate_t + rate_c)
-        left -= holders.pop(best)
-        holders = {s: h for s, h in holders.items() if not s.startswith(best) and h & left}
-    for stem in (s for s in (*INSULTS, *MILD) if s in found and s not in kept):
-        t, c = found[stem]
-        kept[stem] = ((t + 0.5) / (toxic + 1)) / ((t + 0.5) / (toxic + 1) + (c + 0.5) / (clean + 1))
+        best = max((s for s in extensions(first) if s not in gone and gain(s) >= 0.9 * top), key=lambda s: (len(s), s))
+        kept.append(best)
+        left -= holders[best]
+        gone.update(extensions(best))
+        heapq.heappush(heap, (-gain(first), size, first))
     return kept
 
 
+def learn_shares(sample: DataFrame, stems: Learned, toxic: int, clean: int) -> dict[str, float]:
+    """The weight of each pattern by the sample's documents that have it in some clause."""
+    bound = sample.sparkSession.sparkContext.broadcast(stems)
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(bound.value)
+        for batch in batches:
+            found = [(kind, label) for text, label in zip(pc.utf8_lower(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True) for kind in {k for k, _ in scorer.matches(text)}]
+            yield pa.record_batch([pa.array([k for k, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["kind", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(patterns, "kind string, toxic int").groupBy("kind").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+    seen = {r["kind"]: (r["t"], r["n"] - r["t"]) for r in rows}
+    shares = {}
+    for kind, prior in PRIOR.items():
+        t, c = seen.get(kind, (0, 0))
+        t, c = t * (toxic + clean) / (2 * toxic), c * (toxic + clean) / (2 * clean)
+        shares[kind] = min(MOST.get(kind, 1.0), (STRENGTH * prior + t) / (STRENGTH + t + c))
+    return shares
+
+
+#: Patterns by what the machine writes for an insult.
+KINDS = {"I": "lone", "f": "framed", "C": "framed", "T": "targeted", "n": "negated", "r": "reported"}
+
+
 class Scorer:
     """The grammar with a lexicon, ready to score texts."""
 
     def __init__(self, learned: dict[str, float]):
+        self.shares = getattr(learned, "shares", PRIOR)
         # a learned stem replaces the general ones that it begins
         general = {s: w for w, stems in ((0.7, INSULTS), (0.45, MILD)) for s in stems if not any(s.startswith(k) for k in learned)}
         self.weights = general | learned
@@ -170,55 +238,65 @@ class Scorer:
     def symbol(self, word: str) -> tuple[str, float]:
         if (known := self.seen.get(word)) is None:
             weight = self.exact.get(word) or next((self.open_ended[word[:n]] for n in self.lengths if word[:n] in self.open_ended), 0.0)
-            known = ("I", weight) if weight else (self.words.get(word, "O"), 0.0)
+            known = ("I", weight) if weight else (self.words.get(word, "O" if word[0].isalpha() else "P"), 0.0)
             if len(self.seen) < 500_000:
                 self.seen[word] = known
         return known
 
-    def score(self, text: str) -> tuple[float, int]:
-        """Score and number of matches of a lower-case text: 1 minus the product over matched clauses of 1 minus weight."""
-        rest, matches = 1.0, 0
+    def matches(self, text: str) -> Iterator[tuple[str, float]]:
+        """Pattern and weight of each insult in the clauses of a lower-case text, and ("threat", log weight) of threats."""
         for clause in CLAUSE.findall(text):
             read = [self.symbol(w) for w in WORD.findall(clause)]
             if not any(s in "IH" for s, _ in read):
                 continue
+            read.append(("$", 0.0))
             written, threat = self.machine.run(s for s, _ in read)
+            found: list[list] = []
             for (_, weight), out in zip(read, written, strict=True):
-                if share := {"I": PLAIN, "T": TARGETED, "n": NEGATED, "r": REPORTED}.get(out):
-                    rest *= 1 - min(0.999, weight * share) if weight else 1.0
-                    matches += weight > 0
+                if out in "QC":  # it completes the frame of the insult before it
+                    next(m for m in reversed(found) if m[0] == "lone")[0] = "framed"
+                if kind := KINDS.get(out):
+                    found.append([kind, weight])
+            yield from map(tuple, found)
             if threat:
-                rest *= float(np.exp(-threat))
-                matches += 1
-        return 1 - rest, matches
-
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and numbers of matches of texts, null as empty; only texts with a stem are read word by word."""
-        out, matches = np.full(len(texts), NONE), np.zeros(len(texts), np.int32)
+                yield "threat", threat
+
+    def score(self, text: str) -> tuple[float, int, int]:
+        """Score, number of matches and of composed ones (framed, targeted, threats) of a lower-case text.
+
+        The score is 1 minus the product over matches of 1 minus weight.
+        """
+        rest, kinds = 1.0, Counter()
+        for kind, weight in self.matches(text):
+            kinds[kind] += 1
+            rest *= float(np.exp(-weight)) if kind == "threat" else 1 - min(0.999, weight * self.shares[kind])
+        return 1 - rest, kinds.total(), kinds["framed"] + kinds["targeted"] + kinds["threat"]
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``score`` gives for texts, null as empty; only texts with a stem are read word by word."""
+        out, matches, composed = np.full(len(texts), NONE), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
         lower = pc.utf8_lower(pc.fill_null(texts, ""))
         for i in pc.indices_nonzero(pc.match_substring_regex(lower, self.prefilter)).to_pylist():
-            value, matches[i] = self.score(lower[i].as_py())
+            value, matches[i], composed[i] = self.score(lower[i].as_py())
             out[i] = max(NONE, value)
-        return out, matches
-
-
+        return out, matches, composed
 
 
 def score_toxicity(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_matches of each row of ``docs(doc_id, text)``; no shuffle.
+    """doc_id, held_out, score, predicted, n_matches and n_composed of each row of ``docs(doc_id, text)``; no shuffle.
 
     A null text is an empty one; texts without a match score ``NONE``. Repeated rows give repeated results, other
-    columns are ignored. The lexicon is broadcast; its size is bounded by ``MOST_STEMS``.
+    columns are ignored. The lexicon is broadcast; each of its stems explains ``LEAST_DOCS`` documents of the sample.
     """
     bound = docs.sparkSession.sparkContext.broadcast(learned)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(bound.value)
         for batch in batches:
-            scores, matches = scorer.scores(batch.column(2))
+            scores, matches, composed = scorer.scores(batch.column(2))
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(matches)],
-                ["doc_id", "held_out", "score", "predicted", "n_matches"],
+                [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(matches), pa.array(composed)],
+                ["doc_id", "held_out", "score", "predicted", "n_matches", "n_composed"],
             )
 
     doc_id = F.col("doc_id").cast("long")
