@@ -34,10 +34,78 @@ def test_grammar(text, toxic):
     assert (toxicity.Scorer({}).score(text)[0] >= 0.5) == toxic
 
 
+def patterns_by_hand(symbols):
+    """What the grammar should find in a clause, by looking back from each insult instead of stepping a machine."""
+    told = list(symbols)
+    for i, s in enumerate(symbols):  # after a word of report nothing counts as said
+        if s in "IH" and "R" in symbols[:i]:
+            told[i] = {"I": "r", "H": "O"}[s]
+    out = list(told)
+    for i, s in enumerate(told):  # a negation, and only links or negations between
+        k = i - 1
+        while k >= 0 and out[k] == "A":
+            k -= 1
+        if s in "IH" and k >= 0 and told[k] == "N":
+            out[i] = {"I": "n", "H": "O"}[s]
+    for i, s in enumerate(out):  # a target with at most three other words between
+        if s == "I":
+            gap = 0
+            for k in range(i - 1, -1, -1):
+                if out[k] == "Y":
+                    out[i] = "T" if gap <= 3 else "I"
+                    break
+                gap += out[k] not in "IT"
+    found, place = [], {}
+    for i, s in enumerate(out):
+        if s in "nrT":
+            found.append({"n": "negated", "r": "reported", "T": "targeted"}[s])
+        elif s == "I":
+            # a frame: the beginning, a link or another insult with at most four words between
+            before = [k for k in range(i - 1, i - 6, -1) if k < 0 or out[k] in "API"]
+            if before and before[0] >= 0 and out[before[0]] == "I" and found[place[before[0]]] == "lone":
+                found[place[before[0]]] = "framed"
+            place[i] = len(found)
+            found.append("framed" if before else "lone")
+        elif s in "AP":
+            last = next((k for k in range(i - 1, i - 6, -1) if k >= 0 and k in place), None)
+            if last is not None and not any(out[k] in "AP" for k in range(last + 1, i)):
+                found[place[last]] = "framed"
+    last = next((k for k in range(len(out) - 1, len(out) - 6, -1) if k in place), None)
+    if last is not None and not any(out[k] in "AP" for k in range(last + 1, len(out))):
+        found[place[last]] = "framed"
+    return found
+
+
+def test_grammar_on_whole_texts_equals_a_plain_reading():
+    words = {"I": "idiot", "Y": "you", "N": "never", "A": "the", "P": "of", "R": "said", "O": "house", "H": "kill"}
+    scorer, rng, seen = toxicity.Scorer({}), random.Random(11), set()
+    for _ in range(4000):
+        clauses = [[rng.choice("IIOOOOOOOOAPYNRH") for _ in range(rng.randint(1, 16))] for _ in range(rng.randint(1, 3))]
+        text = ". ".join(" ".join(words[s] for s in c) for c in clauses)
+        want = [kind for c in clauses for kind in patterns_by_hand(c)]
+        assert [kind for kind, _ in scorer.matches(text) if kind != "threat"] == want, clauses
+        seen.update(want)
+        rest = 1.0
+        for kind in want:
+            rest *= 1 - 0.7 * toxicity.PRIOR[kind]
+        assert abs(scorer.score(text)[0] - (1 - rest)) < 1e-9 or "F" in text
+    assert seen == {"lone", "framed", "targeted", "negated", "reported"}
+
+
+def test_no_lone_negated_or_reported_insult_decides(spark):
+    rows = [(i, f"{prose(6, i)} zurgle {prose(6, i + 1)}", 1) for i in range(200)] + [(1000 + i, prose(20, i), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = toxicity.learn_stems(docs, docs)
+    assert all(learned.shares[k] <= most < 0.5 for k, most in toxicity.MOST.items())
+    scorer = toxicity.Scorer(learned)
+    assert scorer.score(" ".join(["house"] * 5 + ["zurgle"] + ["house"] * 5))[0] < 0.5 <= scorer.score("house of the zurgle house house house")[0]
+    assert scorer.score("house he said house house the zurgle")[0] < 0.5 and scorer.score("house house is never a zurgle house")[0] < 0.5
+
+
 def test_stems_are_learned_and_copies_are_not(spark):
     endings = ["ig", "ung", "en", "a", "os"]
     rng = random.Random(1)
-    bad = [(i, f"{prose(30, i)} grumblox{rng.choice(endings)} {prose(10, i + 1)}", 1) for i in range(120)]
+    bad = [(i, f"{prose(30, i)} the grumblox{rng.choice(endings)} {prose(10, i + 1)}", 1) for i in range(120)]
     copies = [(1000 + i, "zimzam frotzen quarvel grumbloxig plim", 1) for i in range(40)]
     good = [(2000 + i, prose(40, i + 7), 0) for i in range(400)]
     rows = spark.createDataFrame(bad + copies + good, "doc_id long, text string, toxic int")
