@@ -51,17 +51,22 @@ def hook_percentiles(events: DataFrame) -> DataFrame:
 
 
 def diffs_by_path(events: DataFrame) -> DataFrame:
-    """session, path, added, n_edits and whether an edit lacks its start."""
-    return events.groupBy("session", "path").agg(F.sum("added").alias("added"), F.count("*").alias("n_edits"), F.max(F.col("phase") == "end").alias("has_end"))
+    """session, path, added, removed, n_edits and whether some edit there lacks its start, of the ends of edits."""
+    edits = pair_edits(events)
+    return edits.groupBy("session", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("n_edits"), F.max("partial").alias("partial"))
 
 
 def pair_edits(events: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """session, tool_use, added, partial: ends of edits with the start that came at most ``ttl`` before; else partial."""
+    """session, tool_use, path, added, removed, partial: ends of edits with the start that came at most ``ttl`` before.
+
+    Those without one are partial and count no lines.
+    """
     start = events.where("phase = 'start'").select("session", "tool_use", F.col("ts").alias("start_ts"), F.col("added").alias("before"))
-    end = events.where("phase = 'end'").select("session", "tool_use", F.col("ts").alias("end_ts"), F.col("added").alias("after"))
+    end = events.where("phase = 'end'").select("session", "tool_use", "path", "removed", F.col("ts").alias("end_ts"), F.col("added").alias("after"))
     near = (F.col("start_ts") <= F.col("end_ts")) & (F.col("start_ts") >= F.col("end_ts") - F.expr(f"interval {ttl}"))
     both = end.join(start, (end["session"] == start["session"]) & (end["tool_use"] == start["tool_use"]) & near, "left")
-    return both.select(end["session"], end["tool_use"], F.coalesce(F.greatest(F.col("after") - F.col("before"), F.lit(0)), F.lit(0)).alias("added"), F.col("start_ts").isNull().alias("partial"))
+    removed = F.when(F.col("start_ts").isNull(), 0).otherwise(F.col("removed")).cast("long").alias("removed")
+    return both.select(end["session"], end["tool_use"], end["path"], removed, F.coalesce(F.greatest(F.col("after") - F.col("before"), F.lit(0)), F.lit(0)).alias("added"), F.col("start_ts").isNull().alias("partial"))
 
 
 def prune(events: DataFrame, idle: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,23 +41,54 @@ def draw(seed: int, *keys: Column) -> Column:
     return value
 
 
-def bootstrap(runs: DataFrame, resamples: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
+def draws(seed: int, resamples: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """What ``draw(seed, resample, run)`` gives, for all pairs of both."""
+    modulus = 2147483647
+    first = ((seed + resamples % modulus) * 48271 + 11) % modulus * 69621 + 7
+    value = ((first % modulus)[None, :] + (runs % modulus)[:, None]) * 48271 + 11
+    value %= modulus
+    value *= 69621
+    value += 7
+    value %= modulus
+    return value
+
+
+#: Where the numbers of ``draw`` are cut for 0, 1, 2, ... occurrences of a run in a resample: a Poisson law of mean 1.
+OCCURRENCES = tuple(int(2147483647 * sum(exp(-1) / factorial(k) for k in range(n + 1))) for n in range(9))
+#: Resamples that a task draws at once.
+AT_ONCE = 250
+
+
+def bootstrap(runs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """task, n, low and high: percentile interval of the effect, runs drawn anew within each task and condition.
 
-    The draws come from a counter-based generator, so no order of rows matters. Runs are numbered within their group
-    and each draw looks its run up by number: an equi-join, with one row per run and resample.
+    How often a run is in a resample follows a Poisson law, given by a counter-based generator from the numbers of
+    both alone. So no order of rows matters, no run is looked up or sent anywhere, and a task of Spark gives sums per
+    resample for what it reads: what is shuffled doesn't grow with the runs. A resample without a run of some
+    condition doesn't count; ``n`` counts the others.
     """
-    rows = usable(runs)
-    group = ["task", "condition"]
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("run")) - 1)
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
-    number = F.when(F.col("condition") == "baseline", 0).otherwise(1)
-    drawn = numbered.join(sizes, group).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = drawn.select(*group, "resample", (draw(seed, F.col("resample"), F.col("at"), number) % F.col("n")).alias("at"))
-    means = drawn.join(numbered.select(*group, F.col("at").cast("long").alias("at"), "metric"), [*group, "at"]).groupBy("task", "resample").agg(
-        F.avg(F.when(F.col("condition") == "baseline", F.col("metric"))).alias("b"), F.avg(F.when(F.col("condition") == "treatment", F.col("metric"))).alias("t")
-    )
-    effect = means.where("b is not null and t is not null").select("task", (F.col("t") - F.col("b")).alias("effect"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, own in frame.groupby(["task", "condition"]):
+                total = sums.setdefault(key, np.zeros((2, resamples)))
+                for at in range(0, len(own), 4096):
+                    run, metric = own["run"].to_numpy()[at : at + 4096], own["metric"].to_numpy()[at : at + 4096].astype(float)
+                    for first in range(0, resamples, AT_ONCE):
+                        last = min(resamples, first + AT_ONCE)
+                        times = np.searchsorted(OCCURRENCES, draws(seed, np.arange(first, last), run), side="right").astype(float)
+                        total[0, first:last] += times.sum(0)
+                        total[1, first:last] += metric @ times
+        for (task, condition), (n, total) in sums.items():
+            yield pa.record_batch([pa.array([task] * resamples), pa.array([condition] * resamples), pa.array(np.arange(resamples)), pa.array(n), pa.array(total)], ["task", "condition", "resample", "n", "total"])
+
+    rows = usable(runs).select(F.col("task").cast("string"), F.col("condition").cast("string"), F.col("run").cast("long"), F.col("metric").cast("double"))
+    of = lambda name, value: F.sum(F.when(F.col("condition") == name, F.col(value)))
+    parts = rows.mapInArrow(partial, "task string, condition string, resample long, n double, total double").groupBy("task", "resample")
+    means = parts.agg(*(F.try_divide(of(c, "total"), of(c, "n")).alias(c) for c in ("baseline", "treatment")))
+    effect = means.where("baseline is not null and treatment is not null").select("task", (F.col("treatment") - F.col("baseline")).alias("effect"))
     tail = (1 - level) / 2
     return effect.groupBy("task").agg(F.count("*").alias("n"), F.percentile("effect", tail).alias("low"), F.percentile("effect", 1 - tail).alias("high"))
 
@@ -67,10 +103,24 @@ def precision_recall(answers: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.select("key", share("n_given").alias("precision"), share("n_true").alias("recall"))
 
 
-def within_budget(blocks: DataFrame, cap: int) -> DataFrame:
-    """Blocks(task, block, cost) that each task can run, in order, before its cumulative cost goes over a cap."""
-    running = F.sum("cost").over(Window.partitionBy("task").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return blocks.withColumn("spent", running).where(F.col("spent") <= cap)
+#: Ranges of blocks that are summed apart; the sums of all of them are one small table.
+RANGES = 200
+
+
+def within_budget(blocks: DataFrame, cap: float) -> DataFrame:
+    """Blocks(block, cost, ...) that run, in order, until what is spent reaches a cap: the one that crosses it still does.
+
+    ``spent`` is what has been spent after the block. Ranges of blocks are summed apart and then offset by the sums of
+    those before, so no task holds more than a range.
+    """
+    bounds = sorted(set(blocks.stat.approxQuantile("block", [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)))) if not blocks.isEmpty() else []
+    part = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<double>"), lambda bound: bound < F.col("block")))
+    rows = blocks.withColumn("part", part)
+    sums = rows.groupBy("part").agg(F.sum("cost").alias("sum"))
+    before = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("before"))
+    own = F.sum("cost").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spent = rows.withColumn("own", own).join(F.broadcast(before), "part").withColumn("spent", F.col("own") + F.coalesce("before", F.lit(0)))
+    return spent.where(F.col("spent") - F.col("cost") < cap).drop("part", "own", "before")
 
 
 def remaining(schedule: DataFrame, done: DataFrame) -> DataFrame:

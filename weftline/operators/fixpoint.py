@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
+#: Targets whose reach is kept in one number.
+BITS = 64
+
 
 def closure(deps: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """target, id, exact of all that reaches each target of ``seeds(target, id, exact)`` over ``deps(src, dst, exact)``.
 
-    Semi-naive: a round joins only rows that are new, or exact where only a heuristic path was known, so a row is
-    joined twice at most. A path is exact if all its hops are, a node if some path to it is; at a bound of ``depth``
-    hops, if some exact path is that short. The target is never part of its own closure and is not walked through.
-    Each round's rows are written to the shared folder, which keeps plans short and survives lost executors. Cycles
-    and duplicate edges are fine; rows with null ends reach nothing, a null confidence counts as heuristic.
+    Targets are numbered, and what reaches 64 of them is one row per node: a number with a bit for each target, and one
+    for those that an exact path leads to. A round is a join of the rows with new bits, a bitwise-or with partial
+    aggregation, and one write of what is known by then into the shared folder, so plans stay short, a round is one
+    job, and lost executors cost no more than that. Pairs are only made of the result.
+
+    A path is exact if all its hops are, a node if some path to it is; at a bound of ``depth`` hops, if some exact path
+    is that short. The target is never part of its own closure and is not walked through. Cycles and duplicate edges
+    are fine; rows with null ends reach nothing, a null confidence counts as heuristic.
     """
-    deps = deps.select(F.col("src").alias("next"), F.col("dst").alias("id"), F.coalesce("exact", F.lit(False)).alias("hop"))
-    new = materialize(seeds.where("id <> target").groupBy("target", "id").agg(F.coalesce(F.max("exact"), F.lit(False)).alias("exact")), "closure")
-    rounds = [new]
-    while (depth is None or len(rounds) < depth) and not new.isEmpty():
-        found = new.join(deps, "id").where("next <> target").groupBy("target", F.col("next").alias("id")).agg(F.max(F.col("exact") & F.col("hop")).alias("exact"))
-        known = reduce(DataFrame.unionAll, rounds).toDF("of", "at", "had")
-        as_good = (F.col("target") == F.col("of")) & (F.col("id") == F.col("at")) & (F.col("had") | ~F.col("exact"))
-        new = materialize(found.join(known, as_good, "left_anti"), "closure")
-        rounds.append(new)
-    return best(rounds)
+    deps = deps.select(F.col("src").alias("next"), F.col("dst").alias("id"), F.coalesce("exact", F.lit(False)).alias("hop")).where("next is not null")
+    seeds = seeds.where("id <> target")
+    numbered = materialize(seeds.select("target").distinct().withColumn("n", F.monotonically_increasing_id()), "targets")
+    numbered = numbered.select("target", F.expr(f"n div {BITS}").alias("block"), F.expr(f"shiftleft(1L, cast(n % {BITS} as int))").alias("bit"))
+    first = seeds.join(numbered, "target").groupBy("block", "id").agg(_either(F.col("bit")).alias("any"), _either(F.when(F.coalesce("exact", F.lit(False)), F.col("bit")).otherwise(0)).alias("exact"))
+    # a target counts as known to itself, so it is neither found nor passed
+    known = numbered.groupBy("block", F.col("target").alias("id")).agg(_either(F.col("bit")).alias("any")).select("block", "id", "any", F.col("any").alias("exact"))
+    known, left = _learn(known, first)
+    rounds = 1
+    while left and (depth is None or rounds < depth):
+        new = known.where("new_any <> 0 or new_exact <> 0").select("block", "id", "new_any", "new_exact")
+        exact = F.when(F.col("hop"), F.col("new_exact")).otherwise(0)
+        found = new.join(deps, "id").groupBy("block", F.col("next").alias("id")).agg(_either(F.col("new_any")).alias("any"), _either(exact).alias("exact"))
+        known, left = _learn(known.select("block", "id", "any", "exact"), found)
+        rounds += 1
+    return known.join(numbered, "block").where("(any & bit) <> 0 and id <> target").select("target", "id", ((F.col("exact").bitwiseAND(F.col("bit"))) != 0).alias("exact"))
+
 
+def _either(bits: Column) -> Column:
+    return F.bit_or(bits.cast("long"))
 
-def best(rounds: list[DataFrame]) -> DataFrame:
-    """The rows of all rounds, each pair with its best confidence."""
-    return reduce(DataFrame.unionAll, rounds).groupBy("target", "id").agg(F.max("exact").alias("exact"))
+
+def _learn(known: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """What is known with what was found, the bits of both that are new, and how many rows have such."""
+    was, now = known.toDF("block", "id", "was_any", "was_exact"), found.toDF("block", "id", "now_any", "now_exact")
+    bits = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    both = was.join(now, ["block", "id"], "full_outer")
+    new = lambda kind: bits(f"now_{kind}").bitwiseAND(F.bitwise_not(bits(f"was_{kind}"))).alias(f"new_{kind}")
+    every = lambda kind: bits(f"now_{kind}").bitwiseOR(bits(f"was_{kind}")).alias(kind)
+    watched = Observation()
+    rows = both.select("block", "id", every("any"), every("exact"), new("any"), new("exact"))
+    written = materialize(rows.observe(watched, F.count_if((F.col("new_any") != 0) | (F.col("new_exact") != 0)).alias("n")), "closure")
+    return written, watched.get["n"]
 
 
 def dependents(deps: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:
@@ -45,3 +67,11 @@ def dependents(deps: DataFrame, targets: DataFrame, depth: int | None = None) ->
 def dependencies(deps: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:
     """target, id, exact: what each of ``targets(target)`` depends on, directly or through others."""
     return dependents(deps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "exact"), targets, depth)
+
+
+def reached_from(deps: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, exact: what any of ``entries(id)`` depends on, directly or through others; an entry too, if another does."""
+    first = deps.join(entries.select(F.col("id").alias("src")), "src").select(F.lit("").alias("target"), F.col("dst").cast("string").alias("id"), "exact")
+    backwards = deps.select(F.col("dst").cast("string").alias("src"), F.col("src").cast("string").alias("dst"), "exact")
+    kind = dict(entries.dtypes)["id"]
+    return closure(backwards, first).select(F.col("id").cast(kind).alias("id"), "exact")

@@ -20,7 +20,7 @@ EDGES_SQL = """
            CASE WHEN f.is_test THEN 'tests' ELSE ['imports', 'calls', 'references', 'inherits'][a.l_linenumber % 4 + 1] END AS kind,
            a.l_returnflag <> 'N' AS exact, a.l_linenumber AS line
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey JOIN files f ON f.file = a.l_partkey
-    WHERE a.l_orderkey % 3 = 0 AND b.l_partkey % 10 = 0 AND a.l_partkey > b.l_partkey),
+    WHERE a.l_partkey > b.l_partkey),
   edges AS (SELECT src, dst, kind, bool_or(exact) AS exact, list_sort(list_distinct(list(line))) AS lines FROM raw GROUP BY ALL),
   deps AS (SELECT src, dst, bool_or(exact) AS exact FROM edges WHERE kind <> 'tests' GROUP BY ALL),
   covered AS (SELECT DISTINCT dst AS file FROM edges WHERE kind = 'tests')"""
@@ -34,7 +34,7 @@ def reach_sql(seeds: str, step: str = "r.id = d.dst", to: str = "d.src") -> str:
 
 
 ONE = f"SELECT dst AS target, src AS id, exact FROM deps WHERE dst = {TARGET}"
-ALL = "SELECT dst AS target, src AS id, exact FROM deps"
+ASKED = f"SELECT dst AS target, src AS id, exact FROM deps WHERE dst % {lens.QUERY_STEP} = 0"
 
 
 def with_sql(*parts: str) -> str:
@@ -77,20 +77,20 @@ def dependents_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependencies_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What all test files' targets and all other files depend on: every file is a target at once."""
-    deps = Graph(spark, sf_dir).deps()
-    return fixpoint.dependencies(deps, deps.select(F.col("src").alias("target")).distinct())
+    """What each file of the query set depends on."""
+    g = Graph(spark, sf_dir)
+    return fixpoint.dependencies(g.deps(), lens.query_set(g.files))
 
 
-def _reach_all(g: Graph) -> tuple[DataFrame, DataFrame]:
+def _reach_asked(g: Graph) -> tuple[DataFrame, DataFrame]:
     deps = g.deps()
-    direct = deps.select(F.col("dst").alias("target"), F.col("src").alias("id"), "exact")
+    direct = deps.join(lens.query_set(g.files), deps["dst"] == F.col("target")).select("target", F.col("src").alias("id"), "exact")
     return fixpoint.closure(deps, direct), direct
 
 
 def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    reach, direct = _reach_all(g)
+    reach, direct = _reach_asked(g)
     return graph.impact_summary(reach, direct, g.files, graph.covered_files(g.edges))
 
 
@@ -154,9 +154,15 @@ def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that some published file depends on, with the number of published files that reach them."""
+    """Files that some published file depends on, and whether by an exact path."""
+    g = Graph(spark, sf_dir)
+    return fixpoint.reached_from(g.deps(), g.files.where("published and not is_test").select(F.col("file").alias("id")))
+
+
+def published_entry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the published files of the query set reach each file."""
     g = Graph(spark, sf_dir)
-    entries = g.files.where("published and not is_test").select(F.col("file").alias("target"))
+    entries = lens.query_set(g.files.where("published and not is_test"))
     return fixpoint.dependencies(g.deps(), entries).groupBy("id").agg(F.count("*").alias("n_entries"))
 
 
@@ -174,15 +180,14 @@ def forbidden_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package dependencies from published packages to those that aren't."""
     g = Graph(spark, sf_dir)
     package = g.files.groupBy("package").agg(F.max("published").alias("published"))
-    rules = package.where("published").select(F.col("package").alias("from_package")).crossJoin(package.where("not published").select(F.col("package").alias("to_package")))
-    return graph.violations(graph.component_rollup(graph.file_deps(g.edges), g.files), rules)
+    rollup = graph.component_rollup(graph.file_deps(g.edges), g.files)
+    return rollup.join(package.where("published").select(F.col("package").alias("from_package")), "from_package", "left_semi").join(
+        package.where("not published").select(F.col("package").alias("to_package")), "to_package", "left_semi")
 
 
 def freshness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files against an older state, in which other files are missing and some have other contents."""
-    current = lens.files(spark, sf_dir).select("file", "path", "content_hash", "size")
-    stored = current.where("file % 11 <> 0").withColumn("content_hash", F.when(F.col("size") > 40, F.lit("old")).otherwise(F.col("content_hash")))
-    return graph.freshness(stored, current.where("file % 13 <> 0"))
+    """The files of today against those of an older state: changed, added and deleted."""
+    return graph.freshness(*lens.states(spark, sf_dir))
 
 
 QUERIES = {
@@ -190,7 +195,7 @@ QUERIES = {
     for f in (
         dependents_direct, dependents_transitive, dependents_depth2, dependents_cyclic, dependencies_transitive, impact_summary,
         blast_score, impact_uncovered, impact_packages, evidence_top3, hubs_topk, edge_merge, file_deps_projection, tests_for,
-        repo_map_counts, repo_map_directories, package_counts, find_symbol, published_closure, file_roles, component_rollup,
+        repo_map_counts, repo_map_directories, package_counts, find_symbol, published_closure, published_entry_counts, file_roles, component_rollup,
         forbidden_dependencies, freshness_counts,
     )
 }
@@ -208,7 +213,7 @@ ROLLUP_SQL = """
 CYCLIC = """
   deps AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, bool_or(a.l_returnflag <> 'N') AS exact
            FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-           WHERE a.l_orderkey % 7 = 0 AND a.l_partkey <> b.l_partkey GROUP BY ALL)"""
+           WHERE a.l_partkey <> b.l_partkey GROUP BY ALL)"""
 
 ORACLES = {
     "dependents_direct": with_sql(EDGES_SQL) + f" SELECT src AS id, exact FROM deps WHERE dst = {TARGET}",
@@ -217,9 +222,9 @@ ORACLES = {
       SELECT id, bool_or(exact) AS exact FROM (SELECT id, exact FROM one UNION ALL
         SELECT d.src, o.exact AND d.exact FROM one o JOIN deps d ON d.dst = o.id WHERE d.src <> {TARGET}) GROUP BY id""",
     "dependents_cyclic": with_sql(CYCLIC, reach_sql(ONE)) + " SELECT id, exact FROM reach",
-    "dependencies_transitive": with_sql(EDGES_SQL, reach_sql("SELECT src AS target, dst AS id, exact FROM deps", "r.id = d.src", "d.dst")) + " SELECT * FROM reach",
-    "impact_summary": with_sql(EDGES_SQL, reach_sql(ALL), SUMMARY_SQL) + " SELECT * FROM summary",
-    "blast_score": with_sql(EDGES_SQL, reach_sql(ALL), SUMMARY_SQL)
+    "dependencies_transitive": with_sql(EDGES_SQL, reach_sql(f"SELECT src AS target, dst AS id, exact FROM deps WHERE src % {lens.QUERY_STEP} = 0", "r.id = d.src", "d.dst")) + " SELECT * FROM reach",
+    "impact_summary": with_sql(EDGES_SQL, reach_sql(ASKED), SUMMARY_SQL) + " SELECT * FROM summary",
+    "blast_score": with_sql(EDGES_SQL, reach_sql(ASKED), SUMMARY_SQL)
     + " SELECT target, CAST(least(100, 2 * n_exact + (n_transitive - n_exact) + n_uncovered + 5 * n_packages) AS BIGINT) AS score FROM summary",
     "impact_uncovered": with_sql(EDGES_SQL, reach_sql(ONE)) + " SELECT id, exact FROM reach WHERE id NOT IN (SELECT file FROM covered)",
     "impact_packages": with_sql(EDGES_SQL, reach_sql(ONE)) + " SELECT package, count(*) AS n_files FROM reach JOIN files ON file = id GROUP BY package",
@@ -238,7 +243,11 @@ ORACLES = {
     "find_symbol": f"""
       SELECT DISTINCT l_partkey AS file, CASE WHEN l_suppkey % 2 = 0 THEN 'Class' || (l_suppkey % 7) || '.' ELSE '' END || 'fn' || l_suppkey AS name
       FROM lineitem WHERE 'fn' || l_suppkey = '{SYMBOL}'""",
-    "published_closure": with_sql(EDGES_SQL, reach_sql("SELECT src AS target, dst AS id, exact FROM deps JOIN files ON file = src WHERE published AND NOT is_test", "r.id = d.src", "d.dst"))
+    "published_closure": with_sql(EDGES_SQL) + """,
+      seen AS (SELECT d.dst AS id, d.exact FROM deps d JOIN files ON file = d.src WHERE published AND NOT is_test
+               UNION SELECT d.dst, s.exact AND d.exact FROM seen s JOIN deps d ON d.src = s.id)
+      SELECT id, bool_or(exact) AS exact FROM seen GROUP BY id""",
+    "published_entry_counts": with_sql(EDGES_SQL, reach_sql(f"SELECT src AS target, dst AS id, exact FROM deps JOIN files ON file = src WHERE published AND NOT is_test AND src % {lens.QUERY_STEP} = 0", "r.id = d.src", "d.dst"))
     + " SELECT id, count(*) AS n_entries FROM reach GROUP BY id",
     "file_roles": with_sql(EDGES_SQL) + """
       SELECT file, fan_in, fan_out, CASE WHEN fan_in >= 50 THEN 'hub' WHEN fan_in >= 10 THEN 'core' WHEN fan_in = 0 THEN 'leaf' ELSE 'inner' END AS role
@@ -249,6 +258,6 @@ ORACLES = {
       SELECT * FROM rollup WHERE from_package IN (SELECT package FROM files WHERE published) AND to_package IN (SELECT package FROM files WHERE NOT published)""",
     "freshness_counts": """
       SELECT count_if(old <> new) AS n_changed, count_if(old IS NULL) AS n_added, count_if(new IS NULL) AS n_deleted
-      FROM (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'old' ELSE 'same' END AS old FROM part WHERE p_partkey % 11 <> 0)
-      FULL JOIN (SELECT p_partkey AS k, 'same' AS new FROM part WHERE p_partkey % 13 <> 0) USING (k)""",
+      FROM (SELECT l_partkey AS k, max(l_quantity) AS old FROM lineitem WHERE l_shipdate < DATE '1995-04-01' GROUP BY k)
+      FULL JOIN (SELECT l_partkey AS k, max(l_quantity) AS new FROM lineitem WHERE l_shipdate >= DATE '2001-09-01' GROUP BY k) USING (k)""",
 }

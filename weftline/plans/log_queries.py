@@ -10,7 +10,7 @@ from weftline.operators import events as ev
 from weftline.operators import experiments as ex
 from weftline.sources import lens
 
-RESAMPLES, SEED, COST_CAP, IDLE_DAYS = 200, 7, 50_000, 7
+RESAMPLES, SEED, COST_CAP, IDLE_DAYS = 10_000, 7, 50_000, 7
 
 
 def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,11 @@ QUERIES = {
 EVENTS = """e AS (
   SELECT event_id AS seq, ts, (event_id // 2) % 150 AS session, event_id // 2 AS tool_use, event_type AS tool,
          CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS phase, CAST(round(value) AS BIGINT) AS ms, user_id % 40 AS path,
-         CAST(floor(value) AS BIGINT) AS added FROM events)"""
+         CAST(floor(value) AS BIGINT) AS added, event_id % 7 AS removed FROM events),
+  edits AS (
+    SELECT b.session, b.tool_use, b.path, CASE WHEN a.ts IS NULL THEN 0 ELSE b.removed END AS removed, coalesce(greatest(b.added - a.added, 0), 0) AS added, a.ts IS NULL AS partial
+    FROM (SELECT * FROM e WHERE phase = 'end') b LEFT JOIN (SELECT * FROM e WHERE phase = 'start') a
+      ON a.session = b.session AND a.tool_use = b.tool_use AND a.ts <= b.ts AND a.ts >= b.ts - INTERVAL 10 MINUTE)"""
 MERGED = """calls AS (
   SELECT session, tool_use, arg_min(ts, seq) AS ts, arg_min(tool, seq) AS tool, max(ts) FILTER (phase = 'end') AS ended_at,
          arg_max(ms, seq) FILTER (phase = 'end') AS duration_ms, count_if(phase = 'start') = 0 AS partial FROM e GROUP BY ALL)"""
@@ -179,30 +183,28 @@ ORACLES = {
     "tool_call_merge": f"WITH {EVENTS}, {MERGED} SELECT * FROM calls",
     "hook_percentiles": f"""WITH {EVENTS} SELECT tool, count(*) AS n_calls, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS max_ms
       FROM e WHERE ms IS NOT NULL GROUP BY tool""",
-    "diff_by_path": f"WITH {EVENTS} SELECT session, path, CAST(sum(added) AS BIGINT) AS added, count(*) AS n_edits, bool_or(phase = 'end') AS has_end FROM e GROUP BY ALL",
-    "edit_pairs": f"""WITH {EVENTS} SELECT b.session, b.tool_use, coalesce(greatest(b.added - a.added, 0), 0) AS added, a.ts IS NULL AS partial
-      FROM (SELECT * FROM e WHERE phase = 'end') b LEFT JOIN (SELECT * FROM e WHERE phase = 'start') a
-      ON a.session = b.session AND a.tool_use = b.tool_use AND a.ts <= b.ts AND a.ts >= b.ts - INTERVAL 10 MINUTE""",
+    "diff_by_path": f"WITH {EVENTS} SELECT session, path, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, count(*) AS n_edits, bool_or(partial) AS partial FROM edits GROUP BY ALL",
+    "edit_pairs": f"WITH {EVENTS} SELECT * FROM edits",
     "retention_prune": f"""WITH s AS (SELECT event_id AS seq, event_id // 20 AS session, ts FROM events)
       SELECT seq, session FROM s WHERE session IN (SELECT session FROM s GROUP BY session HAVING max(ts) >= (SELECT max(ts) FROM s) - INTERVAL {IDLE_DAYS} DAY)""",
     "tool_tally": f"WITH {EVENTS} SELECT session, tool, count(*) AS n FROM e WHERE phase = 'start' GROUP BY ALL",
     "session_report": f"""WITH {EVENTS}, {MERGED},
-      edits AS (SELECT session, path, sum(added) AS added FROM e GROUP BY ALL)
+      paths AS (SELECT session, path, sum(added) AS added FROM edits GROUP BY ALL)
       SELECT * FROM (SELECT session, count(*) AS n_events, arg_min(tool, seq) AS first_tool, arg_max(tool, seq) AS last_tool FROM e GROUP BY session)
       JOIN (SELECT session, count(*) AS n_calls, count_if(partial) AS n_partial, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM calls GROUP BY session) USING (session)
-      JOIN (SELECT session, count(*) AS n_paths, CAST(sum(added) AS BIGINT) AS added FROM edits GROUP BY session) USING (session)""",
+      JOIN (SELECT session, count(*) AS n_paths, CAST(sum(added) AS BIGINT) AS added FROM paths GROUP BY session) USING (session)""",
     "task_effects": f"WITH {RUNS} SELECT *, treatment - baseline AS effect FROM effects WHERE n_baseline > 0 AND n_treatment > 0",
     "log_ratio": f"""WITH {RUNS} SELECT count(*) AS n_tasks, CASE WHEN count(x) = count(*) THEN avg(x) END AS effect,
       CASE WHEN count(x) = count(*) THEN (exp(avg(x)) - 1) * 100 END AS percent
       FROM (SELECT CASE WHEN baseline > 0 AND treatment > 0 THEN ln(treatment / baseline) END AS x FROM effects WHERE n_baseline > 0 AND n_treatment > 0)""",
     "bootstrap_ci": f"""WITH {RUNS},
-      numbered AS (SELECT task, condition, metric, row_number() OVER (PARTITION BY task, condition ORDER BY run) - 1 AS pos, count(*) OVER (PARTITION BY task, condition) AS n FROM ok),
-      drawn AS (SELECT task, condition, resample, {draw_sql(SEED, "resample", "pos", "CASE WHEN condition = 'baseline' THEN 0 ELSE 1 END")} % n AS pos FROM numbered, range(0, {RESAMPLES}) AS t(resample)),
-      means AS (SELECT task, resample, avg(metric) FILTER (condition = 'baseline') AS b, avg(metric) FILTER (condition = 'treatment') AS t
-                FROM drawn JOIN numbered USING (task, condition, pos) GROUP BY ALL)
+      drawn AS (SELECT task, condition, metric, resample, {draw_sql(SEED, "resample", "run")} AS u FROM ok, range(0, {RESAMPLES}) AS t(resample)),
+      weighed AS (SELECT task, condition, metric, resample, {" + ".join(f"(u >= {cut})::INT" for cut in ex.OCCURRENCES)} AS w FROM drawn),
+      means AS (SELECT task, resample, sum(w * metric) FILTER (condition = 'baseline') / nullif(sum(w) FILTER (condition = 'baseline'), 0) AS b,
+                       sum(w * metric) FILTER (condition = 'treatment') / nullif(sum(w) FILTER (condition = 'treatment'), 0) AS t FROM weighed GROUP BY ALL)
       SELECT task, count(*) AS n, quantile_cont(t - b, 0.025) AS low, quantile_cont(t - b, 0.975) AS high FROM means WHERE b IS NOT NULL AND t IS NOT NULL GROUP BY task""",
     "cost_cap_prefix": f"""WITH {RUNS} SELECT * FROM (SELECT task, run AS block, metric AS cost,
-      CAST(sum(metric) OVER (PARTITION BY task ORDER BY run ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM r) WHERE spent <= {COST_CAP}""",
+      CAST(sum(metric) OVER (ORDER BY run ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM r) WHERE spent - cost < {COST_CAP}""",
     "resume_remaining": f"WITH {RUNS} SELECT task, trial, condition FROM r WHERE (task, trial, condition) NOT IN (SELECT (task, trial, condition) FROM r WHERE status = 'ok')",
     "precision_recall": """WITH x AS (SELECT o_custkey AS key, l_partkey AS item, o_totalprice, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       a AS (SELECT DISTINCT key, item FROM x WHERE l_quantity >= 25), t AS (SELECT DISTINCT key, item FROM x WHERE o_totalprice >= 100000),

@@ -35,8 +35,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, kind, exact, line: one row per occurrence, duplicates included. Edges of test files are of kind tests."""
     line = table(spark, sf_dir, "lineitem")
-    a = line.where("l_orderkey % 3 = 0").select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_returnflag") != "N").alias("exact"), F.col("l_linenumber").alias("line"))
-    b = line.where("l_orderkey % 3 = 0 and l_partkey % 10 = 0").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    a = line.select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_returnflag") != "N").alias("exact"), F.col("l_linenumber").alias("line"))
+    b = line.select("l_orderkey", F.col("l_partkey").alias("dst"))
     kind = F.element_at(F.array(*map(F.lit, DEPENDENCY_KINDS)), F.col("line") % 4 + 1)
     pairs = a.join(b, "l_orderkey").where("src > dst")
     tests = files(spark, sf_dir).select(F.col("file").alias("src"), "is_test")
@@ -46,12 +46,29 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cyclic_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, exact: parts of consecutive lines of an order; a graph with large cycles."""
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"), (F.col("l_returnflag") != "N").alias("exact"))
     b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
     return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").groupBy("src", "dst").agg(F.max("exact").alias("exact"))
 
 
+#: Queries that answer many targets at once take every file whose id is divisible by this, against all edges.
+QUERY_STEP = 50
+
+
+def query_set(files: DataFrame) -> DataFrame:
+    """target: the files that the queries on many targets ask about."""
+    return files.where(F.col("file") % QUERY_STEP == 0).select(F.col("file").alias("target"))
+
+
+def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """path, content_hash of the files at two times: those ordered up to a date, and those ordered since, whose contents
+    are the largest quantity by then."""
+    line = table(spark, sf_dir, "lineitem")
+    state = lambda when: line.where(when).groupBy(F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_quantity").cast("string").alias("content_hash"))
+    return state("l_shipdate < date'1995-04-01'"), state("l_shipdate >= date'2001-09-01'")
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, name: a symbol for each supplier that a part was bought from, methods with a dotted name."""
     line = table(spark, sf_dir, "lineitem")
@@ -73,6 +90,7 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("value").cast("long").alias("ms"),
         (F.col("user_id") % 40).alias("path"),
         F.floor("value").cast("long").alias("added"),
+        (F.col("event_id") % 7).alias("removed"),
     )
 
 
