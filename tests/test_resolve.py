@@ -179,3 +179,42 @@ def test_typescript_forms():
     assert [(s["name"], s["subkind"], s["exportNames"]) for s in f["symbols"]] == [("default", "function", ["default"]), ("re", "variable", []), ("s", "variable", []), ("A", "class", []), ("A.c", "method", [])]
     assert f["localExports"] == [{"local": "re", "exported": "r2", "line": 3}]
     assert fx.file_facts("", "javascript") == fx.empty() and fx.file_facts("", "python") == fx.empty()
+
+
+def _facts(spark, sources):
+    rows = spark.createDataFrame(list(sources.items()), "path string, content string")
+    files = rows.select("path", "content", F.sha2("content", 256).alias("content_hash"), repository.language(F.col("path")).alias("lang"), repository.is_test(F.col("path")).alias("is_test"))
+    return files, fx.extract(files)
+
+
+def test_bindings_that_lead_out_are_final_and_stars_go_in_order(spark):
+    sources = {
+        "a.ts": 'import { x } from "react";\nexport { x };\nexport * from "./b";\n',
+        "b.ts": "export const x = 1;\nexport const free = 2;\n",
+        "stars.ts": 'export * from "./one";\nexport * from "./two";\n',
+        "one.ts": 'export * from "./deep";\n',
+        "deep.ts": "export function y() {}\n",
+        "two.ts": "export function y() {}\nexport function only() {}\n",
+        "loop.ts": 'export * from "./loop2";\nexport * from "./two";\n',
+        "loop2.ts": 'export * from "./loop";\n',
+        "use.ts": 'import { x, free } from "./a";\nimport { y, only } from "./stars";\nimport { only as o2 } from "./loop";\nimport { nothing } from "./loop2";\nx(); free(); y(); only(); o2(); nothing();\n',
+    }
+    files, facts = _facts(spark, sources)
+    edges = resolve.build_edges(facts, spark.createDataFrame([], "path string, name string, manifest string, published boolean, dependencies array<string>, entries array<string>"))
+    got = {(r.src, r.dst) for r in edges.where("src = 'use.ts' and dst like '%#%'").collect()}
+    assert got == {("use.ts", "b.ts#free"), ("use.ts", "deep.ts#y"), ("use.ts", "two.ts#only")}
+
+
+def test_two_manifests_in_one_folder(spark):
+    files, facts = _facts(spark, {"app/package.json": '{"name": "web", "dependencies": {"react": "1"}}', "app/pyproject.toml": '[project]\nname = "srv"\ndependencies = ["requests>=2"]\n', "app/setup.py": 'setup(name="old")', "app/x.py": "import requests\nimport flask\n", "app/y.ts": 'import "react";\n', "z.py": ""})
+    packages = repository.packages(files)
+    assert {(r.path, r.name, r.manifest) for r in packages.collect()} == {("app", "web", "package.json"), ("app", "srv", "pyproject.toml")}
+    assert {(r.path, r.package) for r in repository.nearest_package(files.where("lang is not null"), packages).collect()} == {("app/x.py", "srv"), ("app/y.ts", "web"), ("app/setup.py", "srv")}
+    declared = {(r.external, r.declared) for r in resolve.resolve_imports(facts, packages).where("external_kind = 'third_party'").collect()}
+    assert declared == {("requests", True), ("flask", False), ("react", True)}
+
+
+def test_long_chains_of_configs(spark):
+    rows = [("c0/tsconfig.json", '{"extends": "./t1.json"}')] + [(f"c0/t{i}.json", f'{{"extends": "./t{i + 1}.json"}}') for i in range(1, 20)] + [("c0/t20.json", '{"compilerOptions": {"baseUrl": "./src"}, "extends": "./t3.json"}')]
+    got = resolve.path_aliases(spark.createDataFrame(rows, "path string, content string")).collect()
+    assert [(r.folder, r.targets) for r in got] == [("c0", ["c0/src"])]

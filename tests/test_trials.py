@@ -28,6 +28,27 @@ def test_sequential_bootstrap():
     assert trials.sequential_bootstrap([([1, 2, 3.0], [4, 5, 6.0])], "difference", 0.95, 7, 300) == trials.sequential_bootstrap([([1, 2, 3.0], [4, 5, 6.0])], "difference", 0.95, 7, 300)
 
 
+def test_numbers_are_those_of_the_generator():
+    for seed in (0, 1, 12345, 2**32 - 1):
+        random = trials.Random(seed)
+        assert [random() for _ in range(50)] == trials.numbers(seed, 50).tolist()
+
+
+def test_sequential_bootstrap_equals_a_plain_loop():
+    groups, seed, rounds = [([1.0, 2.0, 4.0], [3.0, 5.0]), ([2.0, 2.5], [4.0, 1.0, 7.0])], 11, 400
+    random, values = trials.Random(seed), []
+    for _ in range(rounds):
+        effects = []
+        for b, t in groups:
+            mb, mt = (sum(v[int(random() * len(v))] for _ in v) / len(v) for v in (b, t))
+            effects.append(mt - mb)
+        values.append(sum(effects) / 2)
+    values.sort()
+    at = lambda q: values[int((rounds - 1) * q)] + (values[min(rounds - 1, int((rounds - 1) * q) + 1)] - values[int((rounds - 1) * q)]) * ((rounds - 1) * q % 1)
+    got = trials.sequential_bootstrap(groups, "difference", 0.9, seed, rounds)
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got[1:], (at(0.05), at(0.95)), strict=True))
+
+
 def test_report(spark):
     rows = [("pass", t, i, c, "ok", float(c == "treatment")) for t in "ab" for i, c in enumerate(trials.CONDITIONS * 5)]
     rows += [("tokens", "a", i, c, "ok", 100.0 + i if c == "baseline" else 50.0 + i) for i, c in enumerate(trials.CONDITIONS * 6)] + [("tokens", "a", 99, "baseline", "error", 9e9)]

@@ -59,13 +59,13 @@ OCCURRENCES = tuple(int(2147483647 * sum(exp(-1) / factorial(k) for k in range(n
 AT_ONCE = 250
 
 
-def bootstrap(runs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """task, n, low and high: percentile interval of the effect, runs drawn anew within each task and condition.
+def resampled_means(runs: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """task, resample, baseline and treatment: the means of the runs drawn anew within each task and condition.
 
     How often a run is in a resample follows a Poisson law, given by a counter-based generator from the numbers of
     both alone. So no order of rows matters, no run is looked up or sent anywhere, and a task of Spark gives sums per
-    resample for what it reads: what is shuffled doesn't grow with the runs. A resample without a run of some
-    condition doesn't count; ``n`` counts the others.
+    resample for what it reads: what is shuffled doesn't grow with the runs. A condition without a run in a resample
+    has no mean there.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +87,35 @@ def bootstrap(runs: DataFrame, resamples: int = 10_000, level: float = 0.95, see
     rows = usable(runs).select(F.col("task").cast("string"), F.col("condition").cast("string"), F.col("run").cast("long"), F.col("metric").cast("double"))
     of = lambda name, value: F.sum(F.when(F.col("condition") == name, F.col(value)))
     parts = rows.mapInArrow(partial, "task string, condition string, resample long, n double, total double").groupBy("task", "resample")
-    means = parts.agg(*(F.try_divide(of(c, "total"), of(c, "n")).alias(c) for c in ("baseline", "treatment")))
-    effect = means.where("baseline is not null and treatment is not null").select("task", (F.col("treatment") - F.col("baseline")).alias("effect"))
+    return parts.agg(*(F.try_divide(of(c, "total"), of(c, "n")).alias(c) for c in ("baseline", "treatment")))
+
+
+def interval(column: str, level: float) -> list[Column]:
     tail = (1 - level) / 2
-    return effect.groupBy("task").agg(F.count("*").alias("n"), F.percentile("effect", tail).alias("low"), F.percentile("effect", 1 - tail).alias("high"))
+    return [F.percentile(column, tail).alias("low"), F.percentile(column, 1 - tail).alias("high")]
+
+
+def bootstrap(runs: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """task, n, low and high: percentile interval of each task's effect over the resamples that have both conditions."""
+    means = resampled_means(runs, resamples, seed).where("baseline is not null and treatment is not null")
+    return means.select("task", (F.col("treatment") - F.col("baseline")).alias("effect")).groupBy("task").agg(F.count("*").alias("n"), *interval("effect", level))
+
+
+def bootstrap_effect(runs: DataFrame, kind: str = "difference", resamples: int = 10_000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """estimate, low and high of the mean effect over tasks (a difference or a log-ratio): one row.
+
+    All are null if a task lacks a condition, or for log ratios if a mean isn't positive; there is always a row.
+    """
+    ratio = F.when((F.col("baseline") > 0) & (F.col("treatment") > 0), F.log(F.col("treatment") / F.col("baseline")))
+    effect = F.col("treatment") - F.col("baseline") if kind == "difference" else ratio
+    mean = lambda name: F.avg(F.when(F.col("condition") == name, F.col("metric"))).alias(name)
+    tasks = usable(runs).groupBy("task").agg(mean("baseline"), mean("treatment")).select(effect.alias("effect"))
+    whole = lambda n: F.when((F.count("effect") == n) & (F.count("effect") > 0), F.avg("effect"))
+    one = tasks.agg(whole(F.count("*")).alias("estimate"), F.count("*").alias("n_tasks"))
+    drawn = resampled_means(runs, resamples, seed).select("resample", effect.alias("effect")).groupBy("resample").agg(F.avg("effect").alias("value"), F.count("effect").alias("n"))
+    found = drawn.join(F.broadcast(one), F.col("n") == F.col("n_tasks")).agg(*interval("value", level))
+    sure = F.col("estimate").isNotNull()  # both sides of the join are one row
+    return one.join(F.broadcast(found), F.lit(True)).select("estimate", F.when(sure, F.col("low")).alias("low"), F.when(sure, F.col("high")).alias("high"))
 
 
 def precision_recall(answers: DataFrame, truth: DataFrame) -> DataFrame:

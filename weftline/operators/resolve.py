@@ -8,11 +8,13 @@ re-exports by requests that spread until none is new, and answered backwards. No
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import materialize
+from weftline.sources.repository import ancestors
 
 # fixed values: endings that are tried in turn, and modules that come with Node
 ENDINGS = (".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -23,10 +25,6 @@ NODE_MODULES = (
 ).split()
 
 
-#: Configs that one can extend, one after the other.
-MOST_EXTENDS = 16
-
-
 def normal_path(path: Column) -> Column:
     """A path without empty, ``.`` and ``..`` parts."""
     step = lambda acc, part: F.when(part.isin("", "."), acc).when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, part))
@@ -37,13 +35,6 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def ancestors(path: Column) -> Column:
-    """The folder of a path and all above it, the root as "", each with its depth."""
-    parts = F.split(folder(path), "/")
-    own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder")))
-    return F.array_distinct(own)
-
-
 def join_path(*parts: Column) -> Column:
     return normal_path(F.concat_ws("/", *parts))
 
@@ -68,17 +59,17 @@ def path_aliases(files: DataFrame) -> DataFrame:
     """folder, pattern, rank, targets of the path aliases of each tsconfig.json, and for each a row with a null pattern
     whose target is the base folder, if a ``baseUrl`` is set.
 
-    What a config doesn't say itself comes from the one that it extends by a relative path, and so on; a cycle ends the
-    chain. Of patterns an exact one ranks first, then those with the longest beginning.
+    What a config doesn't say itself comes from the one that it extends by a relative path, and so on; a config that is
+    met again ends the chain. Of patterns an exact one ranks first, then those with the longest beginning.
     """
     named = files.where(F.substring_index("path", "/", -1).rlike(r"^[\w.-]*\.json$") & ~F.substring_index("path", "/", -1).isin("package.json", "package-lock.json"))
     read = materialize(named.select("path", "content").mapInPandas(_read_configs, "path string, parent string, base string, aliases array<struct<pattern: string, targets: array<string>>>"), "configs")
-    chain = read.where(F.substring_index("path", "/", -1) == "tsconfig.json").select(F.col("path").alias("config"), "parent", "base", "aliases")
+    chain = read.where(F.substring_index("path", "/", -1) == "tsconfig.json").select(F.col("path").alias("config"), "parent", "base", "aliases", F.array(F.col("path")).alias("met"))
     up = read.select(F.col("path").alias("parent"), F.col("parent").alias("next"), F.col("base").alias("up_base"), F.col("aliases").alias("up_aliases"))
-    for _ in range(MOST_EXTENDS):
-        if chain.where("parent is not null").isEmpty():
-            break
-        chain = materialize(chain.join(up, "parent", "left").select("config", F.col("next").alias("parent"), F.coalesce("base", "up_base").alias("base"), F.coalesce("aliases", "up_aliases").alias("aliases")), "configs")
+    while not chain.where("parent is not null").isEmpty():
+        onward = F.when(~F.array_contains("met", F.col("next")), F.col("next")).alias("parent")
+        inherited = [F.coalesce(c, f"up_{c}").alias(c) for c in ("base", "aliases")]
+        chain = materialize(chain.join(up, "parent", "left").select("config", onward, *inherited, F.array_append("met", F.col("parent")).alias("met")), "configs")
     rows = chain.select(folder(F.col("config")).alias("folder"), "base", F.explode_outer("aliases").alias("a")).select("folder", "base", "a.*").where("pattern is not null")
     star = F.instr("pattern", "*")
     out = rows.select("folder", "pattern", F.when(star > 0, star - 1).otherwise(1_000_000).alias("rank"), "targets")
@@ -141,7 +132,7 @@ def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame |
         aliased = best.select(*key, "plain", F.flatten(F.transform(put, probes)).alias("tried")).select(*key, F.explode(F.transform("tried", lambda p, k: F.struct((F.when(F.col("plain"), 75).otherwise(50) + k / 10_000).cast("double").alias("rank"), p.alias("candidate"), F.lit(True).alias("exact")))).alias("c"))
         relative = relative.select(*key, F.struct(F.col("c.rank").cast("double").alias("rank"), "c.candidate", "c.exact").alias("c")).unionAll(aliased)
 
-    named = packages.select(F.col("path").alias("home"), F.col("name").alias("package"), "entries")
+    named = packages.where("manifest = 'package.json'").select(F.col("path").alias("home"), F.col("name").alias("package"), "entries")
     workspace = script.where(~spec.rlike(r"^[./]")).withColumn("package", import_name(F.col("lang"), spec)).join(named, "package")
     rest = F.expr("substring(specifier, length(package) + 2)")
     entry = F.flatten(F.transform("entries", lambda e: probes(join_path(F.col("home"), e))))
@@ -184,8 +175,8 @@ def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame |
 
 
 def bindings_of(resolved: DataFrame) -> DataFrame:
-    """src, local, imported, target, exact of every bound name whose import is a file."""
-    rows = resolved.where("target is not null").select("src", "lang", "kind", "line", "idx", "target", "exact", F.explode("bindings").alias("b"))
+    """src, local, imported, target, exact of every bound name; the target is null where the import is no file."""
+    rows = resolved.select("src", "lang", "kind", "line", "idx", "target", "exact", F.explode("bindings").alias("b"))
     return rows.select("src", "lang", "kind", "line", "idx", "target", "exact", "b.imported", "b.local")
 
 
@@ -206,7 +197,7 @@ def aliases(facts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame
     python = bound.where("lang = 'python'").select(F.col("src").alias("module"), F.col("local").alias("name"), F.lit(3).alias("rank"), F.col("target").alias("to_module"), F.col("imported").alias("to_name"))
     stars = resolved.where("wildcard and target is not null").select(F.col("src").alias("module"), (F.col("idx") + 5).alias("rank"), F.col("target").alias("to_module"))
     links = through.unionAll(named).unionAll(python)
-    # of all that a module says about a name only the first kind counts, even where it leads nowhere
+    # of all that a module says about a name only the first kind counts, even where it leads out of the repository
     links = links.groupBy("module", "name").agg(F.min_by(F.struct("rank", "to_module", "to_name"), "rank").alias("l")).select("module", "name", "l.*")
     return own, links, stars
 
@@ -215,8 +206,9 @@ def resolve_names(requests: DataFrame, own: DataFrame, links: DataFrame, stars:
     """module, name, at_module, at_symbol for ``requests(module, name)``; at_symbol is null where a module is meant.
 
     A module's own definition comes first, then its aliases, then its stars in order (never for ``default``), then for
-    Python a submodule of that name. Chains are followed until no request is new; of several stars the one whose
-    definition is fewest steps away answers, and of these the first. Cycles answer nothing.
+    Python a submodule of that name. Requests spread until none is new. Then answers come back round by round: a name
+    is settled once its link is, or once a star is answered and all stars before it are settled as unknown; what can
+    no longer be settled, as cycles, is unknown. So of several stars the first in order that knows the name answers.
     """
     own, links, stars = (materialize(t, n) for t, n in ((own, "definitions"), (links, "aliases"), (stars, "stars")))
     submodule = facts.where("lang = 'python'").select(F.col("path").alias("file"), F.regexp_replace("path", r"(/__init__)?\.pyi?$", "").alias("stem"))
@@ -228,29 +220,42 @@ def resolve_names(requests: DataFrame, own: DataFrame, links: DataFrame, stars:
         star = left.where("name <> 'default'").join(links, ["module", "name"], "left_anti").join(stars, "module").select("module", "name", "rank", "to_module", F.col("name").alias("to_name"))
         step = materialize(alias.unionAll(star), "steps")
         steps.append(step)
-        asked = materialize(step.select(F.col("to_module").alias("module"), F.col("to_name").alias("name")).distinct().join(everything, ["module", "name"], "left_anti"), "requests")
+        asked = materialize(step.where("to_module is not null").select(F.col("to_module").alias("module"), F.col("to_name").alias("name")).distinct().join(everything, ["module", "name"], "left_anti"), "requests")
         everything = everything.unionAll(asked)
-    every_step = steps[0] if steps else None
-    for step in steps[1:]:
-        every_step = every_step.unionAll(step)
+    none = F.lit(None).cast("string")
     done = everything.join(own, ["module", "name"]).select("module", "name", F.col("module").alias("at_module"), F.col("symbol").alias("at_symbol"))
-    modules = everything.where("name = '*'").select("module", "name", F.col("module").alias("at_module"), F.lit(None).cast("string").alias("at_symbol"))
-    inner = everything.where("module like '%/\\\\_\\\\_init\\\\_\\\\_.py' or module = '__init__.py'").withColumn("stem", F.concat_ws("/", F.regexp_replace(F.regexp_replace("module", r"(^|/)__init__\.py$", ""), "^$", "."), "name")).join(submodule, "stem")
+    modules = everything.where("name = '*'").select("module", "name", F.col("module").alias("at_module"), none.alias("at_symbol"))
     known = materialize(done.unionAll(modules), "resolved")
-    answers = known
-    if every_step is None:
-        return answers
-    last_resort = inner.select("module", "name", F.col("file").alias("at_module"), F.lit(None).cast("string").alias("at_symbol"))
+    if not steps:
+        return known
+    pending = materialize(reduce(DataFrame.unionAll, steps), "steps")
+    inner = everything.where("module like '%/\\\\_\\\\_init\\\\_\\\\_.py' or module = '__init__.py'").withColumn("stem", F.concat_ws("/", F.regexp_replace(F.regexp_replace("module", r"(^|/)__init__\.py$", ""), "^$", "."), "name")).join(submodule, "stem")
+    submodules = materialize(inner.select("module", "name", F.col("file").alias("at_module"), none.alias("at_symbol")), "submodules")
+    # names without a definition or a step are unknown, unless a submodule has the name
+    dead_end = everything.join(known, ["module", "name"], "left_anti").join(pending, ["module", "name"], "left_anti")
+    settled = materialize(known.unionAll(_or_submodule(dead_end, submodules)), "settled")
     while True:
-        open_steps = every_step.join(answers.select("module", "name"), ["module", "name"], "left_anti")
-        to = known.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "at_module", "at_symbol")
-        known = materialize(open_steps.join(to, ["to_module", "to_name"]).groupBy("module", "name").agg(F.min_by(F.struct("at_module", "at_symbol"), "rank").alias("a")).select("module", "name", "a.*"), "resolved")
-        if known.isEmpty():
-            if last_resort is None:
-                return answers
-            known = materialize(last_resort.join(answers, ["module", "name"], "left_anti"), "resolved")
-            last_resort = None
-        answers = answers.unionAll(known)
+        to = settled.select(F.col("module").alias("of_module"), F.col("name").alias("of_name"), "at_module", "at_symbol", F.lit(True).alias("found"))
+        waiting = pending.join(settled.select("module", "name"), ["module", "name"], "left_anti").join(to, (F.col("to_module") == F.col("of_module")) & (F.col("to_name") == F.col("of_name")), "left")
+        known_at = F.when(F.col("at_module").isNotNull(), F.col("rank"))
+        open_at = F.when(F.col("to_module").isNotNull() & F.col("found").isNull(), F.col("rank"))
+        best = waiting.groupBy("module", "name").agg(F.min(known_at).alias("first"), F.min(open_at).alias("open"), F.min("rank").alias("least"), F.min_by(F.struct("at_module", "at_symbol"), known_at).alias("a"))
+        answered = best.where("first < coalesce(open, 2147483647)").select("module", "name", "a.*")
+        unknown = best.where("first is null and open is null")  # a link is final, even one that leads nowhere
+        unknown = _or_submodule(unknown.where("least >= 5"), submodules).unionAll(unknown.where("least < 5").select("module", "name", none, none))
+        new = materialize(answered.unionAll(unknown), "settled")
+        if new.isEmpty():  # only cycles are left: the first of the stars that are answered, or else a submodule
+            new = materialize(best.where("first is not null").select("module", "name", "a.*"), "settled")
+        if new.isEmpty():
+            new = materialize(_or_submodule(best.where("least >= 5"), submodules).where("at_module is not null"), "settled")
+        if new.isEmpty():
+            return settled.where("at_module is not null")
+        settled = materialize(settled.unionAll(new), "settled")
+
+
+def _or_submodule(names: DataFrame, submodules: DataFrame) -> DataFrame:
+    """module, name and the submodule of that name, or nulls."""
+    return names.select("module", "name").join(submodules, ["module", "name"], "left")
 
 
 def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
@@ -261,7 +266,7 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     facts = materialize(facts, "facts")
     resolved = materialize(resolve_imports(facts, packages, configs), "imports")
     own, links, stars = aliases(facts, resolved)
-    bound = materialize(bindings_of(resolved), "bindings")
+    bound = materialize(bindings_of(resolved).where("target is not null"), "bindings")
     uses = facts.select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.where("kind not in ('reexport')").select("src", "local", "imported", "target", "exact"), ["src", "local"])
     # a member of a whole module is a name of that module; the whole module itself is no use of a name
     use_name = F.when(F.col("imported") != "*", F.col("imported")).otherwise(F.coalesce("member", F.lit("default")))

@@ -152,10 +152,38 @@ LINKS = """l AS (
   FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM pages))"""
 
 
+# written by hand from the description of each kind, not made of the rules of the library
+SECRETS_SQL = (
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]", "g"),
+    (r"\bA[KS]IA[0-9A-Z]{16}\b", "[REDACTED]", "g"),
+    (r"\bgithub_pat_\w{20,}\b", "[REDACTED]", "g"),
+    (r"\bgh[oprsu]_[0-9A-Za-z]{30,}\b", "[REDACTED]", "g"),
+    (r"\bglpat-[\w-]{20,}", "[REDACTED]", "g"),
+    (r"\bsk-(ant-|proj-)?[\w-]{16,}", "[REDACTED]", "g"),
+    (r"\b[rs]k_(live|test)_[0-9A-Za-z]{10,}", "[REDACTED]", "g"),
+    (r"\bAIza[\w-]{35}", "[REDACTED]", "g"),
+    (r"\bxox[abprs]-[0-9A-Za-z-]{10,}", "[REDACTED]", "g"),
+    (r"\b(bearer|basic)\s+[\w.~+/=-]{8,}", r"\1 [REDACTED]", "gi"),
+    (r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{3,}", "[REDACTED]", "g"),
+    (r"\b([a-z][a-z0-9+.-]*://[^\s/:@]+:)[^\s@/]+@", r"\1[REDACTED]@", "gi"),
+    (r"\b(x-amz-(signature|credential|security-token)=)[^\s&\"']+", r"\1[REDACTED]", "gi"),
+    (r"(\s-u\s+[^\s:]+:)\S+", r"\1[REDACTED]", "g"),
+    (r"(\b(mysql|mysqldump|mariadb)\b[^\n]*?\s-p)\S+", r"\1[REDACTED]", "g"),
+    (r"(--?NAME([_-][a-z]+)*(=|\s+))\"[^\"\n]*\"", r'\1"[REDACTED]"', "gi"),
+    (r"(--?NAME([_-][a-z]+)*(=|\s+))'[^'\n]*'", r"\1'[REDACTED]'", "gi"),
+    (r"(--?NAME([_-][a-z]+)*(=|\s+))[^\s\"',;]+", r"\1[REDACTED]", "gi"),
+    (r"(\blogin\b[^\n]*?\s-p\s+)\S+", r"\1[REDACTED]", "g"),
+    (r"([\w-]*NAME[\w-]*[\"']?\s*[:=]\s*)\"[^\"\n]*\"", r'\1"[REDACTED]"', "gi"),
+    (r"([\w-]*NAME[\w-]*[\"']?\s*[:=]\s*)'[^'\n]*'", r"\1'[REDACTED]'", "gi"),
+    (r"([\w-]*NAME[\w-]*[\"']?\s*[:=]\s*)[^\s\"',;]+", r"\1[REDACTED]", "gi"),
+)
+NAME_SQL = "(password|passwd|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+
+
 def redact_sql(column: str) -> str:
-    for pattern, put in tx.SECRETS:
-        literal = pattern.replace("'", "''")
-        column = f"regexp_replace({column}, '{literal}', '{put.replace('$1', chr(92) + '1').replace(chr(39), chr(39) * 2)}', 'g')"
+    for pattern, put, flags in SECRETS_SQL:
+        literal = pattern.replace("NAME", NAME_SQL).replace("'", "''")
+        column = f"regexp_replace({column}, '{literal}', '{put.replace(chr(39), chr(39) * 2)}', '{flags}')"
     return column
 
 
@@ -174,7 +202,7 @@ def cap_sql(column: str, most: int) -> str:
     return f"CASE WHEN length({column}) > {most} THEN substr({column}, 1, {most - 1}) || '…' ELSE {column} END"
 
 
-PLAIN = "regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}]', '', 'g')"
+PLAIN = "regexp_replace(regexp_replace(text, '(\\x1b\\[|\\x{9b})[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}\\x{E0000}-\\x{E007F}]', '', 'g')"
 PREVIEW = f"trim(regexp_replace({redact_sql('text')}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 
 ORACLES = {
@@ -218,9 +246,11 @@ ORACLES = {
       SELECT key, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS added, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS removed
       FROM (SELECT coalesce(x.doc_id, y.doc_id - 1) AS key, coalesce(x.n, 0) AS a, coalesce(y.n, 0) AS b FROM lines x FULL JOIN lines y ON x.doc_id = y.doc_id - 1 AND x.line = y.line) GROUP BY key""",
     "context_lists": """WITH p AS (SELECT l_orderkey, l_partkey::VARCHAR AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
-      s AS (SELECT *, sum(length(item) + 2) OVER (PARTITION BY l_orderkey ORDER BY rn) - 2 AS size, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p)
-      SELECT l_orderkey, coalesce(string_agg(item, ', ' ORDER BY rn) FILTER (size <= 40), '') ||
-             CASE WHEN count(*) FILTER (size <= 40) < any_value(n) THEN ' (+' || (any_value(n) - count(*) FILTER (size <= 40)) || ' more)' ELSE '' END AS parts FROM s GROUP BY l_orderkey""",
+      s AS (SELECT *, sum(length(item) + 2) OVER (PARTITION BY l_orderkey ORDER BY rn) - 2 AS size, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p),
+      t AS (SELECT l_orderkey, max(rn) AS taken FROM s WHERE size + CASE WHEN rn < n THEN 9 + length((n - rn)::VARCHAR) ELSE 0 END <= 40 GROUP BY l_orderkey)
+      SELECT l_orderkey, coalesce(string_agg(item, ', ' ORDER BY rn) FILTER (rn <= taken), '') ||
+             CASE WHEN coalesce(any_value(taken), 0) < any_value(n) THEN ' (+' || (any_value(n) - coalesce(any_value(taken), 0)) || ' more)' ELSE '' END AS parts
+      FROM s LEFT JOIN t USING (l_orderkey) GROUP BY l_orderkey""",
     "link_externals": f"WITH {LINKS} SELECT kind, specifier, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY ALL",
     "externals_by_kind": f"WITH {LINKS} SELECT kind, count(DISTINCT specifier) AS n_specifiers, count(*) AS n_links FROM l GROUP BY kind",
 }

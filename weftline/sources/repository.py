@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: folders that are never read, by name
-IGNORED = ("node_modules", ".git", "dist", "build", "out", "coverage", ".venv", "venv", "__pycache__", ".next", ".turbo", ".cache", "target", "vendor")
-LANGUAGES = {"typescript": "ts|mts|cts", "tsx": "tsx", "javascript": "js|jsx|mjs|cjs", "python": "py|pyi"}
+IGNORED = tuple("node_modules .git dist build out coverage .venv venv __pycache__ .next .turbo .mypy_cache .pytest_cache".split())
+LANGUAGES = {"typescript": "ts|mts|cts", "tsx": "tsx", "javascript": "js|jsx|mjs|cjs", "python": "py"}
 MANIFESTS = ("package.json", "pyproject.toml", "setup.py")
-#: Bytes of the largest file that is read.
-LARGEST = 2_000_000
 
 
 def language(path: Column) -> Column:
@@ -22,16 +20,23 @@ def language(path: Column) -> Column:
 
 def is_test(path: Column) -> Column:
     """Files in a folder of tests, or named as tests are."""
-    return path.rlike(r"(^|/)(test|tests|__tests__)/|\.(test|spec)\.[^./]+$|(^|/)test_[^/]*\.py$|_test\.py$")
+    return path.rlike(r"(^|/)(test|tests|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$|(^|/)test_[^/]+\.py$|_test\.py$")
+
+
+def ancestors(path: Column) -> Column:
+    """The folder of a path and all above it, the root as "", each with its depth."""
+    parts = F.split(F.regexp_replace(path, "/?[^/]*$", ""), "/")
+    own = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder")))
+    return F.filter(F.array_distinct(own), lambda a: (a["depth"] == 0) | (a["folder"] != ""))
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (from the root), content, content_hash, lang, is_test of each text file below ``root``.
 
-    Files in ignored folders and files that are too large are not read. Bytes that aren't UTF-8 are replaced.
+    Files in ignored folders are not part of it. Bytes that aren't UTF-8 are replaced.
     """
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= LARGEST).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     files = files.unionAll(_underscored(spark, base))
     path = F.substring_index(F.col("path"), base, -1)
     rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
@@ -49,7 +54,7 @@ def _underscored(spark: SparkSession, base: str) -> DataFrame:
     system = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
     found, level = [], base
     while (folders := system.globStatus(hadoop(level + "*"))) and len(folders):
-        found += [str(f.getPath()) for f in system.globStatus(hadoop(level + "_*")) if f.isFile() and f.getLen() <= LARGEST]
+        found += [str(f.getPath()) for f in system.globStatus(hadoop(level + "_*")) if f.isFile()]
         level += "*/"
 
     def read(batches):
@@ -68,16 +73,26 @@ def _underscored(spark: SparkSession, base: str) -> DataFrame:
 
 
 def packages(files: DataFrame) -> DataFrame:
-    """path, name, manifest, published, dependencies, exports of the folder of each manifest.
+    """path, name, manifest, published, dependencies, entries of each manifest: a folder with two is two packages.
 
     A setup.py beside a pyproject.toml doesn't count; neither does a manifest that can't be read. Names of Python
     packages are normalized.
     """
     base = F.substring_index("path", "/", -1)
     rows = files.where(base.isin(*MANIFESTS)).select(F.expr("case when instr(path, '/') > 0 then left(path, length(path) - length(substring_index(path, '/', -1)) - 1) else '' end").alias("folder"), base.alias("manifest"), "content")
-    return rows.mapInPandas(_read_manifests, "path string, name string, manifest string, published boolean, dependencies array<string>, entries array<string>, rank int").groupBy("path").agg(
-        F.min_by(F.struct("name", "manifest", "published", "dependencies", "entries"), "rank").alias("p")
-    ).select("path", "p.*")
+    newer = rows.where("manifest = 'pyproject.toml'").select("folder", F.lit("setup.py").alias("manifest"))
+    rows = rows.join(newer, ["folder", "manifest"], "left_anti")
+    return rows.select("folder", "manifest", "content").mapInPandas(_read_manifests, "path string, name string, manifest string, published boolean, dependencies array<string>, entries array<string>")
+
+
+def nearest_package(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """path, package, manifest of the package that each of ``files(path, lang)`` is in: the deepest folder above it that
+    has one, and of two in one folder that of the file's language. Files outside all packages are left out."""
+    above = files.select("path", "lang", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "lang", "a.*")
+    named = packages.select(F.col("path").alias("folder"), F.col("name").alias("package"), "manifest")
+    fits = (F.col("manifest") != "package.json") == F.coalesce(F.col("lang") == "python", F.lit(False))
+    best = above.join(named, "folder").groupBy("path").agg(F.max_by(F.struct("package", "manifest"), F.struct("depth", fits)).alias("p"))
+    return best.select("path", "p.*")
 
 
 def _read_manifests(batches):
@@ -87,8 +102,8 @@ def _read_manifests(batches):
         out = []
         for folder, manifest, content in batch.itertuples(index=False):
             if (read := _manifest(folder, manifest, content or "")) is not None:
-                out.append((folder, *read, MANIFESTS.index(manifest)))
-        yield pd.DataFrame(out, columns=["path", "name", "manifest", "published", "dependencies", "entries", "rank"])
+                out.append((folder, *read))
+        yield pd.DataFrame(out, columns=["path", "name", "manifest", "published", "dependencies", "entries"])
 
 
 def _manifest(folder: str, manifest: str, content: str):
