@@ -335,7 +335,6 @@ class Scanner:
             if self.value(i) == "extends" and self.kind(i + 1) == "word":
                 member = self.value(i + 3) if self.value(i + 2) == "." else None
                 self.out["heritage"].append({"className": name, "base": self.value(i + 1), "member": member, "line": self.t[i][2]})
-                self.skipped.update((i + 1, i + 3) if member else (i + 1,))
             i += 1
         close = self.closing.get(i, end)
         i += 1

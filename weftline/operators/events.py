@@ -89,3 +89,61 @@ def session_report(events: DataFrame) -> DataFrame:
     edits = diffs_by_path(events).groupBy("session").agg(F.count("*").alias("n_paths"), F.sum("added").alias("added"))
     rollup = session_rollup(events).select("session", "n_events", "first_tool", "last_tool")
     return rollup.join(calls, "session").join(edits, "session")
+
+
+def session_states(events: DataFrame) -> DataFrame:
+    """One row per session of ``events(session, seq, type, ts, cwd, source, model, git_head, reason)``.
+
+    What a session began with is what arrived first, where it stands is what arrived last: ``source`` is the first
+    start's, ``model`` and ``git_head`` are the latest that a start told, and an end counts only until the next start.
+    """
+    start, border = "type = 'session_start'", F.col("type").isin("session_start", "session_end")
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    rows = events.groupBy("session").agg(
+        first_seen("ts").alias("started_at"), F.max("ts").alias("last_event_at"), first_seen("cwd").alias("cwd"),
+        first_seen("source", start).alias("source"), last_seen("model", start).alias("model"), last_seen("git_head", start).alias("git_head"),
+        F.max_by(F.struct("type", "ts", "reason"), F.when(border, F.col("seq"))).alias("border"),
+        of("turn_end").alias("n_turns"), of("compaction").alias("n_compactions"), of("prompt").alias("n_prompts"),
+    )
+    over = F.col("border.type") == "session_end"
+    return rows.select("*", F.when(over, F.col("border.ts")).alias("ended_at"), F.when(over, F.col("border.reason")).alias("reason")).drop("border")
+
+
+def tool_calls(events: DataFrame) -> DataFrame:
+    """One row per call of ``events(session, tool_use, seq, type, ts, tool, args, outcome, ms)``, whichever half came first.
+
+    Time and arguments are those that arrived first; an unknown outcome never replaces a known one.
+    """
+    ends = "type = 'tool_call_end'"
+    rows = events.where("type in ('tool_call_start', 'tool_call_end')").groupBy("session", "tool_use")
+    return rows.agg(
+        first_seen("ts").alias("ts"), first_seen("tool").alias("tool"), first_seen("args").alias("args"),
+        F.coalesce(last_seen("outcome", f"{ends} and outcome <> 'unknown'"), F.lit("unknown")).alias("outcome"),
+        last_seen("ts", ends).alias("ended_at"), last_seen("ms", ends).alias("duration_ms"),
+    )
+
+
+def outcome_tally(calls: DataFrame) -> DataFrame:
+    """session, outcome, n of merged calls."""
+    return calls.groupBy("session", "outcome").agg(F.count("*").alias("n"))
+
+
+def edits_that_count(edits: DataFrame, calls: DataFrame) -> DataFrame:
+    """Edits(session, tool_use, ...) without those whose call failed or was denied: they changed nothing."""
+    return edits.join(calls.where("outcome in ('failed', 'denied')"), ["session", "tool_use"], "left_anti")
+
+
+def latest_session(sessions: DataFrame) -> DataFrame:
+    """The session with the last event; of several the first by its key."""
+    return sessions.orderBy(F.desc("last_event_at"), "session").limit(1)
+
+
+def hook_stats(calls: DataFrame) -> DataFrame:
+    """Per hook of ``calls(hook, ms, sync, context_chars, failed)``: counts and nearest-rank percentiles of the time."""
+    took = F.greatest(F.lit(0), F.round("ms")).cast("long")
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY took)")
+    rows = calls.withColumn("took", took).groupBy("hook")
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if("sync").alias("n_sync"), F.count_if(F.col("context_chars") > 0).alias("n_with_context"), F.count_if("failed").alias("n_failed"),
+        rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max("took").alias("max_ms"),
+    )

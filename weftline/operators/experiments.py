@@ -24,6 +24,17 @@ def task_effects(runs: DataFrame) -> DataFrame:
     return rows.where("n_baseline > 0 and n_treatment > 0").withColumn("effect", F.col("treatment") - F.col("baseline"))
 
 
+def condition_means(runs: DataFrame) -> DataFrame:
+    """condition, n, pooled_mean (over all runs, whatever their task) and n_tasks."""
+    return usable(runs).groupBy("condition").agg(F.count("*").alias("n"), F.avg("metric").alias("pooled_mean"), F.count_distinct("task").alias("n_tasks"))
+
+
+def paired(runs: DataFrame) -> DataFrame:
+    """task, trial, baseline, treatment: the two runs of each block that has both."""
+    of = lambda name: usable(runs).where(F.col("condition") == name).select("task", "trial", F.col("metric").alias(name))
+    return of("baseline").join(of("treatment"), ["task", "trial"])
+
+
 def log_ratio(runs: DataFrame) -> DataFrame:
     """n_tasks, effect (mean log ratio over tasks) and percent change; null if a mean isn't positive."""
     ratio = F.when((F.col("baseline") > 0) & (F.col("treatment") > 0), F.log(F.col("treatment") / F.col("baseline")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.sources.lens import DEPENDENCY_KINDS
@@ -100,3 +100,28 @@ def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
     """n_changed, n_added, n_deleted of ``current(path, content_hash)`` against what is stored."""
     both = stored.select("path", F.col("content_hash").alias("old")).join(current.select("path", F.col("content_hash").alias("new")), "path", "full_outer")
     return both.agg(F.count_if(F.expr("old <> new")).alias("n_changed"), F.count_if(F.expr("old is null")).alias("n_added"), F.count_if(F.expr("new is null")).alias("n_deleted"))
+
+
+def indirect(reach: DataFrame, deps: DataFrame) -> DataFrame:
+    """Of ``reach(target, id, exact)`` what has no dependency on the target itself."""
+    return reach.join(deps.select(F.col("dst").alias("target"), F.col("src").alias("id")), ["target", "id"], "left_anti")
+
+
+def importers(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, importer: files with an edge of any kind into each of ``targets(target)``, other than itself."""
+    return edges.select(F.col("dst").alias("target"), F.col("src").alias("importer")).where("target <> importer").join(targets, "target", "left_semi").distinct()
+
+
+def spread(reach: DataFrame, files: DataFrame) -> DataFrame:
+    """target, packages: the other packages that ``reach(target, id)`` touches, sorted; targets without any are left out."""
+    of = lambda key, name: files.select(F.col("file").alias(key), F.col("package").alias(name))
+    touched = reach.join(of("id", "package"), "id").select("target", "package").distinct()
+    return touched.join(of("target", "own"), "target").where("package <> own").groupBy("target").agg(F.array_sort(F.collect_set("package")).alias("packages"))
+
+
+def synthetic(spark: SparkSession, n: int, degree: int) -> DataFrame:
+    """src, dst of a made graph: seven in ten edges lead to the first fiftieth of the nodes, by integer arithmetic alone."""
+    rows = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(degree - 1))).alias("k"))
+    r = ((F.col("src") * degree + F.col("k")) * 1103515245 + 12345) % 2147483648
+    few = F.when(r % 10 < 7, F.lit(max(1, n // 50))).otherwise(n)
+    return rows.select("src", (F.floor(r / 65536) % few).cast("long").alias("dst")).where("src <> dst").distinct()

@@ -174,6 +174,12 @@ def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame |
     )
 
 
+def externals(resolved: DataFrame) -> DataFrame:
+    """external, external_kind, specifiers (sorted, as written), declared by some importer, n_files: what lies outside."""
+    rows = resolved.where("external is not null").groupBy("external", "external_kind")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("specifier")), ", ").alias("specifiers"), F.max("declared").alias("declared"), F.count_distinct("src").alias("n_files"))
+
+
 def bindings_of(resolved: DataFrame) -> DataFrame:
     """src, local, imported, target, exact of every bound name; the target is null where the import is no file."""
     rows = resolved.select("src", "lang", "kind", "line", "idx", "target", "exact", F.explode("bindings").alias("b"))
@@ -267,12 +273,15 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     resolved = materialize(resolve_imports(facts, packages, configs), "imports")
     own, links, stars = aliases(facts, resolved)
     bound = materialize(bindings_of(resolved).where("target is not null"), "bindings")
-    uses = facts.select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.where("kind not in ('reexport')").select("src", "local", "imported", "target", "exact"), ["src", "local"])
-    # a member of a whole module is a name of that module; the whole module itself is no use of a name
-    use_name = F.when(F.col("imported") != "*", F.col("imported")).otherwise(F.coalesce("member", F.lit("default")))
-    uses = uses.where("imported <> '*' or member is not null or isCall").withColumn("name", use_name)
-    bases = facts.select(F.col("path").alias("src"), F.explode("facts.heritage").alias("h")).select("src", "h.*").withColumnRenamed("base", "local").join(bound.select("src", "local", "imported", "target", "exact"), ["src", "local"])
-    bases = bases.withColumn("name", use_name)
+    whole = bound.select("src", "local", "imported", "target", "exact", (F.col("kind") == "require").alias("required"))
+    uses = facts.select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.where("kind not in ('reexport')").select("src", "local", "imported", "target", "exact", (F.col("kind") == "require").alias("required")), ["src", "local"])
+    # a member of a whole module is a name of that module, and what is required is its default; the whole module itself
+    # is no use of a name
+    of_module = F.coalesce("member", F.when(F.col("required"), "default"))
+    use_name = F.when(F.col("imported") != "*", F.col("imported")).otherwise(of_module)
+    uses = uses.withColumn("name", use_name).where("name is not null")
+    bases = facts.select(F.col("path").alias("src"), F.explode("facts.heritage").alias("h")).select("src", "h.*").withColumnRenamed("base", "local").join(whole, ["src", "local"])
+    bases = bases.withColumn("name", use_name).where("name is not null")
     spread = exported_names(own, links, stars).toDF("target", "name").where("name <> 'default'")
     starred = resolved.where("kind = 'reexport_all' and target is not null").select("src", "line", "target", "exact").join(spread, "target")
     symbol_of = lambda column: F.concat_ws("#", "src", column)
@@ -282,19 +291,27 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     public = exported_names(shown, links.where("module like '%.py' and name not like '\\\\_%'"), stars).toDF("target", "name")
     free = facts.where("lang = 'python'").select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.select("src", "local"), ["src", "local"], "left_anti")
     free = free.withColumnRenamed("local", "name").join(python_stars.select("src", "target", "exact"), "src").join(public, ["target", "name"])
+    none = F.lit(None).cast("string")
     wanted = [
-        free.select("src", "line", "exact", "target", "name", symbol_of(F.col("enclosing")).alias("from"), F.when(F.col("isCall"), "calls").otherwise("references").alias("kind")),
-        uses.select("src", "line", "exact", "target", "name", symbol_of(F.col("enclosing")).alias("from"), F.when(F.col("isCall"), "calls").otherwise("references").alias("kind")),
-        bases.select("src", "line", "exact", "target", "name", symbol_of(F.col("className")).alias("from"), F.lit("inherits").alias("kind")),
-        bound.where("imported <> '*'").select("src", "line", "exact", "target", F.col("imported").alias("name"), F.col("src").alias("from"), F.lit("references").alias("kind")),
-        starred.select("src", "line", "exact", "target", "name", F.col("src").alias("from"), F.lit("references").alias("kind")),
+        free.select("src", "line", "exact", "target", "name", symbol_of(F.col("enclosing")).alias("from"), F.when(F.col("isCall"), "calls").otherwise("references").alias("kind"), F.lit(True).alias("use"), F.col("member").alias("then")),
+        uses.select("src", "line", "exact", "target", "name", symbol_of(F.col("enclosing")).alias("from"), F.when(F.col("isCall"), "calls").otherwise("references").alias("kind"), (F.col("imported") != "*").alias("use"), of_module.alias("then")),
+        bases.select("src", "line", "exact", "target", "name", symbol_of(F.col("className")).alias("from"), F.lit("inherits").alias("kind"), (F.col("imported") != "*").alias("use"), of_module.alias("then")),
+        bound.where("imported <> '*'").select("src", "line", "exact", "target", F.col("imported").alias("name"), F.col("src").alias("from"), F.lit("references").alias("kind"), F.lit(False).alias("use"), none.alias("then")),
+        starred.select("src", "line", "exact", "target", "name", F.col("src").alias("from"), F.lit("references").alias("kind"), F.lit(False).alias("use"), none.alias("then")),
     ]
     asked = wanted[0]
     for more in wanted[1:]:
         asked = asked.unionAll(more)
     asked = materialize(asked, "uses")
     answers = resolve_names(asked.select(F.col("target").alias("module"), "name"), own, links, stars, facts)
-    found = asked.join(answers, (asked["target"] == answers["module"]) & (asked["name"] == answers["name"]))
+    found = asked.join(answers, (asked["target"] == answers["module"]) & (asked["name"] == answers["name"])).drop(answers["name"])
+    # a use of a name that turns out to be a module is one of the module's names, or none
+    through = F.col("use") & F.col("at_symbol").isNull()
+    found = materialize(found.select("src", "line", "exact", "from", "kind", "use", "then", "at_module", "at_symbol"), "found")
+    inner = found.where(through & F.col("then").isNotNull()).drop("at_symbol").withColumnRenamed("at_module", "module")
+    again = resolve_names(inner.select("module", F.col("then").alias("name")), own, links, stars, facts)
+    inner = inner.join(again.withColumnRenamed("name", "then"), ["module", "then"]).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol")
+    found = found.where(~through).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol").unionAll(inner)
     to = F.concat_ws("#", "at_module", "at_symbol")
     named = found.select("src", "from", to.alias("dst"), F.when(F.col("at_symbol").isNull(), "imports").otherwise(F.col("kind")).alias("kind"), "exact", "line")
     plain = resolved.where("target is not null").select("src", F.col("src").alias("from"), F.col("target").alias("dst"), F.lit("imports").alias("kind"), "exact", "line")

@@ -190,9 +190,40 @@ def freshness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.freshness(*lens.states(spark, sf_dir))
 
 
+def dependencies_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file of the query set uses itself."""
+    g = Graph(spark, sf_dir)
+    return graph.file_deps(g.edges).join(lens.query_set(g.files), F.col("src") == F.col("target"), "left_semi").select(F.col("src").alias("target"), F.col("dst").alias("id"), "exact")
+
+
+def dependents_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on the target only through other files."""
+    g = Graph(spark, sf_dir)
+    deps = g.deps()
+    return graph.indirect(fixpoint.dependents(deps, g.target()), deps).select("id", "exact")
+
+
+def importers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with an edge of any kind, tests too, into each file of the query set."""
+    g = Graph(spark, sf_dir)
+    return graph.importers(g.edges, lens.query_set(g.files))
+
+
+def impact_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages that each target's dependents are in, without its own."""
+    g = Graph(spark, sf_dir)
+    return graph.spread(_reach_asked(g)[0], g.files)
+
+
+def synthetic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a made graph with as many nodes as there are parts, mostly towards few of them."""
+    return graph.synthetic(spark, lens.table(spark, sf_dir, "part").count(), 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        dependencies_direct, dependents_indirect, importers_of, impact_spread, synthetic_graph,
         dependents_direct, dependents_transitive, dependents_depth2, dependents_cyclic, dependencies_transitive, impact_summary,
         blast_score, impact_uncovered, impact_packages, evidence_top3, hubs_topk, edge_merge, file_deps_projection, tests_for,
         repo_map_counts, repo_map_directories, package_counts, find_symbol, published_closure, published_entry_counts, file_roles, component_rollup,
@@ -216,6 +247,13 @@ CYCLIC = """
            WHERE a.l_partkey <> b.l_partkey GROUP BY ALL)"""
 
 ORACLES = {
+    "dependencies_direct": with_sql(EDGES_SQL) + f" SELECT src AS target, dst AS id, exact FROM deps WHERE src % {lens.QUERY_STEP} = 0",
+    "dependents_indirect": with_sql(EDGES_SQL, reach_sql(ONE)) + f" SELECT id, exact FROM reach WHERE id NOT IN (SELECT src FROM deps WHERE dst = {TARGET})",
+    "importers_of": with_sql(EDGES_SQL) + f" SELECT DISTINCT dst AS target, src AS importer FROM edges WHERE dst % {lens.QUERY_STEP} = 0",
+    "impact_spread": with_sql(EDGES_SQL, reach_sql(ASKED)) + """
+      SELECT r.target, list_sort(list(DISTINCT f.package)) AS packages FROM reach r JOIN files f ON f.file = r.id JOIN files o ON o.file = r.target WHERE f.package <> o.package GROUP BY r.target""",
+    "synthetic_graph": """WITH n AS (SELECT count(*) AS n FROM part), x AS (SELECT i AS src, k, ((i * 3 + k) * 1103515245 + 12345) % 2147483648 AS r, n FROM n, range(0, (SELECT n FROM n)) AS a(i), range(0, 3) AS b(k))
+      SELECT DISTINCT src, (r // 65536) % CASE WHEN r % 10 < 7 THEN greatest(n // 50, 1) ELSE n END AS dst FROM x WHERE src <> (r // 65536) % CASE WHEN r % 10 < 7 THEN greatest(n // 50, 1) ELSE n END""",
     "dependents_direct": with_sql(EDGES_SQL) + f" SELECT src AS id, exact FROM deps WHERE dst = {TARGET}",
     "dependents_transitive": with_sql(EDGES_SQL, reach_sql(ONE)) + " SELECT id, exact FROM reach",
     "dependents_depth2": with_sql(EDGES_SQL, f" one AS ({ONE})") + f"""

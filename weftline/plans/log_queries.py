@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators import events as ev
 from weftline.operators import experiments as ex
-from weftline.sources import lens
+from weftline.sources import lens, repository
 
 RESAMPLES, SEED, COST_CAP, IDLE_DAYS = 10_000, 7, 50_000, 7
 
@@ -119,9 +119,58 @@ def externals_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count_distinct("specifier").alias("n_specifiers"), F.count("*").alias("n_links"))
 
 
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.session_states(lens.session_events(spark, sf_dir))
+
+
+def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.latest_session(ev.session_states(lens.session_events(spark, sf_dir))).select("session", "last_event_at", "n_turns")
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.tool_calls(lens.session_events(spark, sf_dir))
+
+
+def outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.outcome_tally(ev.tool_calls(lens.session_events(spark, sf_dir)))
+
+
+def edits_that_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits of the tool log that no call of the session log of the same key failed."""
+    calls = ev.tool_calls(lens.session_events(spark, sf_dir))
+    return ev.edits_that_count(ev.pair_edits(lens.tool_events(spark, sf_dir)).withColumn("tool_use", F.col("tool_use") % 4), calls).groupBy("session").agg(F.count("*").alias("n_edits"))
+
+
+def hook_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.hook_stats(lens.hook_calls(spark, sf_dir))
+
+
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return lens.paths(spark, sf_dir).select("path", repository.is_ignored(path).alias("ignored"), repository.is_test(path).alias("is_test"), repository.language(path).alias("lang"))
+
+
+def condition_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.condition_means(lens.runs(spark, sf_dir))
+
+
+def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.paired(lens.runs(spark, sf_dir))
+
+
+def tool_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a tool's input: odd turns a command, even ones a pattern within the conversation's folder."""
+    turns = lens.table(spark, sf_dir, "conversations")
+    odd, folder = F.col("turn") % 2 == 1, F.concat(F.lit("/repo/c"), F.col("conv_id").cast("string"))
+    inside = F.array(tx.repo_relative(folder, F.lit("/repo")))
+    given = tx.tool_summary(F.when(odd, F.col("text")), F.when(~odd, F.col("text")), F.lit(None).cast("string"), inside, F.array(F.lit("text")))
+    return turns.select("conv_id", "turn", tx.text_hash(given).alias("hash"), F.length(given).alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        session_states, latest_session, tool_calls, outcome_tally, edits_that_count, hook_stats, path_classes, condition_means, paired_runs, tool_summaries,
         session_rollup, tool_call_merge, hook_percentiles, diff_by_path, edit_pairs, retention_prune, tool_tally, session_report,
         task_effects, log_ratio, bootstrap_ci, cost_cap_prefix, resume_remaining, precision_recall, redact_text, sanitize_text,
         prompt_preview, line_diff, context_lists, link_externals, externals_by_kind,
@@ -205,7 +254,51 @@ def cap_sql(column: str, most: int) -> str:
 PLAIN = "regexp_replace(regexp_replace(text, '(\\x1b\\[|\\x{9b})[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\p{Cc}\\p{Cf}\\p{Zl}\\p{Zp}\\x{E0000}-\\x{E007F}]', '', 'g')"
 PREVIEW = f"trim(regexp_replace({redact_sql('text')}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
 
+LOG = """g AS (
+  SELECT event_id AS seq, ts, user_id AS session, ['session_start', 'prompt', 'tool_call_start', 'tool_call_end', 'compaction', 'turn_end', 'session_end'][event_id % 7 + 1] AS type,
+         CASE WHEN event_id % 4 <> 0 THEN 'd' || event_id % 3 END AS cwd, event_type AS source, CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id % 5 END AS model,
+         CASE WHEN event_id % 2 = 0 THEN 'h' || event_id % 11 END AS git_head, 'r' || event_id % 4 AS reason, (event_id // 7) % 4 AS slot, event_type AS tool,
+         CASE WHEN event_id % 7 = 2 THEN 'a' || event_id % 13 END AS args, CAST(round(value) AS BIGINT) AS ms FROM events),
+  h AS (SELECT *, CAST(floor((seq / 7) % 4) AS BIGINT) AS tool_use, ['ok', 'failed', 'unknown', 'denied'][slot + 1] AS outcome FROM g),
+  states AS (
+    SELECT session, arg_min(ts, seq) AS started_at, max(ts) AS last_event_at, arg_min(cwd, seq) AS cwd, arg_min(source, seq) FILTER (type = 'session_start') AS source,
+           arg_max(model, seq) FILTER (type = 'session_start') AS model, arg_max(git_head, seq) FILTER (type = 'session_start') AS git_head,
+           count_if(type = 'turn_end') AS n_turns, count_if(type = 'compaction') AS n_compactions, count_if(type = 'prompt') AS n_prompts FROM h GROUP BY session),
+  borders AS (SELECT session, ts, reason FROM h WHERE type IN ('session_start', 'session_end') QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) = 1 AND type = 'session_end'),
+  used AS (
+    SELECT session, tool_use, arg_min(ts, seq) AS ts, arg_min(tool, seq) AS tool, arg_min(args, seq) AS args,
+           coalesce(arg_max(outcome, seq) FILTER (type = 'tool_call_end' AND outcome <> 'unknown'), 'unknown') AS outcome,
+           arg_max(ts, seq) FILTER (type = 'tool_call_end') AS ended_at, arg_max(ms, seq) FILTER (type = 'tool_call_end') AS duration_ms
+    FROM h WHERE type IN ('tool_call_start', 'tool_call_end') GROUP BY ALL)"""
+
+
+def listed_sql(rows) -> str:
+    """The rows of a list as a table, numbered from 0."""
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+    return "VALUES " + ", ".join(f"({i}, {', '.join(map(text, r))})" for i, r in enumerate(rows))
+
+
 ORACLES = {
+    "session_states": f"WITH {LOG} SELECT s.*, b.ts AS ended_at, b.reason FROM states s LEFT JOIN borders b USING (session)",
+    "latest_session": f"WITH {LOG} SELECT session, last_event_at, n_turns FROM states ORDER BY last_event_at DESC, session LIMIT 1",
+    "tool_calls": f"WITH {LOG} SELECT * FROM used",
+    "outcome_tally": f"WITH {LOG} SELECT session, outcome, count(*) AS n FROM used GROUP BY ALL",
+    "edits_that_count": f"""WITH {EVENTS}, {LOG} SELECT session, count(*) AS n_edits FROM (SELECT session, tool_use % 4 AS tool_use FROM edits)
+      WHERE (session, tool_use) NOT IN (SELECT (session, tool_use) FROM used WHERE outcome IN ('failed', 'denied')) GROUP BY session""",
+    "hook_stats": """WITH c AS (SELECT event_type AS hook, CAST(greatest(0, round(value - 3)) AS BIGINT) AS ms, event_id AS n FROM events)
+      SELECT hook, count(*) AS n, count_if(n % 2 = 0) AS n_sync, count_if(n % 3 = 0 AND n % 5 > 0) AS n_with_context, count_if(n % 29 = 0) AS n_failed,
+             quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS max_ms FROM c GROUP BY hook""",
+    "path_classes": f"""WITH f(i, folder, ignored, holds_tests) AS ({listed_sql(lens.FOLDERS)}), n(i, name, is_test, lang) AS ({listed_sql(lens.NAMES)})
+      SELECT p_partkey || '/' || folder || '/' || name AS path, ignored, holds_tests OR is_test AS is_test, lang
+      FROM part JOIN f ON f.i = p_size % {len(lens.FOLDERS)} JOIN n ON n.i = p_partkey % {len(lens.NAMES)}""",
+    "condition_means": f"WITH {RUNS} SELECT condition, count(*) AS n, avg(metric) AS pooled_mean, count(DISTINCT task) AS n_tasks FROM ok GROUP BY condition",
+    "paired_runs": f"""WITH {RUNS} SELECT b.task, b.trial, b.metric AS baseline, t.metric AS treatment FROM ok b JOIN ok t ON b.task = t.task AND b.trial = t.trial AND b.condition = 'baseline' AND t.condition = 'treatment'""",
+    "tool_summaries": f"""WITH c AS (
+        SELECT conv_id, turn, turn % 2 = 1 AS odd, CASE WHEN turn % 2 = 1 THEN string_split(text, chr(10))[1] ELSE text END AS shown, text FROM conversations),
+      k AS (SELECT *, odd AND (contains(shown, '<<<') OR contains(text, chr(10))) AS cut, CASE WHEN odd AND contains(shown, '<<<') THEN substr(shown, 1, position('<<<' IN shown) + 2) ELSE shown END AS head FROM c),
+      s AS (SELECT conv_id, turn, CASE WHEN odd THEN {redact_sql("CASE WHEN cut THEN rtrim(head) || ' …' ELSE head END")} ELSE {redact_sql('head')} || ' in c' || conv_id END AS line FROM k),
+      t AS (SELECT conv_id, turn, {cap_sql('line', 200)} AS line FROM s)
+      SELECT conv_id, turn, {hash_sql('line')} AS hash, CAST(length(line) AS INT) AS n_chars FROM t""",
     "session_rollup": f"""WITH {EVENTS} SELECT session, arg_min(ts, seq) AS started_at, max(ts) AS last_event_at, count(*) AS n_events,
       count(DISTINCT tool) AS n_tools, arg_min(tool, seq) AS first_tool, arg_max(tool, seq) AS last_tool FROM e GROUP BY session""",
     "tool_call_merge": f"WITH {EVENTS}, {MERGED} SELECT * FROM calls",

@@ -94,6 +94,41 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Kinds of events of the session log, by event_id.
+KINDS = ("session_start", "prompt", "tool_call_start", "tool_call_end", "compaction", "turn_end", "session_end")
+OUTCOMES = ("ok", "failed", "unknown", "denied")
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session log: every event of the table as one of seven kinds, in the session of its user."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    said = lambda prefix, mod: F.concat(F.lit(prefix), (n % mod).cast("string"))
+    return e.select(
+        n.alias("seq"), "ts", F.col("user_id").alias("session"), pick(KINDS, n % 7).alias("type"), F.when(n % 4 != 0, said("d", 3)).alias("cwd"), F.col("event_type").alias("source"),
+        F.when(n % 3 != 0, said("m", 5)).alias("model"), F.when(n % 2 == 0, said("h", 11)).alias("git_head"), said("r", 4).alias("reason"),
+        F.floor(n / 7 % 4).cast("long").alias("tool_use"), F.col("event_type").alias("tool"), F.when(n % 7 == 2, said("a", 13)).alias("args"),
+        pick(OUTCOMES, F.floor(n / 7) % 4).alias("outcome"), F.round("value").cast("long").alias("ms"),
+    )
+
+
+def hook_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(F.col("event_type").alias("hook"), (F.col("value") - 3).alias("ms"), (n % 2 == 0).alias("sync"), F.when(n % 3 == 0, n % 5).alias("context_chars"), (n % 29 == 0).alias("failed"))
+
+
+#: Folders and names that paths are made of, each with what it makes of the path: ignored, a test, the language.
+FOLDERS = (("src", False, False), ("node_modules/a", True, False), ("a/tests", False, True), ("x/__pycache__", True, False), ("__tests__/deep", False, True), ("target", False, False), (".mypy_cache", True, False), ("testing", False, False))
+NAMES = (("m.ts", False, "typescript"), ("m.test.tsx", True, "tsx"), ("test_m.py", True, "python"), ("m_test.py", True, "python"), ("m.spec.md", False, None), ("test_.py", False, "python"), ("m.pyi", False, None), ("m.mjs", False, "javascript"), ("dist", False, None))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path: a folder by the size of each part, a name by its key."""
+    part = table(spark, sf_dir, "part")
+    pick = lambda rows, at: F.element_at(F.array(*(F.lit(r[0]) for r in rows)), (at % len(rows) + 1).cast("int"))
+    return part.select(F.concat_ws("/", F.col("p_partkey").cast("string"), pick(FOLDERS, F.col("p_size")), pick(NAMES, F.col("p_partkey"))).alias("path"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment rows: run, task, condition (baseline or treatment), trial, status, metric."""
     e = table(spark, sf_dir, "events")

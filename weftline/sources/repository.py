@@ -30,6 +30,12 @@ def ancestors(path: Column) -> Column:
     return F.filter(F.array_distinct(own), lambda a: (a["depth"] == 0) | (a["folder"] != ""))
 
 
+def is_ignored(path: Column) -> Column:
+    """Whether some folder of a path is never read; a file of such a name is."""
+    parts = F.split(path, "/")
+    return F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda part: part.isin(*IGNORED))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (from the root), content, content_hash, lang, is_test of each text file below ``root``.
 
@@ -40,8 +46,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     files = files.unionAll(_underscored(spark, base))
     path = F.substring_index(F.col("path"), base, -1)
     rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    rows = rows.where(~F.exists(folders, lambda part: part.isin(*IGNORED)))
+    rows = rows.where(~is_ignored(F.col("path")))
     return rows.select("path", "content", F.substring(F.sha2("content", 256), 1, 20).alias("content_hash"), language(F.col("path")).alias("lang"), is_test(F.col("path")).alias("is_test"))
 
 
