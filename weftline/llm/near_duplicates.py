@@ -1,8 +1,8 @@
 """N-gram Jaccard join of documents with themselves by MinHash banding.
 
 Each text's set of word shingles is sketched once. Equal sets collapse to one representative; representatives that
-share a band are candidates and meet in the bucket of that band. Buckets that lie within another are left out, all
-others are compared in blocks on the full shingle sets, so a large bucket is spread over many tasks and a chain of
+share a band are candidates and meet in the bucket of that band. Buckets that share most of their members are merged;
+each is compared in blocks on the full shingle sets, so a large bucket is spread over many tasks and a chain of
 candidates costs no more than its buckets. What leaves a task is a link count for each document and a spanning forest
 of the links, never the pairs themselves.
 """
@@ -26,7 +26,7 @@ BANDS, ROWS = 32, 6
 #: Similarity of a link, as the whole numbers 4 / 5.
 ABOVE, BELOW = 4, 5
 #: Least and most representatives in a block of a bucket that is compared, and code points of a block.
-LEAST_BLOCK, MOST_BLOCK, BLOCK_CHARS = 64, 2048, 4 << 20
+LEAST_BLOCK, MOST_BLOCK, BLOCK_CHARS = 512, 2048, 4 << 20
 #: Shingles compared at once, which bounds the memory of a comparison.
 COLUMNS = 8192
 
@@ -118,7 +118,7 @@ def forest(ids: list[int], links: np.ndarray) -> list[int]:
 def compare(members: DataFrame) -> DataFrame:
     """rep, other and links of each representative in each block pair it is in.
 
-    ``members(band, i, j, rep, block, copies, text, earlier)`` has the rows of a block pair (band, i, j) next to each
+    ``members(key, i, j, rep, block, copies, text, earlier)`` has the rows of a block pair (key, i, j) next to each
     other; ``earlier`` are the row's other buckets with a lesser key. ``links`` counts the documents that are linked
     to ``rep`` across the pair and that it doesn't meet in an earlier bucket already; ``other`` is the least
     representative that the pair's links connect it with.
@@ -155,24 +155,28 @@ def compare(members: DataFrame) -> DataFrame:
         if len(rows) > 1:
             yield result()
 
-    return members.select("band", "i", "j", "rep", "block", "copies", "text", "earlier").mapInArrow(run, "rep long, other long, links long")
+    return members.select("key", "i", "j", "rep", "block", "copies", "text", "earlier").mapInArrow(run, "rep long, other long, links long")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """rep, and own: band, n and chars of each bucket that it is compared in, by band; of ``reps(rep, bands, chars)``.
+    """rep, and own: key, rows and chars of each bucket that it is compared in, by key; of ``reps(rep, bands, chars)``.
 
-    A bucket is left out if all its members have the same largest bucket, within which it lies then.
+    A band's bucket of which half or more have the same largest bucket is merged into that one: near copies would
+    meet in many buckets otherwise. A member of a bucket is in 32 at most, so a merged one is at most 32 times as
+    large as the bucket that it is named after, whatever the data.
     """
     banded = reps.select("rep", F.explode("bands").alias("band"), "chars")
     n_rows = BANDS * reps.count()
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("chars").alias("sum")).where("n > 1").withColumn("size", F.col("n"))
-    met = look_up(banded.select("rep", "band"), sizes, "band", n_rows)
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    met = look_up(banded, sizes, "band", n_rows)
     # a representative has as many buckets as bands at most
-    mine = materialize(met.groupBy("rep").agg(F.collect_list(F.struct("size", "band", "sum")).alias("own")), "buckets")
-    rows = mine.select("rep", F.array_max("own")["band"].alias("top"), F.explode("own").alias("b")).select("rep", "top", "b.*")
-    within = rows.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n")).where("low <> high or low = band")
-    kept = look_up(rows.select("rep", "band", "size", "sum"), within.select("band", "n"), "band", n_rows)
-    return kept.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("band", "size", "sum"))).alias("own"))
+    mine = materialize(met.groupBy("rep").agg(F.collect_list(F.struct("size", "band")).alias("own"), F.max("chars").alias("chars")), "buckets")
+    rows = mine.select("rep", "chars", F.array_max("own")["band"].alias("top"), F.explode("own.band").alias("band"))
+    tops = rows.groupBy("band", "top").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "top")).alias("most"), F.sum("c").alias("n"))
+    homes = tops.select("band", "n", F.when(2 * F.col("most.c") >= F.col("n"), F.col("most.top")).otherwise(F.col("band")).alias("home"))
+    placed = materialize(look_up(rows, homes, "band", n_rows).select("rep", "chars", F.col("home").alias("key")).distinct(), "placed")
+    totals = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("sum")).withColumn("size", F.col("n"))
+    return look_up(placed.select("rep", "key"), totals, "key", n_rows).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("key", "size", "sum"))).alias("own"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,10 +208,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_block = max(LEAST_BLOCK, min(MOST_BLOCK, members.count() // max(1, partitions)))
     blocks = F.greatest(F.ceil(F.col("size") / per_block), F.ceil(F.col("sum") / BLOCK_CHARS)).cast("int")
-    spread = members.select("rep", "text", "copies", F.col("own.band").alias("all"), F.explode("own").alias("b")).select("rep", "text", "copies", "all", "b.*").withColumn("blocks", blocks)
+    spread = members.select("rep", "text", "copies", F.col("own.key").alias("all"), F.explode("own").alias("b")).select("rep", "text", "copies", "all", "b.*").withColumn("blocks", blocks)
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k"), "earlier": F.filter("all", lambda other: other < F.col("band"))})
-    compared = materialize(compare(spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")), "compared")
+    spread = spread.withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k"), "earlier": F.filter("all", lambda other: other < F.col("key"))})
+    compared = materialize(compare(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")), "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "component")
     numbered = classes.join(reps.select("rep", "least"), "rep")
