@@ -29,7 +29,7 @@ ABOVE, BELOW = 4, 5
 #: Least and most representatives in a block of a bucket that is compared, and code points of a block.
 LEAST_BLOCK, MOST_BLOCK, BLOCK_CHARS = 512, 2048, 4 << 20
 #: Shingles compared at once, which bounds the memory of a comparison.
-COLUMNS = 8192
+COLUMNS = 2048
 
 MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFTS = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))
@@ -91,8 +91,8 @@ def share_one(lists: list[list[int]]) -> np.ndarray:
     values, place, often = np.unique(np.array([b for own in lists for b in own], np.int64), return_inverse=True, return_counts=True)
     rows, common = np.repeat(np.arange(len(lists)), sizes), np.zeros((len(lists), len(lists)), bool)
     useful = np.flatnonzero(often > 1)
-    for at in range(0, len(useful), COLUMNS // 8):
-        some = useful[at : at + COLUMNS // 8]
+    for at in range(0, len(useful), COLUMNS // 2):
+        some = useful[at : at + COLUMNS // 2]
         to = np.minimum(np.searchsorted(some, place), len(some) - 1)
         hit = some[to] == place
         marks = np.zeros((len(lists), len(some)), np.float32)
