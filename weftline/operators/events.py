@@ -59,8 +59,10 @@ def diffs_by_path(events: DataFrame) -> DataFrame:
 def pair_edits(events: DataFrame, ttl: str = "10 minutes") -> DataFrame:
     """session, tool_use, path, added, removed, partial: ends of edits with the start that came at most ``ttl`` before.
 
-    Those without one are partial and count no lines.
+    Those without one are partial and count no lines. Events may come without ``removed``, which is 0 then.
     """
+    if "removed" not in events.columns:
+        events = events.withColumn("removed", F.lit(0).cast("long"))
     start = events.where("phase = 'start'").select("session", "tool_use", F.col("ts").alias("start_ts"), F.col("added").alias("before"))
     end = events.where("phase = 'end'").select("session", "tool_use", "path", "removed", F.col("ts").alias("end_ts"), F.col("added").alias("after"))
     near = (F.col("start_ts") <= F.col("end_ts")) & (F.col("start_ts") >= F.col("end_ts") - F.expr(f"interval {ttl}"))
