@@ -25,10 +25,16 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "weft
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master, whose executor is the driver, gets a temporary folder; any other is an error,
+    as its executors couldn't read what the driver's machine holds.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {context.master} share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir()
 
