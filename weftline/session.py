@@ -44,7 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._weftline_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for these tables, once nothing is computed from them any more."""
+    for df in tables:
+        if path := getattr(df, "_weftline_path", None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:
