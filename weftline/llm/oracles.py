@@ -72,8 +72,35 @@ JACCARD = f"""WITH RECURSIVE {WORDS},
   links AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN links USING (doc_id)"""
 
+#: The copies are found on the texts themselves, and every order and step is counted from the documents' failures.
+FILTER_AUDIT = f"""WITH {WORDS},
+  named AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  own AS (
+    SELECT coalesce(lang, '') AS part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           (len(ws) < 200)::INT AS a, (100 * len(list_distinct(ws)) < 50 * len(ws))::INT AS b,
+           (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d,
+           coalesce((min(w.doc_id) OVER (PARTITION BY text) < w.doc_id)::INT, 0) AS e
+    FROM words w LEFT JOIN named n ON n.doc_id = w.doc_id),
+  cells AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM own GROUP BY ALL),
+  l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+  orders AS (
+    SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+    FROM l p, l q, l r, l s, l t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+  steps AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[:i - 1]), 0)::INT AS earlier FROM orders, range(1, 6) AS r(i)),
+  counted AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted"""
+
 ORACLES = {
     "op1_license_scan": license_sql(),
     "op2_quality_rules": quality_sql(),
     "op8_jaccard_join": JACCARD,
+    "op11_filter_audit": FILTER_AUDIT,
 }

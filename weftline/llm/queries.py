@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import new_path, table
 from weftline.llm.decontamination import find_leaks
+from weftline.llm.filter_audit import audit_filters
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
 from weftline.llm.license_scan import scan_licenses
@@ -65,6 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(read_token_files(spark, path))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -76,5 +81,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_filter_audit": op11_filter_audit,
 }
 
