@@ -12,6 +12,7 @@ from weftline.llm.filter_audit import audit_filters
 from weftline.llm.html_extraction import extract_main_text
 from weftline.llm.language_id import identify, language_dictionaries
 from weftline.llm.license_scan import scan_licenses
+from weftline.llm.mixing import mix
 from weftline.llm.near_duplicates import near_duplicates
 from weftline.llm.oracles import ORACLES  # noqa: F401  part of what is registered
 from weftline.llm.packing import pack
@@ -70,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -82,5 +87,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
     "op11_filter_audit": op11_filter_audit,
+    "op12_mixing": op12_mixing,
 }
 
