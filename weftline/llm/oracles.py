@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE
 from weftline.llm.license_scan import CONTAINMENT, TEMPLATES
 from weftline.llm.quality_rules import AUDIT, ERROR, FOLDS, RISK, RULES, SYMBOLS
 
@@ -98,9 +99,32 @@ FILTER_AUDIT = f"""WITH {WORDS},
     FROM cells, steps GROUP BY ALL)
 SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted"""
 
+
+def clusters_sql() -> str:
+    """Every vector is compared with every centroid in every round."""
+    parts = [
+        f"""v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)) AS x FROM embeddings
+    WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = {DIMENSIONS})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) <= {CLUSTERS})""",
+    ]
+    for r in range(ROUNDS + 1):
+        apart = "list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, k.x) + list_inner_product(k.x, k.x)"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, vec_id, v.x, min(struct_pack(d := {apart}, c := k.c)) AS best FROM v, c{r} k GROUP BY ALL)")
+        if r < ROUNDS:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+    WITH m AS (SELECT best.c AS c, i, floor(sum(x[i]) / count(*)) AS mean FROM a{r}, range(1, {DIMENSIONS + 1}) AS r(i) GROUP BY ALL)
+    SELECT k.c, coalesce(n.x, k.x) AS x FROM c{r} k LEFT JOIN (SELECT c, list(mean ORDER BY i) AS x FROM m GROUP BY c) n ON n.c = k.c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, k.c::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY k.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(k.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} k ON k.c = best.c"""
+
+
 ORACLES = {
     "op1_license_scan": license_sql(),
     "op2_quality_rules": quality_sql(),
     "op8_jaccard_join": JACCARD,
     "op11_filter_audit": FILTER_AUDIT,
+    "op13_centroid_clustering": clusters_sql(),
 }

@@ -6,6 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.centroids import cluster_vectors
 from weftline.llm.common import new_path, table
 from weftline.llm.decontamination import find_leaks
 from weftline.llm.filter_audit import audit_filters
@@ -75,6 +76,10 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -88,5 +93,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_filter_audit": op11_filter_audit,
     "op12_mixing": op12_mixing,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
