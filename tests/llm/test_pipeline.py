@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 def test_stages_and_result(spark):
     docs, labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    known = {r.doc_id for r in language_id.identify(docs, language_id.language_dictionaries(docs)).where("not rejected").collect()}
+    known = {r.doc_id for r in language_id.identify(docs, language_id.learn_languages(docs)).where("not rejected").collect()}
     left = docs.where(docs.doc_id.isin(*known))
     mild = {r.doc_id for r in toxicity.score_toxicity(left, toxicity.learn_stems(left, labels)).where("predicted = 0").collect()}
     left = docs.where(docs.doc_id.isin(*mild))

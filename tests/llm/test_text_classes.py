@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def test_toxicity_on_odd_rows(spark, odd_docs, no_docs):
 
 def test_held_out_languages_are_predicted(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = language_id.identify(docs, language_id.language_dictionaries(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    out = language_id.identify(docs, language_id.learn_languages(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(out) > 100 and sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out)
     assert sum(r.rejected for r in out) <= 0.02 * len(out)
 
@@ -139,22 +140,71 @@ def test_held_out_toxicity_is_predicted(spark):
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
+@pytest.fixture(scope="module")
+def languages(spark):
+    return language_id.learn_languages(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+@pytest.mark.parametrize("n,least_accepted", [(1, 0), (2, 0.02), (3, 0.3), (5, 0.9), (12, 0.95)])
+def test_short_texts_are_right_or_rejected(spark, languages, n, least_accepted):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null")
+    rows = docs.where(language_id.held_out(F.col("doc_id"))).select("lang", "text").collect()
+    cut = [(r.lang, " ".join(found[1 : n + 1])) for r in rows if len(found := language_id.WORD.findall(r.text)) > n]
+    encoders = language_id.Encoders(languages)
+    best, score, _, accepted = encoders.predict([t for _, t in cut])
+    right = [encoders.langs[b] == lang for b, (lang, _) in zip(best, cut, strict=True)]
+    n_accepted = int(accepted.sum())
+    assert n_accepted >= least_accepted * len(cut)
+    assert sum(a and r for a, r in zip(accepted, right, strict=True)) >= 0.93 * n_accepted
+    # what is rejected never scores above a half
+    assert all(s <= 0.5 for s, a in zip(score, accepted, strict=True) if not a)
+
+
+def test_languages_that_were_not_learned_are_rejected(spark, languages):
+    foreign = ["日本語のテキストはここにあります。とても長い文章です。", "Привет, как дела сегодня? Это очень длинное предложение.", "Danas je lijep dan i idemo zajedno u grad kupiti kruh i mlijeko za obitelj.",
+               "Kirjasto on suljettu tänään koska kaikki työntekijät ovat lomalla ja tulevat takaisin maanantaina.", "Dziś jest piękny dzień i idziemy razem do miasta kupić chleb", "Καλημέρα σας, τι κάνετε σήμερα;"]
+    docs = spark.createDataFrame(list(enumerate(foreign)) + [(100 + i, t * 40) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r.rejected and r.score <= 0.5 for r in language_id.identify(docs, languages).collect())
+
+
+def test_sizes_equal_plain_encodings(spark, languages):
+    import zstandard
+
+    encoders, texts = language_id.Encoders(languages), ["Thblely sha", prose(30, 1), prose(3000, 2), "x"]
+    best, margin, second, gain, bare, size = encoders.measure(texts)
+    for k, text in enumerate(texts):
+        own = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} ".encode()
+        n = max(1, min(8, 2048 // len(own)))
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=4096 + 256, dict_size=65536, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes = []
+        for lang in sorted(languages.dictionaries):
+            made = zstandard.ZstdCompressionDict(languages.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(compression_params=params)
+            pack = zstandard.ZstdCompressor(compression_params=params, dict_data=made).compress
+            before = [language_id.known_text(languages.dictionaries[lang], m) for m in range(n)]
+            sizes.append(sum(len(pack(b + own[at : at + 4096])) - len(pack(b)) for b in before for at in range(0, len(own), 4096)) / n)
+        order = sorted(sizes)
+        assert sizes[best[k]] == order[0] and margin[k] == pytest.approx(order[1] - order[0]) and second[k] == pytest.approx(order[1]) and size[k] == len(own)
+        assert gain[k] == pytest.approx(bare[k] - order[0])
+
+
 def test_languages_on_odd_rows(spark, odd_docs, no_docs):
-    dictionaries = language_id.language_dictionaries(odd_docs)
-    assert set(dictionaries) <= {"en", "de", "es", "ja", "fr"}
-    out = language_id.identify(odd_docs, dictionaries).collect()
+    learned = language_id.learn_languages(odd_docs)
+    assert set(learned.dictionaries) <= {"en", "de", "es", "ja", "fr"}
+    out = language_id.identify(odd_docs, learned).collect()
     assert len(out) == odd_docs.count()
-    for r in language_id.identify(odd_docs, dictionaries).join(odd_docs.select("doc_id", "text"), "doc_id").collect():
+    for r in language_id.identify(odd_docs, learned).join(odd_docs.select("doc_id", "text"), "doc_id").collect():
         assert (r.lang_pred == "und") == (not r.text or not r.text.strip()) and 0 <= r.score <= 1
-    assert language_id.language_dictionaries(no_docs) == {}
-    assert {r.lang_pred for r in language_id.identify(odd_docs, {}).collect()} == {"und"}
-    assert language_id.identify(no_docs, dictionaries).count() == 0
-    assert language_id.keep_identified(odd_docs, dictionaries).columns == odd_docs.columns
+    nothing = language_id.learn_languages(no_docs)
+    assert nothing.dictionaries == {}
+    assert {r.lang_pred for r in language_id.identify(odd_docs, nothing).collect()} == {"und"}
+    assert language_id.identify(no_docs, learned).count() == 0
+    assert language_id.keep_identified(odd_docs, learned).columns == odd_docs.columns
 
 
 def test_numerals_are_no_letters(spark):
     docs = spark.createDataFrame([(1, "²½ 12 ①"), (2, "² x"), (3, "_"), (4, "日")], "doc_id long, text string")
-    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, {"en": b" x y z " * 20, "ja": "日本語".encode() * 20}).collect()}
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.Languages({"en": b" x y z " * 20, "ja": "日本語".encode() * 20})).collect()}
     assert got[1] == got[3] == "und" and got[2] != "und" and got[4] != "und"
 
 

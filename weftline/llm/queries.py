@@ -11,7 +11,7 @@ from weftline.llm.common import new_path, table
 from weftline.llm.decontamination import find_leaks
 from weftline.llm.filter_audit import audit_filters
 from weftline.llm.html_extraction import extract_main_text
-from weftline.llm.language_id import identify, language_dictionaries
+from weftline.llm.language_id import identify, learn_languages
 from weftline.llm.license_scan import scan_licenses
 from weftline.llm.mixing import mix
 from weftline.llm.near_duplicates import near_duplicates
@@ -59,7 +59,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, language_dictionaries(docs))
+    return identify(docs, learn_languages(docs))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
