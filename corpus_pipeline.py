@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import table
 from weftline.llm.decontamination import drop_leaks
-from weftline.llm.language_id import keep_identified, language_dictionaries
+from weftline.llm.language_id import keep_identified, learn_languages
 from weftline.llm.near_duplicates import drop_duplicates
 from weftline.llm.packing import pack
 from weftline.llm.toxicity import drop_toxic, learn_stems
@@ -20,7 +20,7 @@ from weftline.session import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language is in doubt."""
-    return keep_identified(docs, language_dictionaries(docs))
+    return keep_identified(docs, learn_languages(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
