@@ -82,6 +82,18 @@ def test_texts_of_one_doc_id_are_told_apart(spark):
     assert kept == Counter([(3, a), (5, b), (5, c), (9, prose(60, 24)), (None, a), (None, a), (None, None), (None, None)])
 
 
+def test_rows_of_one_class_leave_the_same_row_always(spark):
+    a, near, other = prose(60, 41), prose(60, 41) + " more", prose(60, 42)
+    rows = [(3, a, "en", None), (3, a, "de", 1), (3, a, "de", 1), (3, near, "fr", 2), (4, near, "en", 3), (3, other, "en", None), (9, "", "en", None), (9, "", None, None), (None, a, "en", 1), (None, a, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    kept = [Counter(map(tuple, nd.drop_duplicates(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1]
+    own = [r for r in kept[0] if r[0] is not None]
+    # one row of the class of a, one of the other text, one without words; rows without an id stay
+    assert len(own) == 3 and {(r[0], r[1]) for r in own} in ({(3, t), (3, other), (9, "")} for t in (a, near)) and set(own) <= set(rows)
+    assert kept[0][None, a, "en", 1] == 2
+
+
 def test_chains_and_stars_of_candidates(spark, monkeypatch):
     monkeypatch.setattr(nd, "LEAST_BLOCK", 8)
     monkeypatch.setattr(nd, "BLOCK_CHARS", 4000)

@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_matching import brute
 from weftline.llm import decontamination, language_id, near_duplicates, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -20,7 +21,8 @@ def test_stages_and_result(spark):
     left = docs.where(docs.doc_id.isin(*known))
     mild = {r.doc_id for r in toxicity.score_toxicity(left, toxicity.learn_stems(left, labels)).where("predicted = 0").collect()}
     left = docs.where(docs.doc_id.isin(*mild))
-    single = {r.doc_id for r in near_duplicates.near_duplicates(left).where("doc_id = class_id").collect()}
+    single = {i for _, i, class_id, _ in brute([(i, texts[i]) for i in mild]) if i == class_id}
+    assert single == {r.doc_id for r in near_duplicates.near_duplicates(left).where("doc_id = class_id").collect()}
     leaked = {r.doc_id for r in decontamination.find_leaks(docs, benchmark).collect()}
     want = single - leaked
 

@@ -26,27 +26,48 @@ def test_composition_equals_one_after_the_other():
         assert both.run(text) == (out, w1 + w2)
 
 
-@pytest.mark.parametrize(
-    "text,toxic",
-    [("you are an idiot", True), ("such a pathetic, worthless scum", True), ("i will kill you", True), ("we will come and hurt them", True), ("you are not an idiot", False),
-     ("the paper reported that he was called an idiot", False), ("a kind word for all of you", False), ("they kill time", False), ("", False), ("idiom and moronic acid", False)],
-)
-def test_grammar(text, toxic):
+CASES = {
+    "you are an idiot": "targeted", "kim is a complete idiot": "framed", "idiot, leave it": "framed", "leave it, idiot": "framed", "what a pathetic, worthless scum": "framed",
+    "house of the idiot house": "lone", "they are not an idiot": "negated", "he was never such an idiot": "negated", "the paper reported that he was called an idiot": "reported",
+    'he typed "idiot" into it': "reported", "the word idiot is old": "reported",
+}
+
+
+@pytest.mark.parametrize("text,kind", CASES.items())
+def test_patterns(text, kind):
+    assert {k for k, _ in toxicity.Scorer({}).matches(text)} == {kind}
+    assert (toxicity.Scorer({}).score(text)[0] >= 0.5) == (kind in ("targeted", "framed"))
+
+
+@pytest.mark.parametrize("text,toxic", [("i will kill you", True), ("we will come and hurt them", True), ("he said he will kill you", False), ("never kill them", False),
+                                        ("a kind word for all of you", False), ("they kill time", False), ("", False), ("idiom and moronic acid", False)])
+def test_threats_and_plain_texts(text, toxic):
     assert (toxicity.Scorer({}).score(text)[0] >= 0.5) == toxic
 
 
+@pytest.mark.parametrize(
+    "part,text",
+    [("report", "the paper reported that he is an idiot"), ("negation", "house he is not an idiot house"), ("target", "you house house scumbag house"), ("frame", "kim is a complete idiot"), ("threat", "i will kill you")],
+)
+def test_each_part_of_the_grammar_decides(part, text):
+    """Without the part the decision turns; without any other part it stays."""
+    whole = toxicity.Scorer({}).score(text)[0] >= 0.5
+    for name in toxicity.parts():
+        assert ((toxicity.Scorer({}, name).score(text)[0] >= 0.5) != whole) == (name == part), name
+
+
 def patterns_by_hand(symbols):
-    """What the grammar should find in a clause, by looking back from each insult instead of stepping a machine."""
+    """What the grammar should find in a clause, by looking around each insult instead of stepping a machine."""
     told = list(symbols)
-    for i, s in enumerate(symbols):  # after a word of report nothing counts as said
-        if s in "IH" and "R" in symbols[:i]:
+    for i, s in enumerate(symbols):
+        before = "".join(symbols[:i])
+        if s in "IH" and "R" in before:
             told[i] = {"I": "r", "H": "O"}[s]
+        elif s == "I" and re.search("K[KD]*$", before):
+            told[i] = "r"
     out = list(told)
-    for i, s in enumerate(told):  # a negation, and only links or negations between
-        k = i - 1
-        while k >= 0 and out[k] == "A":
-            k -= 1
-        if s in "IH" and k >= 0 and told[k] == "N":
+    for i, s in enumerate(told):
+        if s in "IH" and re.search("N[NBD]*$", "".join(told[:i])):
             out[i] = {"I": "n", "H": "O"}[s]
     for i, s in enumerate(out):  # a target with at most three other words between
         if s == "I":
@@ -56,32 +77,26 @@ def patterns_by_hand(symbols):
                     out[i] = "T" if gap <= 3 else "I"
                     break
                 gap += out[k] not in "IT"
-    found, place = [], {}
+    found, last, text = [], None, "".join(out)
     for i, s in enumerate(out):
+        before, after = text[:i], text[i + 1 : i + 2] or "$"
         if s in "nrT":
             found.append({"n": "negated", "r": "reported", "T": "targeted"}[s])
         elif s == "I":
-            # a frame: the beginning, a link or another insult with at most four words between
-            before = [k for k in range(i - 1, i - 6, -1) if k < 0 or out[k] in "API"]
-            if before and before[0] >= 0 and out[before[0]] == "I" and found[place[before[0]]] == "lone":
-                found[place[before[0]]] = "framed"
-            place[i] = len(found)
-            found.append("framed" if before else "lone")
-        elif s in "AP":
-            last = next((k for k in range(i - 1, i - 6, -1) if k >= 0 and k in place), None)
-            if last is not None and not any(out[k] in "AP" for k in range(last + 1, i)):
-                found[place[last]] = "framed"
-    last = next((k for k in range(len(out) - 1, len(out) - 6, -1) if k in place), None)
-    if last is not None and not any(out[k] in "AP" for k in range(last + 1, len(out))):
-        found[place[last]] = "framed"
+            row = re.search("ID*(VD*)?$", before)
+            if row and found[last] == "lone":
+                found[last] = "framed"
+            address = (re.search("^D*$", before) or re.search("V[DV]*$", before)) and after in "V$"
+            last = len(found)
+            found.append("framed" if row or address or re.search("B[DB]*O?$", before) else "lone")
     return found
 
 
 def test_grammar_on_whole_texts_equals_a_plain_reading():
-    words = {"I": "idiot", "Y": "you", "N": "never", "A": "the", "P": "of", "R": "said", "O": "house", "H": "kill"}
+    words = {"I": "idiot", "Y": "you", "N": "never", "D": "the", "B": "is", "V": ",", "K": '"', "R": "said", "O": "house", "H": "kill"}
     scorer, rng, seen = toxicity.Scorer({}), random.Random(11), set()
-    for _ in range(4000):
-        clauses = [[rng.choice("IIOOOOOOOOAPYNRH") for _ in range(rng.randint(1, 16))] for _ in range(rng.randint(1, 3))]
+    for n in range(6000):
+        clauses = [[rng.choice("IIIOOOOODDBVVYNRHK"[: 12 if n % 2 else None]) for _ in range(rng.randint(1, 16))] for _ in range(rng.randint(1, 3))]
         text = ". ".join(" ".join(words[s] for s in c) for c in clauses)
         want = [kind for c in clauses for kind in patterns_by_hand(c)]
         assert [kind for kind, _ in scorer.matches(text) if kind != "threat"] == want, clauses
@@ -89,17 +104,24 @@ def test_grammar_on_whole_texts_equals_a_plain_reading():
         rest = 1.0
         for kind in want:
             rest *= 1 - 0.7 * toxicity.PRIOR[kind]
-        assert abs(scorer.score(text)[0] - (1 - rest)) < 1e-9 or "F" in text
+        assert abs(scorer.score(text)[0] - (1 - rest)) < 1e-9
     assert seen == {"lone", "framed", "targeted", "negated", "reported"}
 
 
-def test_no_lone_negated_or_reported_insult_decides(spark):
+def test_clauses_of_thousands_of_words():
+    rng = random.Random(3)
+    clause = [rng.choice("OOOOOOOODBVIYN") for _ in range(8000)]
+    words = {"I": "idiot", "Y": "you", "N": "never", "D": "the", "B": "is", "V": ",", "O": "house"}
+    assert [k for k, _ in toxicity.Scorer({}).matches(" ".join(words[s] for s in clause))] == patterns_by_hand(clause)
+
+
+def test_labels_decide_what_a_lone_insult_weighs(spark):
     rows = [(i, f"{prose(6, i)} zurgle {prose(6, i + 1)}", 1) for i in range(200)] + [(1000 + i, prose(20, i), 0) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    learned = toxicity.learn_stems(docs, docs)
-    assert all(learned.shares[k] <= most < 0.5 for k, most in toxicity.MOST.items())
-    scorer = toxicity.Scorer(learned)
-    assert scorer.score(" ".join(["house"] * 5 + ["zurgle"] + ["house"] * 5))[0] < 0.5 <= scorer.score("house of the zurgle house house house")[0]
+    scorer = toxicity.Scorer(toxicity.learn_stems(docs, docs))
+    lone = "house house house zurgle house house"
+    assert toxicity.Scorer({"zurgle": 0.99}).score(lone)[0] < 0.5 < scorer.score(lone)[0]
+    # what no label speaks of stays as it was
     assert scorer.score("house he said house house the zurgle")[0] < 0.5 and scorer.score("house house is never a zurgle house")[0] < 0.5
 
 

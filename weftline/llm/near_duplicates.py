@@ -194,12 +194,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """The rows of ``near_duplicates`` with the keys of their texts, as one doc_id may have texts of several classes."""
+    """The rows of ``near_duplicates`` with the keys of their texts and of their class's first text.
+
+    A doc_id may have texts of several classes, so the class of a row is named by id and text key together. The key is
+    64 bits wide: two different texts under one doc_id share it with a probability of 1 in 10**19.
+    """
     spark = docs.sparkSession
     found = materialize(sketches(docs), "sketches")
     known = found.where("set_key is not null and doc_id is not null")
-    first = F.min_by(F.struct("text_key", "bands", "chars"), "doc_id").alias("first")
-    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), first).select("set_key", "least", "copies", "first.*")
+    first = F.min(F.struct(F.col("doc_id").alias("least"), "text_key", "chars", "bands")).alias("first")
+    reps = known.groupBy("set_key").agg(F.count("*").alias("copies"), first).select("set_key", "copies", "first.*")
     # several sets may have the same least doc_id, so each has a number of its own, fixed once it is written
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     placed = materialize(buckets(reps), "candidates").join(reps.select("rep", "copies", "least", "text_key"), "rep")
@@ -216,21 +220,29 @@ def _classes(docs: DataFrame) -> DataFrame:
     compared = materialize(compare(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")), "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "component")
-    numbered = classes.join(reps.select("rep", "least"), "rep")
-    classes = classes.join(numbered.groupBy("component").agg(F.min("least").alias("class")), "component").select("rep", "class")
+    numbered = classes.join(reps.select("rep", "least", "text_key"), "rep")
+    heads = numbered.groupBy("component").agg(F.min(F.struct("least", "text_key")).alias("head"))
+    classes = classes.join(heads, "component").select("rep", "head")
     result = reps.join(links, "rep", "left").join(classes, "rep", "left")
-    result = result.select("set_key", F.coalesce("class", "least").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = found.join(result, "set_key", "left")
-    own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "text_key", F.when(own, F.coalesce("class", "doc_id")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    own = F.struct("least", "text_key")
+    result = result.select("set_key", F.col("copies").alias("n"), F.coalesce("head", own).alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    # what has no words or no id is no part of a class of others, and isn't looked up
+    others = found.where("set_key is null or doc_id is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_text"), F.lit(0).cast("long").alias("n_links"))
+    return look_up(known, result, "set_key", found.count()).select("doc_id", "text_key", F.col("head.least").alias("class_id"), F.col("head.text_key").alias("class_text"), "n_links").unionByName(others)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those that belong to another document's class.
+    """One row of ``docs``, with all its columns, of each class, whatever else its rows have.
 
-    Of equal rows one stays; rows without a doc_id, which have no class, all stay.
+    It is the one with the least doc_id; where texts of one class share that, the text with the least hash stays, and of
+    rows with the same id and text the one whose other columns have the least hash. So near copies under one doc_id
+    leave one row, texts of different classes under one doc_id a row each. Rows without a doc_id, which have no class, all stay.
     """
-    others = _classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__other_class"), F.col("text_key").alias("__other_text")).distinct()
-    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    others = _classes(docs).where("class_id <> doc_id or class_text <> text_key").select(F.col("doc_id").alias("__other_class"), F.col("text_key").alias("__other_text")).distinct()
     same = (F.col("doc_id").cast("long") == others["__other_class"]) & (text_key() == others["__other_text"])
-    return rows.join(others, same, "left_anti").dropDuplicates(["doc_id", "text", "__row"]).drop("__row")
+    rows = docs.join(others, same, "left_anti").withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    plain = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # equal ids with equal texts are one row each; what they differ in comes along as the least of its hashes
+    rest = F.struct(F.xxhash64(F.to_json(F.struct(*plain))).alias("h"), F.to_json(F.struct(*plain)).alias("j")) if plain else F.lit(0)
+    kept = rows.groupBy("doc_id", "text", "__row").agg(F.min_by(F.struct(*plain) if plain else F.lit(0), rest).alias("__rest"))
+    return kept.select(*((F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c)) for c in docs.columns))

@@ -25,8 +25,8 @@ PLAIN = re.compile("[ \\t\\n\\r]+")
 #: one or two pre-tokens, which the library's model can take without its pre-tokenizer.
 WORD = re.compile("([ \\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
-#: Most bytes of text that are cut up at once, and most different pieces that a worker remembers.
-SLICE_BYTES, MEMO = 8 << 20, 500_000
+#: Most bytes of text that are cut up at once, and of different pieces that a worker remembers, each with what it takes besides its characters.
+SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 48 << 20, 160
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -86,7 +86,9 @@ class PieceCodec:
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
-        self.used = self.filled = 0
+        self.used = self.filled = self.held = 0
+        #: How many pieces are kept, once the memory is full.
+        self.most: int | None = None
         self.passing: list[str] = []
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
@@ -132,16 +134,19 @@ class PieceCodec:
             self.starts[here], self.lengths[here] = self.used + np.cumsum(sizes) - sizes, sizes
             self.pool[self.used : self.used + len(flat)] = flat
             self.code.update(zip(some, range(self.filled, self.filled + len(some)), strict=True))
-            if self.filled + len(some) > MEMO:
-                self.passing += some[max(0, MEMO - self.filled) :]
+            if self.most is not None:
+                self.passing += some
             self.used, self.filled = self.used + len(flat), self.filled + len(some)
+            self.held += sum(map(len, some)) + PIECE_BYTES * len(some)
+            if self.most is None and self.held > MEMO_BYTES:
+                self.most = self.filled
 
     def _forget(self) -> None:
         """Drop what came after the memory was full; what came first is what recurs most."""
         if self.passing:
             for piece in self.passing:
                 del self.code[piece]
-            self.filled, self.used, self.passing = MEMO, int(self.starts[MEMO]), []
+            self.filled, self.used, self.passing = self.most, int(self.starts[self.most]), []
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         get = self.code.get

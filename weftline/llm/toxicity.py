@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as classes (insult, threat, target, negation, report, link, ...). Transducers for reported speech,
-negation, targets, frames (a phrase or an address around the insult) and threats are composed into one machine that
-is run over each clause that holds an insult or a threat. What counts is the pattern that the clause matches: a lone
-insult never decides by itself, a negated or reported one weighs little, a framed or targeted one most. Insult stems
-and the weights of the patterns are learned from labelled documents; a short general lexicon is always there.
+Words are read as classes (insult, threat, target, negation, report, copula, pause, ...). Transducers for reported
+speech and mentions, negation, targets, frames (a copula before the insult, an address set off by a pause, insults in a
+row) and threats are composed into one machine that is run over each clause that holds an insult or a threat. What
+counts is the pattern that the clause matches, with a weight that is learned from labelled documents, as are the stems
+of insults; a short general lexicon is always there. Before any label is seen, an insult without a pattern doesn't
+decide, a negated or reported one weighs little, a framed or targeted one most.
 """
 
 from __future__ import annotations
@@ -45,18 +46,17 @@ THREATS = "kill$ murder$ hurt$ stab$ shoot$ strangle$ beat$ destroy$ rape$ umbri
 TARGETS = "you$ your$ you're$ youre$ u$ he$ she$ they$ him$ her$ them$ these$ those$ du$ dich$ ihr$ tu$ te$ usted$ ustedes$ toi$ vous$".split()
 FUTURES = "will$ gonna$ going$ i'll$ we'll$ werde$ werden$ voy$ vamos$ vais$ allons$ should$ must$".split()
 NEGATIONS = "not$ never$ isn't$ aren't$ wasn't$ weren't$ don't$ nobody$ hardly$ nicht$ kein$ keine$ jamais$ nunca$".split()
-LINKS = "a$ an$ the$ is$ are$ was$ be$ being$ so$ such$ very$ really$ that$ ein$ eine$ un$ une$ es$ est$ call$ called$".split()
-JOINTS = (
-    "of$ to$ in$ for$ with$ by$ at$ on$ from$ as$ and$ or$ but$ like$ what$ this$ it$ which$ than$ into$ about$ only$"
-    " der$ die$ das$ den$ dem$ des$ und$ oder$ zu$ zum$ zur$ für$ auf$ mit$ von$ vom$ bei$ als$ wie$ ist$ sind$ war$ im$ in$ an$ am$ aus$ nach$ um$ auch$ sich$ dass$ einer$ einem$ einen$ eines$"
-    " le$ la$ les$ du$ de$ des$ en$ pour$ par$ avec$ et$ ou$ que$ qui$ est$ sont$ sur$ dans$ au$ aux$ ce$ cet$ cette$ il$ elle$ se$ plus$ comme$ à$"
-    " el$ los$ las$ del$ al$ y$ o$ por$ para$ con$ como$ son$ se$ su$ sus$ lo$ más$ una$ uno$ este$ esta$ ese$ esa$ era$ fue$"
+COPULAS = "is$ are$ am$ was$ were$ be$ being$ been$ call$ called$ you're$ he's$ she's$ ist$ sind$ bist$ war$ est$ es$ eres$ sont$ sois$ son$".split()
+DETERMINERS = "a$ an$ the$ such$ so$ very$ really$ just$ that$ ein$ eine$ einen$ der$ die$ das$ un$ une$ una$ le$ la$ el$ tan$ si$ sehr$".split()
+REPORTS = (
+    "said$ says$ wrote$ writes$ quoted$ quote$ reported$ reportedly$ allegedly$ claimed$ claims$ word$ words$ term$ means$"
+    " sagte$ schrieb$ wort$ dijo$ escribió$ palabra$ déclaré$ écrit$ mot$"
 ).split()
-REPORTS = "said$ says$ wrote$ writes$ quoted$ reported$ reportedly$ allegedly$ claimed$ claims$ sagte$ schrieb$ dijo$ escribió$ déclaré$ écrit$".split()
+QUOTES = frozenset("\"“”„«»‘'")
 
-CLASSES = {"H": THREATS, "Y": TARGETS, "F": FUTURES, "N": NEGATIONS, "P": JOINTS, "A": LINKS, "R": REPORTS}
-#: What the machine reads: the classes, I for an insult, O for any other word, $ for the end of a clause.
-SYMBOLS = "IHYFNPARO$"
+CLASSES = {"D": DETERMINERS, "B": COPULAS, "H": THREATS, "Y": TARGETS, "F": FUTURES, "N": NEGATIONS, "R": REPORTS}
+#: What the machine reads: the classes, I for an insult, K for a quotation mark, V for another pause, O for any other word, $ for the end.
+SYMBOLS = "IHYFNBDRKVO$"
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 #: A word, or a pause between words: what sets off an address or an apposition.
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[^\w\s]+")
@@ -65,37 +65,55 @@ MILD = "trash$ garbage$ clown$ clowns$ disgusting$ dumb$ fool$ fools$ ugly$ liar
 #: Weights of the patterns before any label is seen, as shares of the stem's own, and how many documents that counts for.
 PRIOR = {"lone": 0.45, "framed": 0.75, "targeted": 0.95, "negated": 0.12, "reported": 0.25}
 STRENGTH = 10
-#: What is learned stays below: a lone, negated or reported insult never passes 0.5 by itself.
-MOST = {"lone": 0.49, "negated": 0.3, "reported": 0.4}
 #: Log weight of a complete threat.
 THREAT = 3.0
 
 
-@cache
-def grammar() -> Transducer:
-    """The composed machine. It writes n for a negated insult, r for a reported, T for a targeted and f for a framed one,
-    I for any other, which Q after it (or C, itself an insult) makes framed too; K completes a threat and has a weight.
-    """
-    report = Transducer({(0, "R"): (1, "R", 0.0), (1, "I"): (1, "r", 0.0), (1, "H"): (1, "O", 0.0)})
-    negation = Transducer({(0, "N"): (1, "N", 0.0), (1, "A"): (1, "A", 0.0), (1, "N"): (1, "N", 0.0), (1, "I"): (0, "n", 0.0), (1, "H"): (0, "O", 0.0)}, {1: 0})
+def parts() -> dict[str, Transducer]:
+    """The transducers, in the order in which they are composed: each reads what the one before writes."""
+    report = {(s, "R"): (1, "R", 0.0) for s in (0, 1, 2)} | {(1, "I"): (1, "r", 0.0), (1, "H"): (1, "O", 0.0)}
+    mention = {(0, "K"): (2, "K", 0.0), (2, "K"): (2, "K", 0.0), (2, "D"): (2, "D", 0.0), (2, "I"): (0, "r", 0.0)}
+    negation = {(0, "N"): (1, "N", 0.0)} | {(1, s): (1, s, 0.0) for s in "NBD"} | {(1, "I"): (0, "n", 0.0), (1, "H"): (0, "O", 0.0)}
     reach = 4
-    target = Transducer(
-        {(s, "Y"): (1, "Y", 0.0) for s in range(reach + 1)} | {(s, "I"): (s, "T", 0.0) for s in range(1, reach + 1)},
-        {s: s % reach + 1 if s < reach else 0 for s in range(1, reach + 1)},
-    )
-    # states: up to near after a link, another insult or the clause's beginning; beyond it after an insult without a frame
-    near = reach + 1
-    before, after = range(1, near + 1), range(near + 1, 2 * near + 1)
-    link = {(s, w): (1, w, 0.0) for s in (0, *before) for w in "AP"} | {(s, w): (1, "Q", 0.0) for s in after for w in "AP$"}
-    insult = {(s, "I"): (1, "f", 0.0) for s in before} | {(0, "I"): (near + 1, "I", 0.0)} | {(s, "I"): (1, "C", 0.0) for s in after}
-    frame = Transducer(link | insult, {s: 0 if s in (near, 2 * near) else s + 1 for s in (*before, *after)}, start=1)
+    target = {(s, "Y"): (1, "Y", 0.0) for s in range(reach + 1)} | {(s, "I"): (s, "T", 0.0) for s in range(1, reach + 1)}
     # a future word, then a threat within two words, then a target within two words
-    threat = Transducer(
-        {(s, "F"): (1, "F", 0.0) for s in range(7)} | {(s, "H"): (4, "H", 0.0) for s in (1, 2, 3)} | {(s, "Y"): (0, "K", THREAT) for s in (4, 5, 6)},
-        {1: 2, 2: 3, 3: 0, 4: 5, 5: 6, 6: 0},
-    )
-    symbols = SYMBOLS + "rnTfQCK"
-    return report.then(negation, symbols).then(target, symbols).then(frame, symbols).then(threat, symbols)
+    threat = {(s, "F"): (1, "F", 0.0) for s in range(7)} | {(s, "H"): (4, "H", 0.0) for s in (1, 2, 3)} | {(s, "Y"): (0, "X", THREAT) for s in (4, 5, 6)}
+    return {
+        "report": Transducer(report | mention, {2: 0}),
+        "negation": Transducer(negation, {1: 0}),
+        "target": Transducer(target, {s: s % reach + 1 if s < reach else 0 for s in range(1, reach + 1)}),
+        "frame": frame(),
+        "threat": Transducer(threat, {1: 2, 2: 3, 3: 0, 4: 5, 5: 6, 6: 0}),
+    }
+
+
+def frame() -> Transducer:
+    """Writes f for an insult after a copula, with a determiner and one more word between at most; C for one right after
+    another insult, which frames that one too; Q after an insult at a border of the clause or after a pause, if another
+    border or pause follows: an address."""
+    states = ("start", "copula", "near", "begun", "insult", "list", "pause", "set off")
+    steps = {(s, "B"): ("copula", "B", 0.0) for s in ("", *states)}
+    steps |= {("start", "D"): ("start", "D", 0.0), ("copula", "D"): ("copula", "D", 0.0), ("copula", "O"): ("near", "O", 0.0)}
+    steps |= {(s, "V"): ("pause", "V", 0.0) for s in ("", "start", "copula", "near", "pause")} | {("pause", "D"): ("pause", "D", 0.0)}
+    steps |= {(s, "I"): ("insult", "f", 0.0) for s in ("copula", "near")} | {("", "I"): ("insult", "I", 0.0)}
+    steps |= {("start", "I"): ("begun", "I", 0.0), ("pause", "I"): ("set off", "I", 0.0)}
+    steps |= {(s, "I"): ("insult", "C", 0.0) for s in ("begun", "insult", "list", "set off")}
+    steps |= {(s, "V"): ("list", "Q", 0.0) for s in ("begun", "set off")} | {(s, "$"): ("", "Q", 0.0) for s in ("begun", "set off")}
+    steps |= {("insult", "V"): ("list", "V", 0.0), ("list", "V"): ("pause", "V", 0.0), ("list", "D"): ("list", "D", 0.0)} | {(s, "D"): ("insult", "D", 0.0) for s in ("begun", "insult", "set off")}
+    return Transducer(steps, dict.fromkeys(states, ""), start="start")
+
+
+@cache
+def grammar(without: str = "") -> Transducer:
+    """The composed machine, perhaps without one of its parts. It writes n for a negated insult, r for a reported, T for a
+    targeted and f for a framed one, I for any other, which Q after it (or C, itself an insult) makes framed too; X
+    completes a threat and has a weight.
+    """
+    kept = [part for name, part in parts().items() if name != without]
+    machine = kept[0]
+    for part in kept[1:]:
+        machine = machine.then(part, SYMBOLS + "rnTfQC")
+    return machine
 
 
 class Learned(dict):
@@ -211,7 +229,7 @@ def learn_shares(sample: DataFrame, stems: Learned, toxic: int, clean: int) -> d
     for kind, prior in PRIOR.items():
         t, c = seen.get(kind, (0, 0))
         t, c = t * (toxic + clean) / (2 * toxic), c * (toxic + clean) / (2 * clean)
-        shares[kind] = min(MOST.get(kind, 1.0), (STRENGTH * prior + t) / (STRENGTH + t + c))
+        shares[kind] = (STRENGTH * prior + t) / (STRENGTH + t + c)
     return shares
 
 
@@ -222,7 +240,7 @@ KINDS = {"I": "lone", "f": "framed", "C": "framed", "T": "targeted", "n": "negat
 class Scorer:
     """The grammar with a lexicon, ready to score texts."""
 
-    def __init__(self, learned: dict[str, float]):
+    def __init__(self, learned: dict[str, float], without: str = ""):
         self.shares = getattr(learned, "shares", PRIOR)
         # a learned stem replaces the general ones that it begins
         general = {s: w for w, stems in ((0.7, INSULTS), (0.45, MILD)) for s in stems if not any(s.startswith(k) for k in learned)}
@@ -234,13 +252,13 @@ class Scorer:
         open_ended = {s: w for s, w in self.weights.items() if not s.endswith("$")}
         self.exact, self.open_ended = exact, open_ended
         self.lengths = sorted({len(s) for s in open_ended}, reverse=True)
-        self.machine = grammar()
+        self.machine = grammar(without)
         self.seen: dict[str, tuple[str, float]] = {}
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (known := self.seen.get(word)) is None:
             weight = self.exact.get(word) or next((self.open_ended[word[:n]] for n in self.lengths if word[:n] in self.open_ended), 0.0)
-            known = ("I", weight) if weight else (self.words.get(word, "O" if word[0].isalpha() else "P"), 0.0)
+            known = ("I", weight) if weight else (self.words.get(word) or ("O" if word[0].isalpha() else "K" if QUOTES & set(word) else "V"), 0.0)
             if len(self.seen) < 500_000:
                 self.seen[word] = known
         return known
@@ -255,8 +273,8 @@ class Scorer:
             written, threat = self.machine.run(s for s, _ in read)
             found: list[list] = []
             for (_, weight), out in zip(read, written, strict=True):
-                if out in "QC":  # it completes the frame of the insult before it
-                    next(m for m in reversed(found) if m[0] == "lone")[0] = "framed"
+                if out in "QC" and found[-1][0] == "lone":  # it completes the frame of the insult before it
+                    found[-1][0] = "framed"
                 if kind := KINDS.get(out):
                     found.append([kind, weight])
             yield from map(tuple, found)
