@@ -141,7 +141,7 @@ def test_incremental_facts_equal_a_full_build(spark, built, tree, tmp_path):
     assert sorted(extracted) == ["src/cart/index.ts", "src/money.ts", "src/new.ts"]
     edges = lambda f: {(r.src, r.dst, r.kind) for r in graph.merge_edges(resolve.build_edges(f, packages)).collect()}
     assert edges(fresh) == edges(full)
-    before, after = ({r.path: r.surface for r in resolve.surface(f).collect()} for f in (facts, fresh))
+    before, after = ({r.path: r.surface for r in resolve.surfaces(f, resolve.resolve_imports(f, packages)).collect()} for f in (facts, fresh))
     assert {p for p in before if p in after and before[p] != after[p]} == {"src/money.ts"}
     current = files.where("lang is not null").select("path", "content_hash")
     assert graph.freshness(facts, current).first().asDict() == {"n_changed": 2, "n_added": 1, "n_deleted": 1}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftline.session import materialize
+from weftline.session import discard, materialize
 
 #: Targets whose reach is kept in one number.
 BITS = 64
@@ -75,3 +77,28 @@ def reached_from(deps: DataFrame, entries: DataFrame) -> DataFrame:
     backwards = deps.select(F.col("dst").cast("string").alias("src"), F.col("src").cast("string").alias("dst"), "exact")
     kind = dict(entries.dtypes)["id"]
     return closure(backwards, first).select(F.col("id").cast(kind).alias("id"), "exact")
+
+
+#: Rounds that are kept apart before they are written into one table.
+ROUNDS = 8
+
+
+def reachable(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """id of ``seeds(id)`` and of all that a way along ``pairs(src, dst)`` leads to from them.
+
+    A round writes what is new alone. Every few rounds these are merged into one table and removed, so neither plans
+    nor the folder grow with the number of rounds. The result is a table in the shared folder.
+    """
+    pairs = materialize(pairs.select("src", "dst"), "pairs")
+    parts = [materialize(seeds.where("id is not null").distinct(), "reached")]
+    while not parts[-1].isEmpty():
+        found = parts[-1].join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).where("id is not null").distinct()
+        parts.append(materialize(found.join(reduce(DataFrame.unionAll, parts), "id", "left_anti"), "reached"))
+        if len(parts) > ROUNDS:
+            # the newest stays apart, as the next round starts from it
+            merged = materialize(reduce(DataFrame.unionAll, parts[:-1]), "reached")
+            discard(*parts[:-1])
+            parts = [merged, parts[-1]]
+    whole = materialize(reduce(DataFrame.unionAll, parts), "reached")
+    discard(pairs, *parts)
+    return whole

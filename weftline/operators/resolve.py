@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import sys
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.fixpoint import reachable
 from weftline.session import materialize
 from weftline.sources.repository import ancestors
 
@@ -24,6 +26,9 @@ NODE_MODULES = (
     " process punycode querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib"
 ).split()
 
+#: Paths of changed files that are sent to all tasks, at most.
+MOST_BROADCAST = 50_000
+
 
 def normal_path(path: Column) -> Column:
     """A path without empty, ``.`` and ``..`` parts."""
@@ -104,11 +109,8 @@ def _read_configs(batches):
         yield pd.DataFrame(out, columns=["path", "parent", "base", "aliases"])
 
 
-def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """The imports with ``target`` (a file, or null), ``exact``, and for others ``external`` and ``declared``.
-
-    Candidates are tried in the order of their ranks; what is only found by a guess at a package's layout isn't exact.
-    """
+def import_candidates(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """src, idx, rank, candidate, exact: the paths that an import may mean, whether there are such files or not."""
     imports = imports_of(facts)
     key = ["src", "idx"]
     literal = imports.where("literal")
@@ -151,8 +153,18 @@ def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame |
     base = lambda *parts: files_of(join_path(F.col("folder"), *parts, F.col("module")))
     plain = roots.select(*key, F.explode(ranked(F.concat(base(), base(F.lit("src"))), F.lit(1000) - 10 * F.col("depth"), True)).alias("c"))
 
-    known = facts.select(F.col("path").alias("target"))
-    candidates = relative.select(*key, "c.*").unionAll(workspace.select(*key, "c.*")).unionAll(dotted.select(*key, "c.*")).unionAll(plain.select(*key, "c.*"))
+    return relative.select(*key, "c.*").unionAll(workspace.select(*key, "c.*")).unionAll(dotted.select(*key, "c.*")).unionAll(plain.select(*key, "c.*"))
+
+
+def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """The imports with ``target`` (a file, or null), ``exact``, and for others ``external`` and ``declared``.
+
+    Candidates are tried in the order of their ranks; what is only found by a guess at a package's layout isn't exact.
+    ``paths(path)`` are the files that there are, where ``facts`` has some of them only.
+    """
+    imports, key, spec = imports_of(facts), ["src", "idx"], F.col("specifier")
+    known = (facts if paths is None else paths).select(F.col("path").alias("target"))
+    candidates = import_candidates(facts, packages, configs)
     hits = candidates.join(known, F.col("candidate") == F.col("target")).groupBy(*key).agg(F.min_by(F.struct("target", "exact"), "rank").alias("hit"))
 
     outside = imports.withColumn("package", import_name(F.col("lang"), spec))
@@ -270,8 +282,22 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     Edges of test files are of kind tests, but for those to externals; an edge to a whole module is an import of it.
     """
     facts = materialize(facts, "facts")
-    resolved = materialize(resolve_imports(facts, packages, configs), "imports")
+    return edges_of(facts, materialize(resolve_imports(facts, packages, configs), "imports"))
+
+
+def edges_of(facts: DataFrame, resolved: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The edges of ``build_edges`` from facts and resolved imports, which are read several times.
+
+    With ``only(path)`` no other files are resolved: what is asked for is what these use, and only modules that this
+    leads to through re-exports are followed.
+    """
+    everything = facts
     own, links, stars = aliases(facts, resolved)
+    if only is not None:
+        only = F.broadcast(only) if only.count() <= MOST_BROADCAST else only
+        facts = materialize(facts.join(only, "path", "left_semi"), "some-facts")
+        resolved = materialize(resolved.join(only.select(F.col("path").alias("src")), "src", "left_semi"), "some-imports")
+    among = None if only is None else resolved.where("wildcard and target is not null").select(F.col("target").alias("id")).distinct()
     bound = materialize(bindings_of(resolved).where("target is not null"), "bindings")
     whole = bound.select("src", "local", "imported", "target", "exact", (F.col("kind") == "require").alias("required"))
     uses = facts.select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.where("kind not in ('reexport')").select("src", "local", "imported", "target", "exact", (F.col("kind") == "require").alias("required")), ["src", "local"])
@@ -282,13 +308,13 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     uses = uses.withColumn("name", use_name).where("name is not null")
     bases = facts.select(F.col("path").alias("src"), F.explode("facts.heritage").alias("h")).select("src", "h.*").withColumnRenamed("base", "local").join(whole, ["src", "local"])
     bases = bases.withColumn("name", use_name).where("name is not null")
-    spread = exported_names(own, links, stars).toDF("target", "name").where("name <> 'default'")
+    spread = exported_names(own, links, stars, among).toDF("target", "name").where("name <> 'default'")
     starred = resolved.where("kind = 'reexport_all' and target is not null").select("src", "line", "target", "exact").join(spread, "target")
     symbol_of = lambda column: F.concat_ws("#", "src", column)
     # in Python a free name may come from a star import, if the module shows it
-    shown = facts.where("lang = 'python'").select(F.col("path").alias("module"), F.explode("facts.symbols").alias("s")).select("module", F.explode("s.exportNames").alias("name"))
+    shown = shown_names(everything)
     python_stars = resolved.where("lang = 'python' and wildcard and target is not null")
-    public = exported_names(shown, links.where("module like '%.py' and name not like '\\\\_%'"), stars).toDF("target", "name")
+    public = exported_names(shown, links.where("module like '%.py' and name not like '\\\\_%'"), stars, among).toDF("target", "name")
     free = facts.where("lang = 'python'").select(F.col("path").alias("src"), F.explode("facts.references").alias("r")).select("src", "r.*").join(bound.select("src", "local"), ["src", "local"], "left_anti")
     free = free.withColumnRenamed("local", "name").join(python_stars.select("src", "target", "exact"), "src").join(public, ["target", "name"])
     none = F.lit(None).cast("string")
@@ -303,13 +329,13 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     for more in wanted[1:]:
         asked = asked.unionAll(more)
     asked = materialize(asked, "uses")
-    answers = resolve_names(asked.select(F.col("target").alias("module"), "name"), own, links, stars, facts)
+    answers = resolve_names(asked.select(F.col("target").alias("module"), "name"), own, links, stars, everything)
     found = asked.join(answers, (asked["target"] == answers["module"]) & (asked["name"] == answers["name"])).drop(answers["name"])
     # a use of a name that turns out to be a module is one of the module's names, or none
     through = F.col("use") & F.col("at_symbol").isNull()
     found = materialize(found.select("src", "line", "exact", "from", "kind", "use", "then", "at_module", "at_symbol"), "found")
     inner = found.where(through & F.col("then").isNotNull()).drop("at_symbol").withColumnRenamed("at_module", "module")
-    again = resolve_names(inner.select("module", F.col("then").alias("name")), own, links, stars, facts)
+    again = resolve_names(inner.select("module", F.col("then").alias("name")), own, links, stars, everything)
     inner = inner.join(again.withColumnRenamed("name", "then"), ["module", "then"]).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol")
     found = found.where(~through).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol").unionAll(inner)
     to = F.concat_ws("#", "at_module", "at_symbol")
@@ -321,8 +347,19 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
     return every.select(F.col("from").alias("src"), "dst", kind.alias("kind"), "exact", "line")
 
 
-def exported_names(own: DataFrame, links: DataFrame, stars: DataFrame) -> DataFrame:
-    """module, name of all that modules export, through their stars as well, but never ``default`` through these."""
+def shown_names(facts: DataFrame) -> DataFrame:
+    """module, name of what Python modules show to a star import."""
+    return facts.where("lang = 'python'").select(F.col("path").alias("module"), F.explode("facts.symbols").alias("s")).select("module", F.explode("s.exportNames").alias("name"))
+
+
+def exported_names(own: DataFrame, links: DataFrame, stars: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """module, name of all that modules export, through their stars as well, but never ``default`` through these.
+
+    With ``among(id)`` only of those modules and what their stars lead to.
+    """
+    if among is not None:
+        near = reachable(stars.select(F.col("module").alias("src"), F.col("to_module").alias("dst")), among).withColumnRenamed("id", "module")
+        own, links, stars = (t.join(near, "module", "left_semi") for t in (own, links, stars))
     names = materialize(own.select("module", "name").union(links.select("module", "name")).distinct(), "exported")
     rounds, new = names, names
     while not new.isEmpty():
@@ -360,7 +397,80 @@ def refresh(stored: DataFrame, files: DataFrame, extract) -> DataFrame:
     return same.unionByName(extract(changed))
 
 
-def surface(facts: DataFrame) -> DataFrame:
-    """path, surface: a fingerprint of what a file exports, the same as long as no importer can tell a difference."""
-    shown = F.struct("facts.symbols.name", "facts.symbols.subkind", "facts.symbols.exportNames", "facts.localExports", "facts.dunderAll", F.filter("facts.imports", lambda i: i["kind"].isin("reexport", "reexport_all", "from", "import")))
-    return facts.select("path", F.sha2(F.to_json(shown), 256).alias("surface"))
+def surfaces(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """path, surface: a fingerprint of what a module's names are and where they lead, the same as long as no importer can
+    tell a difference: lines, bodies and imports that aren't passed on are no part of it."""
+    own, links, stars = aliases(facts, resolved)
+    none = F.lit(None).cast("string")
+    rows = own.select("module", F.lit("own").alias("how"), "name", "symbol", none.alias("to"))
+    rows = rows.unionAll(links.select("module", F.lit("link"), "name", "to_name", "to_module"))
+    rows = rows.unionAll(stars.select("module", F.lpad(F.col("rank").cast("string"), 9, "0"), none, none, "to_module"))
+    rows = rows.unionAll(shown_names(facts).select("module", F.lit("shown"), "name", none, none))
+    # the places of stars count by their order alone
+    told = F.transform(F.array_sort(F.collect_list(F.struct("how", "name", "symbol", "to"))), lambda r: F.struct(F.regexp_replace(r["how"], "[0-9]+", "star"), r["name"], r["symbol"], r["to"]))
+    said = rows.groupBy("module").agg(F.sha2(F.to_json(told), 256).alias("surface"))
+    return facts.select("path").join(said.withColumnRenamed("module", "path"), "path", "left")
+
+
+class Built(NamedTuple):
+    """What a build leaves for the next one: facts, resolved imports and edges, and which files were resolved for it."""
+
+    facts: DataFrame
+    imports: DataFrame
+    edges: DataFrame
+    resolved: DataFrame
+
+
+def build(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> Built:
+    """All of ``facts(path, content_hash, lang, is_test, facts)`` resolved."""
+    facts = materialize(facts, "facts")
+    imports = materialize(resolve_imports(facts, packages, configs), "imports")
+    return Built(facts, imports, materialize(edges_of(facts, imports), "edges"), facts.select("path"))
+
+
+def rebuild(before: Built, facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> Built:
+    """What ``build(facts, ...)`` gives, from the build before and for the same packages and configs; where these have
+    changed, build anew.
+
+    Imports are resolved again in files with new contents and where an added or a deleted file is among an import's
+    candidates. A module is touched if its surface differs after that, or it is a Python package that gained or lost a
+    module, or it passes on names of a touched module. Names are resolved again in files with new contents or new
+    imports and in those that import, or had an edge into, a touched module; all other edges stay as they were.
+    """
+    after = materialize(facts, "facts")
+    was, now = (b.select("path", "content_hash") for b in (before.facts, after))
+    both = was.withColumnRenamed("content_hash", "was").join(now.withColumnRenamed("content_hash", "now"), "path", "full_outer")
+    differ = materialize(both.where("not (was <=> now)"), "changes")
+    come_or_gone = differ.where("was is null or now is null").select("path")
+    kept = after.join(differ, "path", "left_anti")
+    if come_or_gone.isEmpty():
+        moved = come_or_gone
+    else:
+        moved = import_candidates(kept, packages, configs).join(_small(come_or_gone.select(F.col("path").alias("candidate"))), "candidate", "left_semi").select(F.col("src").alias("path")).distinct()
+    changed = materialize(differ.where("now is not null").select("path").union(moved).distinct(), "changed")
+    again = materialize(resolve_imports(after.join(_small(changed), "path", "left_semi"), packages, configs, after.select("path")), "imports")
+    gone = changed.union(differ.select("path")).distinct()
+    imports = materialize(before.imports.join(_small(gone.select(F.col("path").alias("src"))), "src", "left_anti").unionByName(again), "imports")
+
+    old, new = (surfaces(b.join(_small(gone), "path", "left_semi"), i.join(_small(gone.select(F.col("path").alias("src"))), "src", "left_semi")) for b, i in ((before.facts, before.imports), (after, imports)))
+    old, new = old.withColumnsRenamed({"surface": "was"}).withColumn("old", F.lit(True)), new.withColumnsRenamed({"surface": "now"}).withColumn("new", F.lit(True))
+    touched = old.join(new, "path", "full_outer").where("old is null or new is null or not (was <=> now)").select(F.col("path").alias("id"))
+    package = F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.pyi?$", ""), r"(^|/)[^/]*$", "$1__init__.py")
+    touched = touched.union(come_or_gone.where("path rlike '[.]pyi?$'").select(package.alias("id")))
+    passes = [aliases(b, i) for b, i in ((before.facts, before.imports), (after, imports))]
+    passes = reduce(DataFrame.unionAll, (t.where("to_module is not null").select(F.col("to_module").alias("src"), F.col("module").alias("dst")) for _, links, stars in passes for t in (links, stars)))
+    touched = materialize(reachable(passes.distinct(), touched.distinct()), "touched")
+    into = _small(touched.withColumnRenamed("id", "target"))
+    importers = imports.join(into, "target", "left_semi").select("src")
+    had = before.edges.select(F.substring_index("src", "#", 1).alias("src"), F.substring_index("dst", "#", 1).alias("target")).join(into, "target", "left_semi").select("src")
+    redone = importers.union(had).select(F.col("src").alias("path")).union(changed).distinct().join(after.select("path"), "path", "left_semi")
+    redone = materialize(redone, "resolved")
+    fresh = edges_of(after, imports, redone)
+    stale = _small(redone.union(differ.where("now is null").select("path")).select(F.col("path").alias("of")))
+    edges = before.edges.join(stale, F.substring_index("src", "#", 1) == F.col("of"), "left_anti").unionByName(fresh)
+    return Built(after, imports, materialize(edges, "edges"), redone)
+
+
+def _small(paths: DataFrame) -> DataFrame:
+    """A table of paths, to be broadcast if it is counted to be small."""
+    return F.broadcast(paths) if paths.count() <= MOST_BROADCAST else paths
