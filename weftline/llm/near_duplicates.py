@@ -238,11 +238,11 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     rows with the same id and text the one whose other columns have the least hash. So near copies under one doc_id
     leave one row, texts of different classes under one doc_id a row each. Rows without a doc_id, which have no class, all stay.
     """
-    others = _classes(docs).where("class_id <> doc_id or class_text <> text_key").select(F.col("doc_id").alias("__other_class"), F.col("text_key").alias("__other_text")).distinct()
-    same = (F.col("doc_id").cast("long") == others["__other_class"]) & (text_key() == others["__other_text"])
-    rows = docs.join(others, same, "left_anti").withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    others = _classes(docs).where("class_id <> doc_id or class_text <> text_key").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key(), "__row": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
     plain = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # equal ids with equal texts are one row each; what they differ in comes along as the least of its hashes
+    # equal ids with equal texts leave one row, whose other columns have the least hash; the keys of the join come first,
+    # so texts are dealt out once
     rest = F.struct(F.xxhash64(F.to_json(F.struct(*plain))).alias("h"), F.to_json(F.struct(*plain)).alias("j")) if plain else F.lit(0)
-    kept = rows.groupBy("doc_id", "text", "__row").agg(F.min_by(F.struct(*plain) if plain else F.lit(0), rest).alias("__rest"))
+    kept = rows.join(others, ["__id", "__key"], "left_anti").groupBy("__id", "__key", "doc_id", "text", "__row").agg(F.min_by(F.struct(*plain) if plain else F.lit(0), rest).alias("__rest"))
     return kept.select(*((F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c)) for c in docs.columns))
