@@ -376,7 +376,11 @@ def file_edges(edges: DataFrame) -> DataFrame:
 
 
 def published_api(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """module, symbol that can be reached from the entry files of published packages."""
+    """module, symbol that can be reached from the entry files of published packages.
+
+    Names and whole modules feed each other: a module's names are resolved, and those that turn out to be modules, as
+    those of ``export * as`` or of Python's submodules, are marked in turn, each once, so cycles end.
+    """
     facts = materialize(facts, "facts")
     resolved = materialize(resolve_imports(facts, packages, configs), "imports")
     own, links, stars = aliases(facts, resolved)
@@ -386,8 +390,20 @@ def published_api(facts: DataFrame, packages: DataFrame, configs: DataFrame | No
     folder_name = F.replace(F.col("name"), F.lit("-"), F.lit("_"))
     python = home.where("manifest <> 'package.json'").select(F.explode(F.array(join_path(F.col("path"), folder_name, F.lit("__init__.py")), join_path(F.col("path"), F.lit("src"), folder_name, F.lit("__init__.py")))).alias("module"))
     entries = script.unionAll(python).distinct().join(facts.select(F.col("path").alias("module")), "module", "left_semi")
-    asked = exported_names(own, links, stars).join(entries, "module", "left_semi")
-    return resolve_names(asked, own, links, stars, facts).join(entries, "module", "left_semi").where("at_symbol is not null").select(F.col("at_module").alias("module"), F.col("at_symbol").alias("symbol")).distinct()
+    # what is seen from outside: of Python modules what they show to a star import
+    seen_own = own.where("module not like '%.py'").select("module", "name").unionAll(shown_names(facts))
+    seen_links = links.where("not (module like '%.py' and name like '\\\\_%')")
+    todo, marked, symbols = materialize(entries, "entries"), [], []
+    while not todo.isEmpty():
+        marked.append(todo)
+        asked = materialize(exported_names(seen_own, seen_links, stars, todo.withColumnRenamed("module", "id")).join(todo, "module", "left_semi"), "asked")
+        answers = materialize(resolve_names(asked, own, links, stars, facts).join(asked, ["module", "name"], "left_semi"), "answers")
+        symbols.append(answers.where("at_symbol is not null").select(F.col("at_module").alias("module"), F.col("at_symbol").alias("symbol")))
+        # a name that is a whole module publishes all that this one shows
+        whole = answers.where("at_symbol is null and at_module is not null").select(F.col("at_module").alias("module")).distinct()
+        todo = materialize(whole.join(reduce(DataFrame.unionAll, marked), "module", "left_anti"), "entries")
+    none = facts.select(F.col("path").alias("module"), F.col("path").alias("symbol")).limit(0)
+    return reduce(DataFrame.unionAll, symbols, none).distinct()
 
 
 def refresh(stored: DataFrame, files: DataFrame, extract) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.facts import extract
-from weftline.operators import graph, resolve
-from weftline.session import materialize
-from weftline.sources import repository, source_lens
+from weftline.operators import components, graph, resolve
+from weftline.session import materialize, shared_dir
+from weftline.sources import listing, repository, source_lens
+
+#: The date of the older state that ``source_rebuild`` starts from.
+BEFORE = "2000-01-01"
 
 
 class Source:
@@ -82,6 +87,31 @@ def source_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.published_api(s.facts(), s.packages)
 
 
+def source_published_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is published where every package publishes its modules as namespaces."""
+    s = Source(spark, sf_dir, source_lens.namespaced)
+    return resolve.published_api(s.facts(), s.packages)
+
+
+def source_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the tree, from a build of its state at a date and what has changed since then."""
+    before = Source(spark, sf_dir, lambda spark, sf_dir: source_lens.typescript(spark, sf_dir, BEFORE))
+    kept, now = resolve.build(before.facts(), before.packages), Source(spark, sf_dir)
+    return graph.merge_edges(resolve.rebuild(kept, now.facts(), now.packages).edges).select("src", "dst", "kind", "exact")
+
+
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan finds of the tree when it is written into a folder, with tests and tools in hidden folders and ignore files."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    listing.write_tree(source_lens.scattered(spark, sf_dir), root)
+    return repository.scan(spark, root).select("path", "content_hash", "lang", "is_test")
+
+
+def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycles of parts that follow one another in orders."""
+    return components.cycles(source_lens.uses(spark, sf_dir, "l_partkey", 6))
+
+
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Source(spark, sf_dir, source_lens.python).facts().select("path", F.explode("facts.symbols").alias("s"))
     return rows.select("path", "s.name", "s.subkind")
@@ -100,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_files, source_packages, source_nearest_package, source_symbols, source_imports, source_references, source_heritage, source_resolved, source_externals,
-        source_edges, source_file_deps, source_published, python_symbols, python_edges, python_externals,
+        source_edges, source_file_deps, source_published, source_published_namespaces, source_rebuild, source_scan, dependency_cycles, python_symbols, python_edges, python_externals,
     )
 }
 
@@ -167,6 +197,19 @@ ORACLES = {
       UNION ALL SELECT 'lib_' || s_nationkey, 'third_party', 'lib_' || s_nationkey, s_nationkey < 10, count(*) FROM supplier GROUP BY s_nationkey""",
 }
 
+ORACLES["source_published_namespaces"], ORACLES["source_rebuild"] = ORACLES["source_published"], ORACLES["source_edges"]
+ORACLES["source_scan"] = TREE + """,
+  texts AS (
+    SELECT CASE WHEN test THEN package || '/__tests__/p' || key || '.js' WHEN size % 10 = 1 THEN package || '/.tools/_p' || key || '.py' WHEN size % 10 = 2 THEN package || '/gen/keep-p' || key || '.ts' ELSE package || '/_lib/p' || key || '.txt' END AS path,
+           'part ' || key AS content, CASE WHEN test THEN 'javascript' WHEN size % 10 = 1 THEN 'python' WHEN size % 10 = 2 THEN 'typescript' END AS lang, test AS is_test FROM own WHERE size % 10 <> 3
+    UNION ALL SELECT DISTINCT package || '/.gitignore', '/gen/*' || chr(10) || '!keep-*' || chr(10) || '*.log' || chr(10), NULL, false FROM own)
+  SELECT path, substr(sha256(content), 1, 20) AS content_hash, lang, is_test FROM texts"""
+ORACLES["dependency_cycles"] = """WITH RECURSIVE e AS (
+    SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+  reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+  strong AS (SELECT a.src AS id, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src)
+  SELECT s.component, count(DISTINCT s.id) AS n_files, count(e.dst) AS n_deps FROM strong s JOIN strong t ON t.component = s.component JOIN e ON e.src = s.id AND e.dst = t.id GROUP BY s.component"""
+
 HEAD = """CASE form WHEN 0 THEN 'import { f' || d || ' } from ' WHEN 1 THEN 'import d' || d || ' from ' WHEN 2 THEN 'import * as n' || d || ' from ' WHEN 3 THEN 'import { C' || d || ' } from '
   WHEN 4 THEN 'export { f' || d || ' as r' || d || ' } from ' ELSE 'import { f' || d || ' as a' || d || ' } from ' END || '"../../' || replace(dst || '$', '.ts$', '') || '";' || chr(10)"""
 BODY = """CASE form WHEN 0 THEN '  f' || d || '();' || chr(10) WHEN 1 THEN '  d' || d || '();' || chr(10) WHEN 2 THEN '  n' || d || '.f' || d || '();' || chr(10) WHEN 5 THEN '  keep(a' || d || ');' || chr(10) ELSE '' END"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.listing import list_tree, read_files
+
 # fixed values: folders that are never read, by name
 IGNORED = tuple("node_modules .git dist build out coverage .venv venv __pycache__ .next .turbo .mypy_cache .pytest_cache".split())
 LANGUAGES = {"typescript": "ts|mts|cts", "tsx": "tsx", "javascript": "js|jsx|mjs|cjs", "python": "py"}
@@ -36,47 +38,17 @@ def is_ignored(path: Column) -> Column:
     return F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda part: part.isin(*IGNORED))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (from the root), content, content_hash, lang, is_test of each text file below ``root``.
+def scan(spark: SparkSession, root: str, follow_rules: bool = True) -> DataFrame:
+    """path (from the root), content, content_hash, lang, is_test of each file below ``root``.
 
-    Files in ignored folders are not part of it. Bytes that aren't UTF-8 are replaced.
+    Files in ignored folders are not part of it, nor are those that ignore files in the tree leave out, unless
+    ``follow_rules`` is off. Bytes that aren't UTF-8 are replaced.
     """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    files = files.unionAll(_underscored(spark, base))
-    path = F.substring_index(F.col("path"), base, -1)
-    rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    rows = rows.where(~is_ignored(F.col("path")))
+    files = read_files(list_tree(spark, root, IGNORED, follow_rules), root)
+    rows = files.select("path", F.col("content").cast("string").alias("content"))
     return rows.select("path", "content", F.substring(F.sha2("content", 256), 1, 20).alias("content_hash"), language(F.col("path")).alias("lang"), is_test(F.col("path")).alias("is_test"))
 
 
-def _underscored(spark: SparkSession, base: str) -> DataFrame:
-    """path and content of the files whose names begin with an underscore, which file sources pass over.
-
-    Their paths are listed level by level; the tasks read them.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    system = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    found, level = [], base
-    while (folders := system.globStatus(hadoop(level + "*"))) and len(folders):
-        found += [str(f.getPath()) for f in system.globStatus(hadoop(level + "_*")) if f.isFile()]
-        level += "*/"
-
-    def read(batches):
-        import pandas as pd
-        from pyarrow import fs
-
-        for batch in batches:
-            contents = []
-            for uri in batch["path"]:
-                store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
-                with store.open_input_file(path) as file:
-                    contents.append(file.read())
-            yield pd.DataFrame({"path": batch["path"], "content": contents})
-
-    return spark.createDataFrame([(p,) for p in found], "path string").mapInPandas(read, "path string, content binary")
-
-
 def packages(files: DataFrame) -> DataFrame:
     """path, name, manifest, published, dependencies, entries of each manifest: a folder with two is two packages.
 

@@ -29,9 +29,11 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("key"), package.alias("package"), module.alias("module"), F.col("p_size").alias("size"))
 
 
-def uses(spark: SparkSession, sf_dir: str, column: str, forms: int) -> DataFrame:
-    """src, dst, form: what follows in an order, each pair once."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col(column).alias("key"))
+def uses(spark: SparkSession, sf_dir: str, column: str, forms: int, until: str | None = None) -> DataFrame:
+    """src, dst, form: what follows in an order, each pair once; with ``until`` what had by then been shipped."""
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if until is None else rows.where(F.col("l_shipdate") < F.lit(until).cast("date"))
+    line = rows.select("l_orderkey", "l_linenumber", F.col(column).alias("key"))
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("key").alias("dst"))
     pairs = line.join(after, ["l_orderkey", "l_linenumber"]).where("key <> dst").select(F.col("key").alias("src"), "dst").distinct()
     return pairs.withColumn("form", ((F.col("src") + F.col("dst")) % forms).cast("int"))
@@ -44,11 +46,12 @@ def _gathered(pairs: DataFrame, head: Column, body: Column, tail: Column) -> Dat
     return lines.select("src", part("head"), part("body"), part("tail"))
 
 
-def typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and content of the files of parts, an index of each package that has published parts, and all manifests."""
+def typescript(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """path and content of the files of parts, an index of each package that has published parts, and all manifests, as
+    they are or as they were at a date."""
     own = modules(spark, sf_dir)
     to = own.select(F.col("key").alias("dst"), F.col("module").alias("to"))
-    pairs = uses(spark, sf_dir, "l_partkey", 6).join(to, "dst")
+    pairs = uses(spark, sf_dir, "l_partkey", 6, until).join(to, "dst")
     d, where = F.col("dst"), _text('"../../', F.col("to"), '";\n')
     by_form = lambda *options: F.element_at(F.array(*options), F.col("form") + 1)
     head = by_form(_text("import { f", d, " } from ", where), _text("import d", d, " from ", where), _text("import * as n", d, " from ", where), _text("import { C", d, " } from ", where), _text("export { f", d, " as r", d, " } from ", where), _text("import { f", d, " as a", d, " } from ", where))
@@ -67,6 +70,13 @@ def typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.unionAll(index).unionAll(manifest)
 
 
+def namespaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TypeScript tree with indexes that publish each part as a namespace."""
+    tree = typescript(spark, sf_dir)
+    spaces = F.regexp_replace("content", r'export \* from "\./(p[0-9]+)"', 'export * as n$1 from "./$1"')
+    return tree.withColumn("content", F.when(F.col("path").endswith("/src/index.ts"), spaces).otherwise(F.col("content")))
+
+
 def python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of the modules of suppliers and of their project's manifest."""
     pairs, d = uses(spark, sf_dir, "l_suppkey", 4), F.col("dst")
@@ -84,6 +94,17 @@ def python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.unionAll(manifest).unionAll(spark.createDataFrame([("srv/app/__init__.py", "")], "path string, content string"))
 
 
+def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of one small file for each part, in folders that begin with a dot or underscores, some of them in
+    what the package's ignore file leaves out or takes back, and of these ignore files."""
+    own = modules(spark, sf_dir)
+    k, package, rest = F.col("key"), F.col("package"), F.col("size") % 10
+    left_out = F.when(F.col("key") % 2 == 0, _text(package, "/gen/p", k, ".ts")).otherwise(_text(package, "/src/p", k, ".log"))
+    path = F.when(rest == 0, _text(package, "/__tests__/p", k, ".js")).when(rest == 1, _text(package, "/.tools/_p", k, ".py")).when(rest == 2, _text(package, "/gen/keep-p", k, ".ts")).when(rest == 3, left_out)
+    parts = own.select(path.otherwise(_text(package, "/_lib/p", k, ".txt")).alias("path"), _text("part ", k).alias("content"))
+    return parts.unionAll(own.select(_text(package, "/.gitignore"), F.lit("/gen/*\n!keep-*\n*.log\n")).distinct())
+
+
 def files(tree: DataFrame) -> DataFrame:
     """The tree as ``repository.scan`` gives one from a folder."""
     path = F.col("path")
