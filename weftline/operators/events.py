@@ -86,11 +86,37 @@ def tool_tally(events: DataFrame) -> DataFrame:
 
 
 def session_report(events: DataFrame) -> DataFrame:
-    """One row per session: rollup, merged calls and edits together."""
+    """One row per session: rollup, merged calls and edits together; without calls or edits the counts are 0."""
     calls = merge_tool_calls(events).groupBy("session").agg(F.count("*").alias("n_calls"), F.count_if("partial").alias("n_partial"), F.sum("duration_ms").alias("total_ms"))
     edits = diffs_by_path(events).groupBy("session").agg(F.count("*").alias("n_paths"), F.sum("added").alias("added"))
     rollup = session_rollup(events).select("session", "n_events", "first_tool", "last_tool")
-    return rollup.join(calls, "session").join(edits, "session")
+    return rollup.join(calls, "session", "left").join(edits, "session", "left").na.fill(0, ["n_calls", "n_partial", "total_ms", "n_paths", "added"])
+
+
+def full_report(events: DataFrame, edits: DataFrame, hooks: DataFrame, most_prompts: int = 20) -> DataFrame:
+    """Everything about each session: its state, calls by tool and by outcome, edits that count, and hooks.
+
+    ``events`` as for ``session_states``, ``edits(session, tool_use, path, added, removed, partial)``,
+    ``hooks(session, ms, sync, context_chars)``. Each part is folded by session on its own and joined by that alone; a
+    session without calls, edits or hooks has zeros and empty maps. ``prompts`` are the numbers (``seq``) of the latest
+    ``most_prompts`` prompts, in order. Percentiles are nearest ranks of the hooks that were waited for.
+    """
+    calls = tool_calls(events)
+    by = lambda column: calls.groupBy("session", column).agg(F.count("*").alias("n")).groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}"))
+    prompts = events.where("type = 'prompt'").groupBy("session").agg(F.expr(f"max_by(seq, seq, {most_prompts})").alias("latest")).select("session", F.array_sort("latest").alias("prompts"))
+    per_path = edits_that_count(edits, calls).groupBy("session", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("n"), F.max("partial").alias("partial"))
+    changed = per_path.groupBy("session").agg(F.count("*").alias("n_paths"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("n").alias("n_edits"), F.count_if("partial").alias("n_partial_paths"))
+    took = F.when(F.col("sync"), F.greatest(F.lit(0), F.round("ms")).cast("long"))
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY took)")
+    waited = hooks.withColumn("took", took).groupBy("session").agg(F.count("*").alias("n_hooks"), F.count_if("sync").alias("n_sync"), F.count_if(F.col("context_chars") > 0).alias("n_with_context"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max("took").alias("max_ms"))
+    totals = calls.groupBy("session").agg(F.count("*").alias("n_calls"))
+    out = session_states(events)
+    for part in (totals, by("tool"), by("outcome"), prompts, changed, waited):
+        out = out.join(part, "session", "left")
+    numbers = ["n_calls", "n_paths", "added", "removed", "n_edits", "n_partial_paths", "n_hooks", "n_sync", "n_with_context"]
+    empty = F.map_from_entries(F.array().cast("array<struct<k:string,n:bigint>>"))
+    out = out.na.fill(0, numbers).withColumns({c: F.coalesce(c, empty) for c in ("by_tool", "by_outcome")})
+    return out.withColumn("prompts", F.coalesce("prompts", F.array().cast("array<bigint>")))
 
 
 def session_states(events: DataFrame) -> DataFrame:
