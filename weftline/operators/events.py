@@ -5,7 +5,7 @@ The order of arrival is ``seq``; what comes first or last is decided by it, not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,7 +103,10 @@ def full_report(events: DataFrame, edits: DataFrame, hooks: DataFrame, most_prom
     """
     calls = tool_calls(events)
     by = lambda column: calls.groupBy("session", column).agg(F.count("*").alias("n")).groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}"))
-    prompts = events.where("type = 'prompt'").groupBy("session").agg(F.expr(f"max_by(seq, seq, {most_prompts})").alias("latest")).select("session", F.array_sort("latest").alias("prompts"))
+    # the limit is applied in every task before the rows are dealt out
+    place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))
+    latest = events.where("type = 'prompt'").select("session", "seq").withColumn("place", place).where(F.col("place") <= most_prompts)
+    prompts = latest.groupBy("session").agg(F.array_sort(F.collect_list("seq")).alias("prompts"))
     per_path = edits_that_count(edits, calls).groupBy("session", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("n"), F.max("partial").alias("partial"))
     changed = per_path.groupBy("session").agg(F.count("*").alias("n_paths"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("n").alias("n_edits"), F.count_if("partial").alias("n_partial_paths"))
     took = F.when(F.col("sync"), F.greatest(F.lit(0), F.round("ms")).cast("long"))

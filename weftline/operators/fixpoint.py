@@ -38,7 +38,9 @@ def closure(deps: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
         new = known.where("new_any <> 0 or new_exact <> 0").select("block", "id", "new_any", "new_exact")
         exact = F.when(F.col("hop"), F.col("new_exact")).otherwise(0)
         found = new.join(deps, "id").groupBy("block", F.col("next").alias("id")).agg(_either(F.col("new_any")).alias("any"), _either(exact).alias("exact"))
-        known, left = _learn(known.select("block", "id", "any", "exact"), found)
+        was = known
+        known, left = _learn(was.select("block", "id", "any", "exact"), found)
+        discard(was)  # the new table has all that it had
         rounds += 1
     return known.join(numbered, "block").where("(any & bit) <> 0 and id <> target").select("target", "id", ((F.col("exact").bitwiseAND(F.col("bit"))) != 0).alias("exact"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import percent_ranks
+from weftline.session import materialize
 from weftline.sources.lens import DEPENDENCY_KINDS
 
 
@@ -125,3 +127,14 @@ def synthetic(spark: SparkSession, n: int, degree: int) -> DataFrame:
     r = ((F.col("src") * degree + F.col("k")) * 1103515245 + 12345) % 2147483648
     few = F.when(r % 10 < 7, F.lit(max(1, n // 50))).otherwise(n)
     return rows.select("src", (F.floor(r / 65536) % few).cast("long").alias("dst")).where("src <> dst").distinct()
+
+
+def hotspots(deps: DataFrame, files: DataFrame, churn: DataFrame, covered: DataFrame) -> DataFrame:
+    """file, score of each of ``files(file)``: its percent rank by dependents, times that by ``churn(file, n)``, twice as
+    much for a file that no test is for; what is often used, often changed and not tested comes first."""
+    used = deps.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("fan_in"))
+    rows = files.select("file").join(used, "file", "left").join(churn, "file", "left").na.fill(0, ["fan_in", "n"])
+    rows = materialize(rows, "hotspots")
+    by_use, by_change = percent_ranks(rows, "file", "fan_in").withColumnRenamed("rank", "used"), percent_ranks(rows, "file", "n").withColumnRenamed("rank", "changed")
+    tested = covered.select("file", F.lit(1.0).alias("weight"))
+    return rows.select("file").join(by_use, "file").join(by_change, "file").join(tested, "file", "left").select("file", (F.coalesce("weight", F.lit(2.0)) * F.col("used") * F.col("changed")).alias("score"))

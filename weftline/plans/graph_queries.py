@@ -220,10 +220,17 @@ def synthetic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.synthetic(spark, lens.table(spark, sf_dir, "part").count(), 3)
 
 
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each file is used, changed (ordered) and left untested, against all others."""
+    g = Graph(spark, sf_dir)
+    churn = lens.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("file")).agg(F.count("*").alias("n"))
+    return graph.hotspots(graph.file_deps(g.edges), g.files, churn, graph.covered_files(g.edges))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        dependencies_direct, dependents_indirect, importers_of, impact_spread, synthetic_graph,
+        hotspots, dependencies_direct, dependents_indirect, importers_of, impact_spread, synthetic_graph,
         dependents_direct, dependents_transitive, dependents_depth2, dependents_cyclic, dependencies_transitive, impact_summary,
         blast_score, impact_uncovered, impact_packages, evidence_top3, hubs_topk, edge_merge, file_deps_projection, tests_for,
         repo_map_counts, repo_map_directories, package_counts, find_symbol, published_closure, published_entry_counts, file_roles, component_rollup,
@@ -247,6 +254,11 @@ CYCLIC = """
            WHERE a.l_partkey <> b.l_partkey GROUP BY ALL)"""
 
 ORACLES = {
+    "hotspots": with_sql(EDGES_SQL) + """,
+      used AS (SELECT dst AS file, count(*) AS fan_in FROM deps GROUP BY dst), churn AS (SELECT l_partkey AS file, count(*) AS n FROM lineitem GROUP BY 1),
+      ranked AS (SELECT f.file, percent_rank() OVER (ORDER BY coalesce(fan_in, 0)) AS used, percent_rank() OVER (ORDER BY coalesce(n, 0)) AS changed
+                 FROM files f LEFT JOIN used u ON u.file = f.file LEFT JOIN churn c ON c.file = f.file)
+      SELECT r.file, CASE WHEN c.file IS NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * used * changed AS score FROM ranked r LEFT JOIN covered c ON c.file = r.file""",
     "dependencies_direct": with_sql(EDGES_SQL) + f" SELECT src AS target, dst AS id, exact FROM deps WHERE src % {lens.QUERY_STEP} = 0",
     "dependents_indirect": with_sql(EDGES_SQL, reach_sql(ONE)) + f" SELECT id, exact FROM reach WHERE id NOT IN (SELECT src FROM deps WHERE dst = {TARGET})",
     "importers_of": with_sql(EDGES_SQL) + f" SELECT DISTINCT dst AS target, src AS importer FROM edges WHERE dst % {lens.QUERY_STEP} = 0",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.operators import events as ev
 from weftline.operators import experiments as ex
-from weftline.sources import lens, repository
+from weftline.operators import kept_state, policies
+from weftline.session import shared_dir
+from weftline.sources import lens, repository, source_lens
 
 RESAMPLES, SEED, COST_CAP, IDLE_DAYS = 10_000, 7, 50_000, 7
 
@@ -167,10 +171,54 @@ def tool_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", tx.text_hash(given).alias("hash"), F.length(given).alias("n_chars"))
 
 
+def _kept(spark: SparkSession, sf_dir: str, fold: kept_state.Fold) -> DataFrame:
+    """The session log folded into a kept state by days of the week, one of them given twice."""
+    events = lens.session_events(spark, sf_dir)
+    state = kept_state.KeptState(spark, fold, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}")
+    for day in (4, 1, 2, 3, 5, 6, 7, 2):
+        state.add(events.where(F.dayofweek("ts") == day), day)
+    return state.current()
+
+
+def kept_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, kept_state.TOOL_CALLS)
+
+
+def kept_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, kept_state.SESSIONS)
+
+
+def session_full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of every session; tallies as lines of text."""
+    edits = ev.pair_edits(lens.tool_events(spark, sf_dir)).withColumn("tool_use", F.col("tool_use") % 4)
+    n = F.col("event_id")
+    hooks = lens.table(spark, sf_dir, "events").where(n % 3 == 0).select(F.col("user_id").alias("session"), (F.col("value") - 3).alias("ms"), (n % 2 == 0).alias("sync"), F.when(n % 9 == 0, n % 5).alias("context_chars"))
+    out = ev.full_report(lens.session_events(spark, sf_dir), edits, hooks)
+    told = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias(c)
+    return out.select(*(told(c) if c.startswith("by_") else F.col(c) for c in out.columns))
+
+
+#: Rules of the two policy queries: name, pattern, what it does; and name, kind, from, to, what it does.
+PATH_RULES = (("tests", "**/*.test.ts", "tell_agent"), ("early", "brand1*/src/p?.ts", "ask_human"), ("all", "**", "record_only"), ("odd", "brand[!12]*/**", "tell_agent"), ("one", "brand13/**", "block"))
+EDGE_RULES = (("ones-not-twos", "forbid", "brand1?/**", "brand2?/**", "block"), ("three-alone", "allow_only", "brand3/**", "brand4/src/**", "tell_agent"), ("five", "entrypoint_only", "brand5/**", "brand5/src/p*[05].ts", "ask_human"))
+
+
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = source_lens.modules(spark, sf_dir).select(F.concat("module", F.lit(".ts")).alias("path"))
+    return policies.decide(paths, spark.createDataFrame(PATH_RULES, "rule string, pattern string, on_match string"))
+
+
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_lens.modules(spark, sf_dir).select("key", F.concat("module", F.lit(".ts")).alias("path"))
+    uses = source_lens.uses(spark, sf_dir, "l_partkey", 6).join(files.toDF("src", "src_path"), "src").join(files.toDF("dst", "dst_path"), "dst")
+    deps = uses.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), (F.col("form") != 2).alias("exact"))
+    return policies.violations(deps, files, spark.createDataFrame(EDGE_RULES, "rule string, kind string, from_pattern string, to_pattern string, on_match string"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        session_states, latest_session, tool_calls, outcome_tally, edits_that_count, hook_stats, path_classes, condition_means, paired_runs, tool_summaries,
+        kept_tool_calls, kept_sessions, session_full_report, policy_decisions, rule_violations, session_states, latest_session, tool_calls, outcome_tally, edits_that_count, hook_stats, path_classes, condition_means, paired_runs, tool_summaries,
         session_rollup, tool_call_merge, hook_percentiles, diff_by_path, edit_pairs, retention_prune, tool_tally, session_report,
         task_effects, log_ratio, bootstrap_ci, cost_cap_prefix, resume_remaining, precision_recall, redact_text, sanitize_text,
         prompt_preview, line_diff, context_lists, link_externals, externals_by_kind,
@@ -311,9 +359,10 @@ ORACLES = {
     "tool_tally": f"WITH {EVENTS} SELECT session, tool, count(*) AS n FROM e WHERE phase = 'start' GROUP BY ALL",
     "session_report": f"""WITH {EVENTS}, {MERGED},
       paths AS (SELECT session, path, sum(added) AS added FROM edits GROUP BY ALL)
-      SELECT * FROM (SELECT session, count(*) AS n_events, arg_min(tool, seq) AS first_tool, arg_max(tool, seq) AS last_tool FROM e GROUP BY session)
-      JOIN (SELECT session, count(*) AS n_calls, count_if(partial) AS n_partial, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM calls GROUP BY session) USING (session)
-      JOIN (SELECT session, count(*) AS n_paths, CAST(sum(added) AS BIGINT) AS added FROM paths GROUP BY session) USING (session)""",
+      SELECT session, n_events, first_tool, last_tool, coalesce(n_calls, 0) AS n_calls, coalesce(n_partial, 0) AS n_partial, coalesce(total_ms, 0) AS total_ms, coalesce(n_paths, 0) AS n_paths, coalesce(added, 0) AS added
+      FROM ((SELECT session, count(*) AS n_events, arg_min(tool, seq) AS first_tool, arg_max(tool, seq) AS last_tool FROM e GROUP BY session)
+      LEFT JOIN (SELECT session, count(*) AS n_calls, count_if(partial) AS n_partial, coalesce(CAST(sum(duration_ms) AS BIGINT), 0) AS total_ms FROM calls GROUP BY session) USING (session)
+      LEFT JOIN (SELECT session, count(*) AS n_paths, CAST(sum(added) AS BIGINT) AS added FROM paths GROUP BY session) USING (session))""",
     "task_effects": f"WITH {RUNS} SELECT *, treatment - baseline AS effect FROM effects WHERE n_baseline > 0 AND n_treatment > 0",
     "log_ratio": f"""WITH {RUNS} SELECT count(*) AS n_tasks, CASE WHEN count(x) = count(*) THEN avg(x) END AS effect,
       CASE WHEN count(x) = count(*) THEN (exp(avg(x)) - 1) * 100 END AS percent
@@ -347,3 +396,32 @@ ORACLES = {
     "link_externals": f"WITH {LINKS} SELECT kind, specifier, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY ALL",
     "externals_by_kind": f"WITH {LINKS} SELECT kind, count(DISTINCT specifier) AS n_specifiers, count(*) AS n_links FROM l GROUP BY kind",
 }
+
+ORACLES["kept_tool_calls"], ORACLES["kept_sessions"] = ORACLES["tool_calls"], ORACLES["session_states"]
+ORACLES["session_full_report"] = f"""WITH {EVENTS}, {LOG},
+  counted AS (SELECT * FROM (SELECT session, tool_use % 4 AS tool_use, path, added, removed, partial FROM edits) WHERE (session, tool_use) NOT IN (SELECT (session, tool_use) FROM used WHERE outcome IN ('failed', 'denied'))),
+  paths AS (SELECT session, path, sum(added) AS added, sum(removed) AS removed, count(*) AS n, bool_or(partial) AS partial FROM counted GROUP BY ALL),
+  changed AS (SELECT session, count(*) AS n_paths, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, sum(n)::BIGINT AS n_edits, count_if(partial) AS n_partial_paths FROM paths GROUP BY session),
+  tools AS (SELECT session, string_agg(t, ',' ORDER BY t) AS by_tool FROM (SELECT session, tool || '=' || count(*) AS t FROM used GROUP BY session, tool) GROUP BY session),
+  outcomes AS (SELECT session, string_agg(t, ',' ORDER BY t) AS by_outcome FROM (SELECT session, outcome || '=' || count(*) AS t FROM used GROUP BY session, outcome) GROUP BY session),
+  totals AS (SELECT session, count(*) AS n_calls FROM used GROUP BY session),
+  told AS (SELECT session, list_sort(list(seq)) AS prompts FROM (SELECT session, seq FROM h WHERE type = 'prompt' QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 20) GROUP BY session),
+  k AS (SELECT user_id AS session, CAST(greatest(0, round(value - 3)) AS BIGINT) AS ms, event_id % 2 = 0 AS sync, CASE WHEN event_id % 9 = 0 THEN event_id % 5 END AS chars FROM events WHERE event_id % 3 = 0),
+  waited AS (SELECT session, count(*) AS n_hooks, count_if(sync) AS n_sync, count_if(chars > 0) AS n_with_context, quantile_disc(ms, 0.5) FILTER (sync) AS p50, quantile_disc(ms, 0.95) FILTER (sync) AS p95, max(ms) FILTER (sync) AS max_ms FROM k GROUP BY session)
+  SELECT s.*, b.ts AS ended_at, b.reason, coalesce(n_calls, 0) AS n_calls, coalesce(by_tool, '') AS by_tool, coalesce(by_outcome, '') AS by_outcome, coalesce(prompts, []) AS prompts, coalesce(n_paths, 0) AS n_paths,
+         coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(n_edits, 0) AS n_edits, coalesce(n_partial_paths, 0) AS n_partial_paths, coalesce(n_hooks, 0) AS n_hooks, coalesce(n_sync, 0) AS n_sync,
+         coalesce(n_with_context, 0) AS n_with_context, p50, p95, max_ms
+  FROM states s LEFT JOIN borders b USING (session) LEFT JOIN totals USING (session) LEFT JOIN tools USING (session) LEFT JOIN outcomes USING (session) LEFT JOIN told USING (session) LEFT JOIN changed USING (session) LEFT JOIN waited USING (session)"""
+
+PARTS = """m AS (
+  SELECT p_partkey AS key, lower(replace(p_brand, '#', '')) || CASE WHEN p_size % 10 = 0 THEN '/test/p' || p_partkey || '.test' ELSE '/src/p' || p_partkey END || '.ts' AS path FROM part)"""
+ORACLES["policy_decisions"] = rf"""WITH {PARTS}, hit AS (
+    SELECT path, 'tests' AS rule, 2 AS s FROM m WHERE path GLOB '*.test.ts' UNION ALL SELECT path, 'early', 3 FROM m WHERE regexp_matches(path, '^brand1[^/]*/src/p[^/]\.ts$') UNION ALL SELECT path, 'all', 1 FROM m
+    UNION ALL SELECT path, 'odd', 2 FROM m WHERE regexp_matches(path, '^brand[^12][^/]*/') UNION ALL SELECT path, 'one', 4 FROM m WHERE path GLOB 'brand13/*')
+  SELECT path, ['record_only', 'tell_agent', 'ask_human', 'block'][max(s)] AS on_match, list_sort(list(rule)) AS matched FROM hit GROUP BY path"""
+ORACLES["rule_violations"] = f"""WITH {PARTS}, d AS (
+    SELECT DISTINCT s.path AS src, t.path AS dst, (a.l_partkey + b.l_partkey) % 6 <> 2 AS exact FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+    JOIN m s ON s.key = a.l_partkey JOIN m t ON t.key = b.l_partkey WHERE a.l_partkey <> b.l_partkey)
+  SELECT 'ones-not-twos' AS rule, src, dst, CASE WHEN exact THEN 'block' ELSE 'ask_human' END AS on_match FROM d WHERE src GLOB 'brand1?/*' AND dst GLOB 'brand2?/*'
+  UNION ALL SELECT 'three-alone', src, dst, 'tell_agent' FROM d WHERE src GLOB 'brand3/*' AND NOT dst GLOB 'brand3/*' AND NOT dst GLOB 'brand4/src/*'
+  UNION ALL SELECT 'five', src, dst, 'ask_human' FROM d WHERE dst GLOB 'brand5/*' AND NOT src GLOB 'brand5/*' AND NOT dst GLOB 'brand5/src/p*[05].ts'"""
