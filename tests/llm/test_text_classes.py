@@ -297,12 +297,17 @@ def test_names_do_not_cut_what_wraps_the_page(page, blocks):
     assert html_extraction.main_text(f"<html><body>{page}</body></html>").split("\n") == blocks
 
 
-def test_the_threshold_decides_on_real_pages():
+def test_the_ratios_decide_on_real_pages(monkeypatch):
     import re
 
     pages = [r[0] for r in __import__("duckdb").sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
     texts = [html_extraction.main_text(p) for p in pages]
-    assert all(t != html_extraction.main_text(p, threshold=0.0) for p, t in zip(pages, texts, strict=True))
+    # without any names and kinds the ratios alone choose the same on most pages, and keeping all is right on none
+    monkeypatch.setattr(html_extraction, "LOW", 1.0)
+    alone = [html_extraction.main_text(p) for p in pages]
+    assert sum(t == a for t, a in zip(texts, alone, strict=True)) >= 0.9 * len(pages)
+    assert all(a != html_extraction.main_text(p, threshold=0.0) for p, a in zip(pages, alone, strict=True))
+    monkeypatch.undo()
     # the landmark elements are not what the choice rests on
     bare = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", p) for p in pages]
     assert sum(html_extraction.main_text(p) == t for p, t in zip(bare, texts, strict=True)) >= 0.99 * len(pages)
@@ -313,6 +318,51 @@ def test_the_threshold_decides_on_real_pages():
     assert len(clean) > 100 and sum(a == b for a, b in clean) >= 0.99 * len(clean)
 
 
+def plain_choice(page):
+    """The texts of the content nodes, from sums over the page's nodes written out one by one."""
+    reader = html_extraction.read_page(page)
+    nodes, weight = reader.nodes, reader.weights()
+    marks = [sum(c in ".,;:!?…。，、；：！？" for c in n[2]) for n in nodes]
+
+    chosen = [True] * len(nodes)
+    for per_node, least in ((False, 0.5), (True, 0.15)):
+
+        def ratio(same, per_node=per_node):
+            mine = [k for k in range(len(nodes)) if same(nodes[k])]
+            if not mine:
+                return 0.0
+            chars, each = sum(len(nodes[k][2]) for k in mine), sum(marks[k] for k in mine) / len(mine)
+            return (min(chars / len(mine), 200) if per_node else chars) * (1 + min(each, 3))
+
+        own = [ratio(lambda n, p=node[0]: n[0] == p) for node in nodes]
+        around = [max(ratio(lambda n, p=p: n[1] == p) for p in (node[1], *node[3])) for node in nodes]
+        weighed = [o * w for o, w in zip(own, weight, strict=True)]
+        at = lambda k, weighed=weighed: weighed[min(max(k, 0), len(nodes) - 1)]
+        smooth = [(at(k - 2) + 2 * at(k - 1) + 4 * at(k) + 2 * at(k + 1) + at(k + 2)) / 10 for k in range(len(nodes))]
+        fused = [max((o * s) ** 0.5, a) for o, s, a in zip(own, smooth, around, strict=True)]
+        for k in range(len(nodes) - 2, -1, -1):
+            if nodes[k][5] and weight[k] == weight[k + 1]:
+                fused[k] = max(fused[k], fused[k + 1])
+        best = max((f for f, w in zip(fused, weight, strict=True) if w == 1), default=float("inf"))
+        chosen = [c and f * w >= least * best for c, f, w in zip(chosen, fused, weight, strict=True)]
+    return "\n".join(n[2] for n, c in zip(nodes, chosen, strict=True) if c)
+
+
+def test_ratios_equal_plain_sums():
+    pages = [r[0] for r in __import__("duckdb").sql(f"SELECT html FROM '{SF}/pages.parquet' WHERE html IS NOT NULL").fetchall()] + [p for p, _ in PAGES if p]
+    assert all(html_extraction.main_text(p) == plain_choice(p) for p in pages)
+
+
+def test_names_alone_do_not_decide():
+    story = "".join(f"<p>A long sentence, number {i}, with words and more words in it. And another one, too.</p>" for i in range(12))
+    links = "<div><span><a>One</a></span><span><a>Two</a></span></div>"
+    # what has no name against it, but little text on its paths, goes; a name against most of the page's text doesn't count
+    assert html_extraction.main_text(f"<body>{links}<section>{story}</section></body>").count("\n") == 11
+    assert "One" not in html_extraction.main_text(f"<body>{links}<section>{story}</section></body>")
+    told = html_extraction.main_text(f'<body><div><p>Short.</p></div><ul class="related">{"".join(f"<li>Long text {i}, with marks, and more of it. And so on, and on.</li>" for i in range(60))}</ul></body>')
+    assert "Long text 3" in told
+
+
 def test_deep_nesting_costs_no_more_than_its_length():
     assert html_extraction.main_text("<div>x. " * 50_000).count("\n") == 49_999
     assert html_extraction.main_text("<aside>x. " * 50_000) == ""

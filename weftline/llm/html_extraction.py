@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a list of text nodes, each with its root-to-leaf path of tags. Per path the text length and the
-punctuation are summed and divided by its nodes; the ratios are smoothed over the page order, fused with those of
-the enclosing container (and, within an article or main element, of that element) and with a weight that is low in
-elements whose kind or names speak of menus, adverts and the like. Nodes over a threshold are the content.
+A page is read as a list of text nodes, each with its root-to-leaf path of tags. Per path there are two ratios: the text length
+of all its nodes and that of one, each weighed by the punctuation of a node. What stands on paths of little text, as
+single adverts do, is far below the article by the first, menus and clouds of tags by the second, however many entries
+they have. Both are smoothed over the page order, fused with those of the enclosing container (and,
+within an article or main element, of that element) and with a factor of ``LOW`` in elements whose kind or names speak
+of menus, adverts and the like. Nodes whose ratios are both over their share of the page's best are the content.
 """
 
 from __future__ import annotations
@@ -63,9 +65,13 @@ PARTS = re.compile(r"[^a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: Share of the page's best fused ratio from which a node is content; weights of the neighbours in page order.
-THRESHOLD, KERNEL = 0.15, np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+THRESHOLD, KERNEL = 0.5, np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+#: The share for the ratio of a single node to that of all nodes of a path, as lengths of paragraphs differ more.
+DENSITY = 0.3
+#: Characters and marks from which on a node counts as a whole paragraph, however long it is.
+LONG, MARKS = 200, 3
 #: Weight of a node in an element that is named as no article: its path must be so many times better to be content.
-LOW = 1e-5
+LOW = 0.05
 
 
 def is_other(tag: str, attributes: str) -> bool:
@@ -230,19 +236,21 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
         for key in ((path, False), (container, True)):
             one = sums.setdefault(key, [0.0, 0.0, 0.0])
             one[0], one[1], one[2] = one[0] + len(text), one[1] + marks, one[2] + 1
-    ratio = {k: (chars / n) * (1 + marks / n) for k, (chars, marks, n) in sums.items()}
     weight = np.array(reader.weights())
-    own = np.array([ratio[n[0], False] for n in nodes])
-    around = np.array([max(ratio.get((key, True), 0.0) for key in (n[1], *n[3])) for n in nodes])
-    padded = np.pad(own * weight, 2, mode="edge")
-    smooth = np.convolve(padded, KERNEL / KERNEL.sum(), mode="valid")
-    fused = np.maximum(np.sqrt(own * smooth), around)
-    for i in range(len(nodes) - 2, -1, -1):  # a heading goes with what it heads
-        if nodes[i][5] and weight[i] == weight[i + 1]:
-            fused[i] = max(fused[i], fused[i + 1])
-    # the best is that of a node without a name against it; where there is none, nothing is content
-    best = max(fused[weight == 1], default=np.inf)
-    kept = fused * weight >= threshold * best
+    kept = np.ones(len(nodes), bool)
+    # by path the text as a whole, and the text of a node; both by the punctuation of a node
+    for per_node, least in ((False, threshold), (True, threshold * DENSITY)):
+        ratio = {k: (min(chars / n, LONG) if per_node else chars) * (1 + min(marks / n, MARKS)) for k, (chars, marks, n) in sums.items()}
+        own = np.array([ratio[n[0], False] for n in nodes])
+        around = np.array([max(ratio.get((key, True), 0.0) for key in (n[1], *n[3])) for n in nodes])
+        padded = np.pad(own * weight, 2, mode="edge")
+        smooth = np.convolve(padded, KERNEL / KERNEL.sum(), mode="valid")
+        fused = np.maximum(np.sqrt(own * smooth), around)
+        for i in range(len(nodes) - 2, -1, -1):  # a heading goes with what it heads
+            if nodes[i][5] and weight[i] == weight[i + 1]:
+                fused[i] = max(fused[i], fused[i + 1])
+        # the best is that of a node without a name against it; where there is none, nothing is content
+        kept &= fused * weight >= least * max(fused[weight == 1], default=np.inf)
     return "\n".join(n[2] for n, k in zip(nodes, kept, strict=True) if k)
 
 
