@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators import events as ev
 from weftline.operators import experiments as ex
-from weftline.operators import kept_state, policies
+from weftline.operators import kept_state, policies, reports
 from weftline.session import shared_dir
-from weftline.sources import lens, repository, source_lens
+from weftline.sources import lens, logs, repository, source_lens
 
 RESAMPLES, SEED, COST_CAP, IDLE_DAYS = 10_000, 7, 50_000, 7
 
@@ -198,6 +198,26 @@ def session_full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(told(c) if c.startswith("by_") else F.col(c) for c in out.columns))
 
 
+#: What the report compares: the metric of the runs, the percent of a recall that must not fall, and turns by task.
+COMPARED = (
+    reports.Comparison("tokens", "primary", "log-ratio", "less", 0.95), reports.Comparison("recall", "guard", "difference", "more", 0.95, 10.0),
+    reports.Comparison("turns", "secondary", "difference", "less", 0.9, per_task=True), reports.Comparison("sixth", "secondary", "difference", "more", 0.9),
+)
+REPORT_RESAMPLES = 1000
+
+
+def joint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four measures of the runs resampled together; one is of every sixth run only."""
+    n, e = F.col("event_id"), lens.table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), "event_id", "user_id")
+    more = e.select("run", (F.col("user_id") % 101).alias("recall"), (n % 13).alias("turns"), F.when(n % 6 < 2, n % 17).alias("sixth"))
+    runs = lens.runs(spark, sf_dir).withColumnRenamed("metric", "tokens").join(more, "run")
+    return reports.joint_report(runs, list(COMPARED), REPORT_RESAMPLES, SEED)
+
+
+def folder_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.folder_hash(lens.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("content")))
+
+
 #: Rules of the two policy queries: name, pattern, what it does; and name, kind, from, to, what it does.
 PATH_RULES = (("tests", "**/*.test.ts", "tell_agent"), ("early", "brand1*/src/p?.ts", "ask_human"), ("all", "**", "record_only"), ("odd", "brand[!12]*/**", "tell_agent"), ("one", "brand13/**", "block"))
 EDGE_RULES = (("ones-not-twos", "forbid", "brand1?/**", "brand2?/**", "block"), ("three-alone", "allow_only", "brand3/**", "brand4/src/**", "tell_agent"), ("five", "entrypoint_only", "brand5/**", "brand5/src/p*[05].ts", "ask_human"))
@@ -218,7 +238,7 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kept_tool_calls, kept_sessions, session_full_report, policy_decisions, rule_violations, session_states, latest_session, tool_calls, outcome_tally, edits_that_count, hook_stats, path_classes, condition_means, paired_runs, tool_summaries,
+        joint_report, folder_digest, kept_tool_calls, kept_sessions, session_full_report, policy_decisions, rule_violations, session_states, latest_session, tool_calls, outcome_tally, edits_that_count, hook_stats, path_classes, condition_means, paired_runs, tool_summaries,
         session_rollup, tool_call_merge, hook_percentiles, diff_by_path, edit_pairs, retention_prune, tool_tally, session_report,
         task_effects, log_ratio, bootstrap_ci, cost_cap_prefix, resume_remaining, precision_recall, redact_text, sanitize_text,
         prompt_preview, line_diff, context_lists, link_externals, externals_by_kind,
@@ -425,3 +445,39 @@ ORACLES["rule_violations"] = f"""WITH {PARTS}, d AS (
   SELECT 'ones-not-twos' AS rule, src, dst, CASE WHEN exact THEN 'block' ELSE 'ask_human' END AS on_match FROM d WHERE src GLOB 'brand1?/*' AND dst GLOB 'brand2?/*'
   UNION ALL SELECT 'three-alone', src, dst, 'tell_agent' FROM d WHERE src GLOB 'brand3/*' AND NOT dst GLOB 'brand3/*' AND NOT dst GLOB 'brand4/src/*'
   UNION ALL SELECT 'five', src, dst, 'ask_human' FROM d WHERE dst GLOB 'brand5/*' AND NOT src GLOB 'brand5/*' AND NOT dst GLOB 'brand5/src/p*[05].ts'"""
+
+
+def report_sql() -> str:
+    one = " UNION ALL ".join(f"SELECT {k} AS metric, '{c.part}' AS part, '{c.metric}' AS name, '{c.kind}' AS kind, '{c.side}' AS side, {c.margin}::DOUBLE AS margin, {(1 - c.level) / 2} AS tail, {str(c.per_task).lower()} AS per_task" for k, c in enumerate(COMPARED))
+    weight = " + ".join(f"(u >= {cut})::INT" for cut in ex.OCCURRENCES)
+    tails = sorted({(1 - c.level) / 2 for c in COMPARED})
+    quantile = lambda side: "CASE any_value(tail) " + " ".join(f"WHEN {t} THEN quantile_cont(e.effect, {t if side == 'low' else 1 - t})" for t in tails) + " END"
+    return f"""WITH {RUNS}, told AS ({one}),
+  wide AS (SELECT run, task, condition, r.metric::DOUBLE AS tokens, (user_id % 101)::DOUBLE AS recall, (event_id % 13)::DOUBLE AS turns, CASE WHEN event_id % 6 < 2 THEN event_id % 17 END::DOUBLE AS sixth FROM r JOIN events ON event_id = run WHERE status = 'ok'),
+  long AS (SELECT run, task, condition, unnest([0, 1, 2, 3]) AS metric, unnest([tokens, recall, turns, sixth]) AS value FROM wide),
+  drawn AS (SELECT run, resample, {draw_sql(SEED, "resample", "run")} AS u FROM wide, range(0, {REPORT_RESAMPLES}) AS t(resample)),
+  weighed AS (SELECT run, resample, {weight} AS w FROM drawn UNION ALL SELECT run, -1, 1 FROM wide),
+  means AS (SELECT metric, task, resample, sum(w * value) FILTER (condition = 'baseline') / nullif(sum(w) FILTER (condition = 'baseline'), 0) AS b,
+                   sum(w * value) FILTER (condition = 'treatment') / nullif(sum(w) FILTER (condition = 'treatment'), 0) AS t FROM long JOIN weighed USING (run) WHERE value IS NOT NULL GROUP BY ALL),
+  gains AS (SELECT metric, task, resample, per_task, CASE WHEN kind = 'difference' THEN t - b WHEN b > 0 AND t > 0 THEN ln(t / b) END AS effect FROM means JOIN told USING (metric) WHERE b IS NOT NULL AND t IS NOT NULL),
+  every AS (SELECT metric, NULL AS task, resample, avg(effect) AS effect, count(effect) AS n, count(*) AS n_tasks FROM gains GROUP BY ALL
+            UNION ALL SELECT metric, task, resample, effect, (effect IS NOT NULL)::BIGINT, 1 FROM gains WHERE per_task),
+  whole AS (SELECT metric, task, n_tasks, CASE WHEN n = n_tasks THEN effect END AS estimate FROM every WHERE resample = -1),
+  spread AS (SELECT e.metric, e.task, {quantile('low')} AS low, {quantile('high')} AS high FROM every e JOIN told USING (metric) JOIN whole w ON w.metric = e.metric AND w.task IS NOT DISTINCT FROM e.task
+             WHERE resample >= 0 AND e.n = w.n_tasks AND w.estimate IS NOT NULL GROUP BY ALL),
+  judged AS (SELECT part, name AS metric, w.task, kind, w.n_tasks, estimate, low, high, CASE WHEN kind = 'log-ratio' THEN (exp(estimate) - 1) * 100 END AS percent,
+                    CASE WHEN side = 'more' THEN low > -(CASE WHEN part = 'guard' THEN margin ELSE 0 END) ELSE high < CASE WHEN part = 'guard' THEN margin ELSE 0 END END AS holds
+             FROM whole w JOIN told USING (metric) LEFT JOIN spread s ON s.metric = w.metric AND s.task IS NOT DISTINCT FROM w.task)
+  SELECT * EXCLUDE (holds), CASE WHEN part = 'primary' THEN coalesce(holds, false) AND (SELECT bool_and(coalesce(holds, false)) FROM judged WHERE part = 'guard' AND task IS NULL) ELSE holds END AS supported FROM judged"""
+
+
+def digest_sql(levels: int = 4) -> str:
+    """Levels as long as there are more rows than a block; those after that repeat the rows."""
+    parts = ["r0 AS (SELECT p_type || '/' || p_partkey AS path, sha256(p_type || '/' || p_partkey || chr(0) || sha256(p_name)) AS digest FROM part)"]
+    for k in range(levels):
+        parts.append(f"""b{k} AS (SELECT path, digest, (SELECT count(*) FROM r{k}) > {logs.BLOCK} AS many, coalesce(sum((('0x' || substr(digest, 1, 8))::BIGINT % {logs.BLOCK} = 0)::INT) OVER (ORDER BY path, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM r{k}),
+  r{k + 1} AS (SELECT min(path) AS path, sha256(string_agg(digest, '' ORDER BY path, digest)) AS digest FROM b{k} WHERE many GROUP BY block UNION ALL SELECT path, digest FROM b{k} WHERE NOT many)""")
+    return f"WITH {', '.join(parts)} SELECT sha256(string_agg(digest, '' ORDER BY path, digest)) AS hash FROM r{levels}"
+
+
+ORACLES["joint_report"], ORACLES["folder_digest"] = report_sql(), digest_sql()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import running_sum
+from weftline.session import discard, materialize
+
 USAGE = "struct<input_tokens: long, output_tokens: long, cache_creation_input_tokens: long, cache_read_input_tokens: long>"
 LINE = (
     "type string, subtype string, is_error boolean, total_cost_usd double, num_turns int, model string,"
@@ -13,10 +16,31 @@ LINE = (
 )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """run (the file's name), at and line of every line of text files, which are read in splits as they come.
+
+    A line is numbered from its file's beginning: within its split by the order of reading, and by the lines of the
+    splits before it, which are counted per split. So no file is a row or a task of its own, however long it is.
+    """
+    own = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), own.alias("run"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = materialize(rows, "lines")
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a split holds tens of megabytes, so there are few of them
+    return rows.join(splits, ["file", "start"]).select("run", (F.col("before") + F.col("id") - F.col("first")).alias("at"), "line")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """run (the file's name), at, and the parsed event of each line that is JSON, of files of JSON lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("run"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return lines.select("run", "at", F.from_json("line", LINE).alias("e")).where("e.type is not null")
+    """run (the file's name), at, and the parsed event of each line that is JSON with a type, of files of JSON lines."""
+    return numbered_lines(spark, path).select("run", "at", F.from_json("line", LINE).alias("e")).where("e.type is not null")
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """run, at and line of what isn't empty and is no event, to be looked at instead of lost."""
+    rows = numbered_lines(spark, path).where("trim(line) <> ''")
+    return rows.select("run", "at", "line", F.from_json("line", LINE).alias("e")).where("e.type is null").drop("e")
 
 
 def transcript_summary(events: DataFrame) -> DataFrame:
@@ -63,10 +87,29 @@ def failures(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.where("session is not null").groupBy("session").agg(F.count("*").alias("n_failures"))
 
 
+#: Of so many rows about one ends a block of the hash tree, and so many are one block.
+BLOCK = 256
+
+
 def folder_hash(files: DataFrame, content: Column | None = None) -> DataFrame:
-    """One row: a hash of all paths and contents of ``files(path, content)``, the same in any order.
+    """One row: a hash of all paths and contents of ``files(path, content)``, the same for any order and partitions.
 
-    Contents are hashed where they lie; only hashes are brought together.
+    A tree of hashes: rows in the order of their paths are cut into blocks after those whose own hash says so, so the
+    cuts depend on the rows alone; a block's hash is that of its rows', and blocks are rows of the next level, until
+    ``BLOCK`` are left. A change moves the cuts near it only, and no row holds more than a block.
     """
-    each = F.concat("path", F.lit("\0"), F.sha2((content if content is not None else F.col("content")).cast("binary"), 256))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), "\0\0"), 256).alias("hash"))
+    digest = F.sha2(F.concat(F.col("path"), F.lit("\0"), F.sha2((content if content is not None else F.col("content")).cast("binary"), 256)).cast("binary"), 256)
+    rows = materialize(files.select("path", digest.alias("digest")), "hashes")
+    while (n := rows.count()) > BLOCK:
+        ends = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BLOCK == 0).cast("long")
+        placed = running_sum(rows.withColumn("ends", ends), ["path", "digest"], "ends", "block")
+        blocks = placed.groupBy("block").agg(F.min("path").alias("path"), _together().alias("digest"))
+        was, rows = rows, materialize(blocks.select("path", "digest"), "hashes")
+        discard(was)
+        if rows.count() == n:
+            break
+    return rows.agg(_together().alias("hash"))
+
+
+def _together() -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda r: r["digest"]), ""), 256)
