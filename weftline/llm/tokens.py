@@ -26,7 +26,7 @@ PLAIN = re.compile("[ \\t\\n\\r]+")
 WORD = re.compile("([ \\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
 #: Most bytes of text that are cut up at once, and of different pieces that a worker remembers, each with what it takes besides its characters.
-SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 48 << 20, 160
+SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 96 << 20, 160
 
 _codecs: dict[str, PieceCodec] = {}
 
