@@ -72,16 +72,16 @@ class PieceCodec:
 
     @staticmethod
     def release() -> None:
-        """Free what this worker remembers, where it goes on to other work, and give it back to the machine."""
-        if _codecs:
-            import ctypes
-            import gc
-
-            _codecs.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+        """Free what this worker remembers, where it goes on to other work, and give back to the machine what it holds
+        free from the work before: workers outlive stages, and a stage's peak would stay theirs."""
+        import ctypes
+        import gc
+
+        _codecs.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
