@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_of
+from weftline.llm.tokens import give_back
 
 #: Edits allowed, as a share of an item's length after normalization.
 ERRORS = 0.08
@@ -180,6 +181,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> Dat
         bound = docs.sparkSession.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
+            give_back()
             matcher = Matcher(bound.value, errors)
             for batch in batches:
                 rows = []
@@ -202,6 +204,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> Dat
         bound = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], bound=bound) -> Iterator[pa.RecordBatch]:
+            give_back()
             matcher = Matcher(bound.value, errors)
             for batch in batches:
                 clean = np.fromiter((not t or not matcher.find(t, first=True) for t in batch.column(at).to_pylist()), bool, batch.num_rows)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_of
-from weftline.llm.tokens import PieceCodec
+from weftline.llm.tokens import PieceCodec, give_back
 
 #: Windows of a group, and the share of their room that is partitioned; the rest is filled up.
 GROUP, SHARE = 8, 0.85
@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         codec, packer = PieceCodec.of(tokenizer_path), Packer(capacity)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}

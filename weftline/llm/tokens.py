@@ -26,7 +26,7 @@ PLAIN = re.compile("[ \\t\\n\\r]+")
 WORD = re.compile("([ \\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
 
 #: Most bytes of text that are cut up at once, and of different pieces that a worker remembers, each with what it takes besides its characters.
-SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 96 << 20, 160
+SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 48 << 20, 160
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -42,6 +42,18 @@ def by_bytes(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa
         at = end
 
 
+def give_back() -> None:
+    """Give back to the machine what this worker holds free from the work before: workers outlive stages, and the peak of
+    one would stay theirs in the next."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class PieceCodec:
     """Token ids of texts by a ``tokenizers`` file. ``drops_space``: the tokenizer drops all white space."""
 
@@ -72,16 +84,9 @@ class PieceCodec:
 
     @staticmethod
     def release() -> None:
-        """Free what this worker remembers, where it goes on to other work, and give back to the machine what it holds
-        free from the work before: workers outlive stages, and a stage's peak would stay theirs."""
-        import ctypes
-        import gc
-
+        """Free what this worker remembers, where it goes on to other work."""
         _codecs.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
