@@ -48,6 +48,67 @@ def test_codec_on_any_text(texts):
         assert PieceCodec.of(path, drops).lengths_of(pa.array(texts, pa.string())).tolist() == [len(ids_of(path, t)) for t in texts]
 
 
+def test_new_words_reach_the_library_many_at_once():
+    import pyarrow as pa
+
+    class Counting:
+        def __init__(self, of):
+            self.of, self.model, self.calls = of, self, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.calls += len(texts)
+            return self.of.encode_batch_fast(texts, **how)
+
+        def tokenize(self, text):
+            self.calls += 1
+            return self.of.model.tokenize(text)
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshré") for _ in range(rng.randint(3, 12)))
+    texts = ["".join(word() + rng.choice(["", "", ",", "."]) + rng.choice("   \n") for _ in range(500))[:-1] for _ in range(20)]
+    want = [[*e.ids, 0] for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    codec = PieceCodec(BYTES, False)
+    counted = [Counting(codec.tokenizer)]
+    codec.tokenizer = counted[0]
+    if getattr(codec, "bare", None):
+        codec.bare = Counting(codec.bare)
+        counted.append(codec.bare)
+    got = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in codec.ids_of(pa.array(texts), 0) for i in range(len(bounds) - 1)]
+    assert got == want
+    assert sum(c.calls for c in counted) < 1000  # nearly all of 10,000 words are new
+
+
+def test_tokens_that_would_lie_across_words(tmp_path):
+    import pyarrow as pa
+    from tokenizers import models, pre_tokenizers
+
+    signs = sorted(pre_tokenizers.ByteLevel.alphabet())
+    merges = [("a", "\u0120"), ("b", ","), ("\u010a", "c"), ("a", "b")]
+    vocab = {t: i for i, t in enumerate([*signs, *(x + y for x, y in merges)])}
+    tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(path := str(tmp_path / "across.json"))
+    codec = PieceCodec(path, False)
+    for text in ("x ab a b", "x a b, ab, c", "x ab\nc a\ncb", "x ab cab"):
+        assert next(codec.ids_of(pa.array([text])))[1].tolist() == ids_of(path, text)
+
+
+def test_full_memory_changes_nothing(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("weftline.llm.tokens.MEMO_BYTES", 5000)
+    monkeypatch.setattr("weftline.llm.tokens.by_bytes", lambda texts: ((i, texts.slice(i, 7)) for i in range(0, len(texts), 7)))
+    rng = random.Random(4)
+    texts = ODD + [" ".join(rng.choice(["ab", "cd,", "\nef", f"w{rng.randint(0, 400)}", "".join(rng.choice("xyz") for _ in range(5))]) for _ in range(40)) for _ in range(60)]
+    for path, drops in ((WORDS, True), (BYTES, False)):
+        codec = PieceCodec(path, drops)
+        want = [[*e.ids, 7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):
+            got = [ids[bounds[i] : bounds[i + 1]].tolist() for _, ids, bounds in codec.ids_of(pa.array(texts), 7) for i in range(len(bounds) - 1)]
+            assert got == want
+            assert codec.most and len(codec.code) < 400
+
+
 def test_token_counts(odd_docs, odd_rows, no_docs):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd_docs, WORDS).collect())
     want = sorted((i is None, i or 0, len((t or "").encode()), n := len(ids_of(WORDS, t)), n > 2048) for i, t, _ in odd_rows)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ PLAIN = re.compile("[ \\t\\n\\r]+")
 
 #: A word of letters on which all engines agree (Latin, without the dotted capital I), perhaps with a mark after it:
 #: one or two pre-tokens, which the library's model can take without its pre-tokenizer.
-WORD = re.compile("([ \\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+WORD = re.compile(f"([ \\n]?)({LETTERS})([.,]?)")
+#: Such a word after white space, and how many of them the model takes at once.
+LED_RE2, JOINED = f"^[ \\n]{LETTERS}[.,]?$", 64
 
 #: Most bytes of text that are cut up at once, and of different pieces that a worker remembers, each with what it takes besides its characters.
 SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 48 << 20, 160
@@ -61,7 +65,7 @@ class PieceCodec:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -73,6 +77,15 @@ class PieceCodec:
         self.marks = {c: self.tokenizer.model.tokenize(self.alphabet[ord(c)])[0].id for c in ".,\n"}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids, which don't fit the 16 bits kept for each")
+        model = self.tokenizer.model
+        #: The model alone, if all that it makes of a word it makes of the word amid others, too.
+        self.bare: Tokenizer | None = None
+        if not drops_space and isinstance(model, models.BPE) and not (model.continuing_subword_prefix or model.end_of_word_suffix or model.dropout or model.ignore_merges):
+            self.bare = Tokenizer(model)
+        # which ids begin a word (a newline before it by itself alone, as the pre-tokenizer parts them), and which are a mark
+        self.leads, self.is_mark = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab(False).items() if t[:1] == self.alphabet[32] or t == self.alphabet[10]]] = True
+        self.is_mark[[self.marks["."], self.marks[","]]] = True
         self.clear()
 
     @classmethod
@@ -92,12 +105,27 @@ class PieceCodec:
         self.code: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
         self.used = self.filled = self.held = 0
-        #: How many pieces are kept, once the memory is full.
-        self.most: int | None = None
-        self.passing: list[str] = []
-
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces: simple words by the library's model, all others by its whole pipeline."""
+        #: How many pieces and ids are kept, once the memory is full.
+        self.most: tuple[int, int] | None = None
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Flat ids of words after white space and where each begins, from many at once; None if they can't be told apart.
+
+        A model merges neighbours by rank alone, so words next to each other don't change each other unless a token
+        lies across two of them or holds a mark and more: then fewer ids begin a word, or are a mark, than were given.
+        """
+        # spelled in the byte-level alphabet all at once; no word holds a tab
+        texts = "\t".join("".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED))
+        n_marks = texts.count(".") + texts.count(",")
+        spelled = texts.encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[9])
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)), np.uint16)
+        begins = np.flatnonzero(self.leads[ids])
+        if len(begins) != len(words) or np.count_nonzero(self.is_mark[ids]) != n_marks:
+            return None
+        return ids, begins
+
+    def _single(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces one by one: simple words by the library's model, all others by its whole pipeline."""
         found = [WORD.fullmatch(p) for p in pieces]
         others = [p for p, m in zip(pieces, found, strict=True) if m is None]
         rest = iter([e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else [])
@@ -124,61 +152,73 @@ class PieceCodec:
             out.append(ids)
         return out
 
+    def _store(self, at: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> None:
+        """Put ids into the pool; those of the piece with code ``at[i]`` begin at ``begins[i]``."""
+        while len(at) and at[-1] >= len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.starts[at], self.lengths[at] = self.used + begins, np.diff(begins, append=len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _add(self, pieces: list[str]) -> None:
-        """Encode pieces, some thousands at a time, and remember their ids."""
+        """Encode pieces, some thousands at a time; they get the next codes and are remembered while there is room."""
         for at in range(0, len(pieces), 8192):
             some = pieces[at : at + 8192]
-            encoded = self._ids(some)
-            sizes = np.fromiter(map(len, encoded), np.int64, len(some))
-            flat = np.fromiter((i for ids in encoded for i in ids), np.uint16, int(sizes.sum()))
-            while self.filled + len(some) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            here = slice(self.filled, self.filled + len(some))
-            self.starts[here], self.lengths[here] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.code.update(zip(some, range(self.filled, self.filled + len(some)), strict=True))
-            if self.most is not None:
-                self.passing += some
-            self.used, self.filled = self.used + len(flat), self.filled + len(some)
-            self.held += sum(map(len, some)) + PIECE_BYTES * len(some)
+            led = np.zeros(len(some), bool)
+            if self.bare is not None:
+                led = pc.match_substring_regex(pa.array(some, pa.string()), LED_RE2).to_numpy(zero_copy_only=False)
+                if led.any() and (found := self._joined([some[i] for i in np.flatnonzero(led).tolist()])):
+                    self._store(self.filled + np.flatnonzero(led), *found)
+                else:
+                    led[:] = False
+            encoded = self._single([some[i] for i in np.flatnonzero(~led).tolist()])
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            self._store(self.filled + np.flatnonzero(~led), np.fromiter(chain.from_iterable(encoded), np.uint16), np.cumsum(sizes) - sizes)
+            if self.most is None:
+                self.code.update(zip(some, range(self.filled, self.filled + len(some)), strict=True))
+                self.held += sum(map(len, some)) + PIECE_BYTES * len(some)
+            self.filled += len(some)
             if self.most is None and self.held > MEMO_BYTES:
-                self.most = self.filled
+                self.most = self.filled, self.used
 
     def _forget(self) -> None:
         """Drop what came after the memory was full; what came first is what recurs most."""
-        if self.passing:
-            for piece in self.passing:
-                del self.code[piece]
-            self.filled, self.used, self.passing = self.most, int(self.starts[self.most]), []
-
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        get = self.code.get
-        got = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        if self.most is not None:
+            self.filled, self.used = self.most
+
+    def _codes(self, pieces: pa.Array) -> np.ndarray:
+        """Codes of pieces that are all different."""
+        own = pieces.to_numpy(zero_copy_only=False).tolist()
+        got = np.fromiter(map(self.code.get, own, repeat(-1)), np.int64, len(own))
         if len(missing := np.flatnonzero(got < 0)):
-            self._add(list(dict.fromkeys(pieces[i] for i in missing)))
-            got[missing] = np.fromiter((get(pieces[i]) for i in missing), np.int64, len(missing))
+            got[missing] = self.filled + np.arange(len(missing))
+            self._add([own[i] for i in missing.tolist()])
         return got
 
+    def _codes_of(self, pieces: pa.Array) -> np.ndarray:
+        encoded = pieces.dictionary_encode()
+        return self._codes(encoded.dictionary)[encoded.indices.to_numpy()]
+
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the pieces of all texts, and the offsets at which each text's pieces begin."""
         if self.drops_space:
             split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-            flat = split.flatten().dictionary_encode()
-            return self._codes(flat.dictionary.to_pylist())[flat.indices.to_numpy()], _offsets(split)
+            return self._codes_of(split.flatten()), _offsets(split)
         plain = pc.invert(pc.match_substring_regex(texts, f"[ \\t\\n\\r][ \\t\\n\\r]|\\t|\\r|{ODD_RE2}"))
         if pc.all(plain).as_py() or not len(texts):
             split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
             offsets, flat = _offsets(split), split.flatten()
             encoded = flat.dictionary_encode()
-            codes = self._codes([w if w[:1] == "\n" else " " + w for w in encoded.dictionary.to_pylist()])[encoded.indices.to_numpy()]
-            first = flat.take(pa.array(offsets[:-1])).to_pylist()  # the only pieces without a space before them
-            codes[offsets[:-1]] = self._codes(first)
+            words = encoded.dictionary
+            led = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(" ", words, ""))
+            codes = self._codes(led)[encoded.indices.to_numpy()]
+            codes[offsets[:-1]] = self._codes_of(flat.take(pa.array(offsets[:-1])))  # the only pieces without a space before them
             return codes, offsets
         pieces = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts.to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        return self._codes([p for own in pieces for p in own]), offsets
+        return self._codes_of(pa.array([p for own in pieces for p in own], pa.string())), offsets
 
     def lengths_of(self, texts: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
@@ -194,13 +234,15 @@ class PieceCodec:
         """By slices: the first row, the flat ids (with ``end`` after each text) and the offsets of the rows."""
         for at, some in by_bytes(texts):
             codes, offsets = self._cut(some)
+            if end is not None:
+                # a piece more for each text, with the next code
+                self._store(np.array([self.filled]), np.array([end], np.uint16), np.array([0]))
+                codes, offsets = np.insert(codes, offsets[1:], self.filled), offsets + np.arange(len(offsets))
+                self.used -= 1
             sizes, starts = self.lengths[codes], self.starts[codes]
             before = np.cumsum(sizes) - sizes
             ids = self.pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-            bounds = np.concatenate([before, [len(ids)]])[offsets]
-            if end is not None:
-                ids = np.insert(ids, bounds[1:], end)
-                bounds = bounds + np.arange(len(bounds))
+            bounds = np.append(before, len(ids))[offsets]
             self._forget()
             yield at, ids, bounds
 
