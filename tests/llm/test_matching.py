@@ -195,6 +195,23 @@ def test_matching_equals_brute_force(errors):
         assert {matcher.items[k][0] for k, _, _, _ in matcher.find(text)} == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=60), st.text("abc ", max_size=80), st.integers(0, 12))
+def test_tiles_rule_out_no_match(pattern, text, most):
+    assert de.Pattern(pattern).near(text, most) or distance(pattern, text) > most
+
+
+def test_few_windows_need_a_distance(monkeypatch):
+    items = [(i, prose(30, 100 + i)) for i in range(20)]
+    calls, best = [], de.Pattern.best
+    monkeypatch.setattr(de.Pattern, "best", lambda *own: calls.append(0) or best(*own))
+    matcher = de.Matcher(items)
+    # a piece of an item each, amid other text made of the same words
+    pieces = [piece for _, n in matcher.items for _, piece in de.pieces(n)]
+    text = " ".join(f"{prose(30, 900 + k)} {piece}" for k, piece in enumerate(pieces))
+    assert not matcher.find(text) and len(calls) < len(pieces) / 5
+
+
 def test_items_glued_to_other_words_and_short_items():
     glued = de.Matcher([(1, "aa bb cc dd ee")], 0.08)
     assert [m[1] for m in glued.find("xxaa bb cx dd eeyy")] == [1]

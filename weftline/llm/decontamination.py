@@ -2,7 +2,8 @@
 
 An item that occurs in a text with at most ``e`` edits leaves at least one of any ``e + 1`` disjoint pieces of it
 intact. So each item is split into that many pieces, all pieces are looked for exactly in one pass of an Aho-Corasick
-automaton, and the text around each hit is verified by Myers' bit-parallel edit distance.
+automaton. Cut into tiles of a few characters, all but ``e`` of an item's tiles lie in the text around a hit, too; where
+they do, Myers' bit-parallel edit distance decides.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from weftline.llm.tokens import give_back
 ERRORS = 0.08
 #: Items, and their code points, that one broadcast holds at most; more items are taken in several such blocks.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8 << 20
+#: Characters of a tile.
+TILE = 4
 WORD = re.compile(r"[^\W_]+")
 LEAKS = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -43,14 +46,24 @@ def pieces(item: str, errors: float = ERRORS) -> list[tuple[int, str]]:
 
 
 class Pattern:
-    """An item for Myers' algorithm: the positions of each of its characters as bits."""
+    """An item for Myers' algorithm: the positions of each of its characters as bits, and its tiles."""
 
     def __init__(self, item: str):
         self.length = len(item)
+        self.tiles = [item[i : i + TILE] for i in range(0, len(item) - TILE + 1, TILE)]
         self.positions: dict[str, int] = {}
         for i, c in enumerate(item):
             self.positions[c] = self.positions.get(c, 0) | 1 << i
 
+    def near(self, text: str, most: int) -> bool:
+        """False only if ``best`` finds nothing: an edit spoils one tile at most, so all but ``most`` occur in ``text``."""
+        for tile in self.tiles:
+            if tile not in text:
+                most -= 1
+                if most < 0:
+                    return False
+        return True
+
     def best(self, text: str, most: int) -> tuple[int, int] | None:
         """The least distance of the pattern to any substring of ``text``, and where the first such ends; none over ``most``."""
         m = self.length
@@ -122,24 +135,18 @@ class Matcher:
                 elif most:
                     low = max(0, start - most)
                     window = n[low : start + length + most]
-                    # each edit touches two words at most, and what is around the item may be glued to its two ends
-                    if len(self.words(i) & set(window.split())) < len(self.words(i)) - 2 * most - 2:
-                        continue
-                    got = self.pattern(i).best(window, most if not known else known[1] - 1)
-                    if got:
+                    least = most if not known else known[1] - 1
+                    pattern = self.pattern(i)
+                    if pattern.near(window, least) and (got := pattern.best(window, least)):
                         end = low + got[1]
                         found[i] = (i, got[0], max(low, end - length), end)
                 if first and found:
                     return list(found.values())
         return list(found.values())
 
-    def words(self, i: int) -> frozenset[str]:
-        return self.pattern(i).words
-
     def pattern(self, i: int) -> Pattern:
         if (p := self.patterns.get(i)) is None:
             p = self.patterns[i] = Pattern(self.items[i][1])
-            p.words = frozenset(self.items[i][1].split())
         return p
 
 
