@@ -93,6 +93,23 @@ def test_tokens_that_would_lie_across_words(tmp_path):
         assert next(codec.ids_of(pa.array([text])))[1].tolist() == ids_of(path, text)
 
 
+def test_ids_take_little_room_besides_themselves():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    known = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 9))) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(known, k=300)) for _ in range(2000)])
+    codec = PieceCodec(BYTES, False)
+    list(codec.ids_of(texts, 0))
+    tracemalloc.start()
+    n = sum(len(ids) for _, ids, _ in codec.ids_of(texts, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * n
+
+
 def test_full_memory_changes_nothing(monkeypatch):
     import pyarrow as pa
 
@@ -164,6 +181,13 @@ def test_coding_round_trip(ids):
     assert table.decode(table.encode(np.array(ids))).tolist() == ids
 
 
+def test_a_block_is_coded_in_few_steps():
+    assert rans.BLOCK // rans.LANES <= 128  # each step costs some calls, however many lanes it has
+    ids = np.random.default_rng(2).integers(0, 50_000, rans.BLOCK)
+    block = rans.Table(rans.normalize(np.bincount(ids, minlength=1 << 16))).encode(ids)
+    assert len(block) < 2.15 * rans.BLOCK  # 15.6 bits of an id, and the states that are noted
+
+
 def test_coding_parts_checksums_and_bounds():
     rng = np.random.default_rng(1)
     ids = rng.zipf(1.4, rans.BLOCK) % 50_000

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 
 MAGIC = 0x31534E52
-BLOCK, LANES, STEPS = 1 << 17, 512, 128
+BLOCK, LANES, STEPS = 1 << 18, 2048, 64
 #: Bits of the frequencies' common total, and the least state.
 SCALE, LOW = 20, np.uint64(1 << 31)
 

@@ -31,6 +31,8 @@ LED_RE2, JOINED = f"^[ \\n]{LETTERS}[.,]?$", 64
 
 #: Most bytes of text that are cut up at once, and of different pieces that a worker remembers, each with what it takes besides its characters.
 SLICE_BYTES, MEMO_BYTES, PIECE_BYTES = 8 << 20, 48 << 20, 160
+#: Texts whose ids are put together at once.
+ROWS = 256
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -49,10 +51,16 @@ def by_bytes(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa
 def give_back() -> None:
     """Give back to the machine what this worker holds free from the work before: workers outlive stages, and the peak of
     one would stay theirs in the next."""
-    import ctypes
     import gc
 
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back what the allocators hold free."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
@@ -103,7 +111,7 @@ class PieceCodec:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
+        self.starts, self.lengths, self.pool = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint16)
         self.used = self.filled = self.held = 0
         #: How many pieces and ids are kept, once the memory is full.
         self.most: tuple[int, int] | None = None
@@ -191,7 +199,7 @@ class PieceCodec:
     def _codes(self, pieces: pa.Array) -> np.ndarray:
         """Codes of pieces that are all different."""
         own = pieces.to_numpy(zero_copy_only=False).tolist()
-        got = np.fromiter(map(self.code.get, own, repeat(-1)), np.int64, len(own))
+        got = np.fromiter(map(self.code.get, own, repeat(-1)), np.int32, len(own))
         if len(missing := np.flatnonzero(got < 0)):
             got[missing] = self.filled + np.arange(len(missing))
             self._add([own[i] for i in missing.tolist()])
@@ -225,7 +233,7 @@ class PieceCodec:
         out = np.zeros(len(texts), np.int64)
         for at, some in by_bytes(texts):
             codes, offsets = self._cut(some)
-            total = np.concatenate([[0], np.cumsum(self.lengths[codes])])
+            total = np.concatenate([[0], np.cumsum(self.lengths[codes], dtype=np.int64)])
             out[at : at + len(some)] = total[offsets[1:]] - total[offsets[:-1]]
             self._forget()
         return out
@@ -239,12 +247,21 @@ class PieceCodec:
                 self._store(np.array([self.filled]), np.array([end], np.uint16), np.array([0]))
                 codes, offsets = np.insert(codes, offsets[1:], self.filled), offsets + np.arange(len(offsets))
                 self.used -= 1
-            sizes, starts = self.lengths[codes], self.starts[codes]
-            before = np.cumsum(sizes) - sizes
-            ids = self.pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-            bounds = np.append(before, len(ids))[offsets]
+            bounds = np.zeros(len(offsets), np.int64)
+            flat = []
+            for row in range(0, len(some), ROWS):  # some texts at a time: places take several times the room of ids
+                own = offsets[row : row + ROWS + 1]
+                of = codes[own[0] : own[-1]]
+                sizes = self.lengths[of]
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                bounds[row : row + len(own)] = bounds[row] + ends[own - own[0]]
+                places = np.arange(ends[-1])
+                places += np.repeat(self.starts[of] - ends[:-1], sizes)
+                flat.append(self.pool[places])
+            del codes
             self._forget()
-            yield at, ids, bounds
+            trim()
+            yield at, np.concatenate(flat), bounds
 
 
 def _offsets(lists: pa.ListArray) -> np.ndarray:
