@@ -36,6 +36,18 @@ def test_stages_and_result(spark):
     assert len(known) >= 0.99 * len(texts) and len(single) < len(mild)
 
 
+def test_stages_begin_with_collected_heaps(spark, odd_docs):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = odd_docs.select("doc_id", "text", "lang", "source")
+    for _, stage in corpus_pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, SF)
+        assert full_collections() > before
+
+
 def test_each_stage_returns_documents(spark, odd_docs):
     docs = odd_docs.select("doc_id", "text", "lang", "source")
     for _, stage in corpus_pipeline.STAGES[:-1]:
