@@ -162,6 +162,25 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_plans_stay_short(spark, monkeypatch):
+    """What the driver holds of a step: plans that don't grow from step to step, and no step for what are stars already."""
+    from weftline.llm import components
+
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    steps = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, write=components.materialize: steps.append((name, leaves(df))) or write(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+    assert len(steps) > 6 and max(n for _, n in steps) <= 8, steps
+    steps.clear()
+    star = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51), (60, 60)], "a long, b long")
+    assert {r.node: r.component for r in connected_components(star).collect()} == dict.fromkeys(range(1, 40), 1) | {50: 50, 51: 50, 60: 60}
+    assert len(steps) == 2, steps
+    base = prose(80, 51)
+    docs = spark.createDataFrame([(i, edited(base, i, i % 3)) for i in range(20)], "doc_id long, text string")
+    assert leaves(nd.near_duplicates(docs)) <= 8
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(pattern, 1):

@@ -221,12 +221,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     compared = materialize(compare(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")), "compared")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("rep").alias("a"), F.col("other").alias("b"))).toDF("rep", "component")
-    numbered = classes.join(reps.select("rep", "least", "text_key"), "rep")
+    numbered = materialize(classes.join(reps.select("rep", "least", "text_key"), "rep"), "classes")
     heads = numbered.groupBy("component").agg(F.min(F.struct("least", "text_key")).alias("head"))
-    classes = classes.join(heads, "component").select("rep", "head")
+    classes = numbered.join(heads, "component").select("rep", "head")
     result = reps.join(links, "rep", "left").join(classes, "rep", "left")
     own = F.struct("least", "text_key")
+    # the look-up reads it three times, so it is written first, which keeps the driver's plan short
     result = result.select("set_key", F.col("copies").alias("n"), F.coalesce("head", own).alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    result = materialize(result, "results")
     # what has no words or no id is no part of a class of others, and isn't looked up
     others = found.where("set_key is null or doc_id is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_text"), F.lit(0).cast("long").alias("n_links"))
     return look_up(known, result, "set_key", found.count()).select("doc_id", "text_key", F.col("head.least").alias("class_id"), F.col("head.text_key").alias("class_text"), "n_links").unionByName(others)
