@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from weftline.functions import facts as fx
+from weftline.operators import resolve
+from weftline.sources import repository, source_lens
 
 
 def test_facts_are_held_a_piece_at_a_time():
@@ -12,3 +16,29 @@ def test_facts_are_held_a_piece_at_a_time():
 
 def test_the_shortest_span_holds_a_line():
     assert fx._holders([(1, 9, "Whole"), (2, 3, "Whole.b"), (2, 3, "Whole.a"), (9, 9, "last")]) == {**dict.fromkeys(range(1, 9), "Whole"), 2: "Whole.a", 3: "Whole.a", 9: "last"}
+
+
+def names_asked(spark, monkeypatch, n):
+    """The published names of a package whose index has ``n`` stars, and the rows of all steps that their resolution made."""
+    tree = {"package.json": '{"name": "shop", "main": "src/index.ts"}', "src/index.ts": "".join(f'export * from "./p{k}";\n' for k in range(n))}
+    tree |= {f"src/p{k}.ts": f"export class C{k} {{}}\nexport function f{k}() {{}}\n" for k in range(n)}
+    files = source_lens.files(spark.createDataFrame(list(tree.items()), "path string, content string"))
+    made, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df, name: made.append((name, out := write(df, name))) or out)
+    got = {tuple(r) for r in resolve.published_api(fx.extract(files), repository.packages(files)).collect()}
+    return got, sum(t.count() for name, t in made if name == "steps")
+
+
+def test_names_are_not_asked_of_every_star(spark, monkeypatch):
+    got, rows = names_asked(spark, monkeypatch, 12)
+    assert got == {(f"src/p{k}.ts", f"{c}{k}") for k in range(12) for c in "Cf"}
+    assert rows <= 2 * 24, "each of the 24 names has one star that knows it; every name at every star would be 288"
+
+
+def test_files_are_tried_for_the_bases_that_mean_them(spark):
+    paths = ["a/b.ts", "a/b.d.ts", "a/b.tsx", "a/b/index.ts", "a/b.js", "a/b/index.d.ts", "index.ts", "a.mts", "a/b.mjs", "c/index.jsx", "x.txt"]
+    bases = ["a/b", "a/b.js", "a/b.jsx", "a/b.ts", "a/b/index", "a", "", "a.mjs", "c", "x.txt", "a/b.mjs"]
+    want = {b: [p for p in spark.createDataFrame([(b,)], "b string").select(resolve.probes(F.col("b")).alias("p")).first().p if p in paths] for b in bases}
+    rows = resolve.tried(spark.createDataFrame([(p,) for p in paths], "target string")).where("way = 'script'").orderBy("base", "step").collect()
+    got = {b: list(dict.fromkeys(r.target for r in rows if r.base == b)) for b in bases}
+    assert got == {b: list(dict.fromkeys(p)) for b, p in want.items()} and any(len(p) > 2 for p in want.values())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.fixpoint import reachable
-from weftline.session import materialize
+from weftline.session import materialize, written
 from weftline.sources.repository import ancestors
 
 # fixed values: endings that are tried in turn, and modules that come with Node
@@ -109,16 +109,42 @@ def _read_configs(batches):
         yield pd.DataFrame(out, columns=["path", "parent", "base", "aliases"])
 
 
-def import_candidates(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """src, idx, rank, candidate, exact: the paths that an import may mean, whether there are such files or not."""
-    imports = imports_of(facts)
+def tried(files: DataFrame) -> DataFrame:
+    """way, base, step, target: by which bases ``files(target)`` can be meant, and how late a file is tried for such a base.
+
+    A base is what an import says, made a path: by the way ``script`` it stands for the paths that ``probes`` lists, by
+    ``python`` for a module or a package, by ``path`` for itself. This is the same relation seen from the files, which
+    have a few bases each, where an import has two dozen candidates.
+    """
+    p = F.col("target")
+    cut = lambda end, put="": F.when(F.endswith(p, F.lit(end)), F.concat(F.expr(f"left(target, length(target) - {len(end)})"), F.lit(put)))
+    siblings = [cut(ts, js) for js, own in SIBLINGS.items() for ts in own]
+    script = [*siblings, p, *(cut(e) for e in ENDINGS), *(cut(f"/index{e}") for e in ENDINGS)]
+    python = [cut(".py"), cut(".pyi"), cut("/__init__.py")]
+    ways = [("script", script), ("python", python), ("path", [p])]
+    rows = F.array(*(F.struct(F.lit(way).alias("way"), base.alias("base"), F.lit(k).alias("step")) for way, bases in ways for k, base in enumerate(bases)))
+    return files.select("target", F.explode(F.filter(rows, lambda r: r["base"].isNotNull())).alias("t")).select("t.way", "t.base", "t.step", "target")
+
+
+#: Places between two bases of one rank, more than any has steps, and the share of a rank that a place is.
+STEPS, PLACE = 32, 1e-6
+
+
+def import_bases(imports: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """src, idx, rank, way, base, exact: the bases (see ``tried``) that an import may mean, whether there are such files or not."""
+    near = _near(imports).select("src", "idx", F.lit(0.0).alias("rank"), "way", "base", F.lit(True).alias("exact"))
+    return near.unionAll(_far_bases(imports.where(~_is_near()), packages, configs))
+
+
+def _far_bases(imports: DataFrame, packages: DataFrame, configs: DataFrame | None) -> DataFrame:
+    """Those of the imports that may mean several."""
     key = ["src", "idx"]
     literal = imports.where("literal")
     script = literal.where("lang <> 'python'")
-    spec, own_folder = F.col("specifier"), folder(F.col("src"))
-    ranked = lambda array, first, exact: F.transform(array, lambda p, k: F.struct((k + first).alias("rank"), p.alias("candidate"), F.lit(exact).alias("exact")))
-    relative = script.where(spec.rlike(r"^\.{1,2}(/|$)|^/")).select(*key, F.explode(ranked(probes(join_path(F.when(F.startswith(spec, F.lit("/")), "").otherwise(own_folder), spec)), 0, True)).alias("c"))
-
+    spec = F.col("specifier")
+    one = lambda rank, way, base, exact: F.struct(rank.cast("double").alias("rank"), F.lit(way).alias("way"), base.alias("base"), F.lit(exact).alias("exact"))
+    ranked = lambda bases, first, exact, way="script": F.transform(bases, lambda b, k: one(F.lit(first) + k * (STEPS * PLACE), way, b, exact))
+    parts = []
     if configs is not None:
         # the nearest config decides; of its patterns the best that fits, and then its base folder
         holders = script.where(~spec.rlike(r"^\.{1,2}(/|$)|^/")).select(*key, "specifier", F.explode(ancestors(F.col("src"))).alias("a")).select(*key, "specifier", "a.*")
@@ -131,55 +157,72 @@ def import_candidates(facts: DataFrame, packages: DataFrame, configs: DataFrame
         best = matched.groupBy(*key, F.col("pattern").isNull().alias("plain")).agg(F.max_by(F.struct("pattern", "targets", "specifier"), "rank").alias("m")).select(*key, "plain", "m.*")
         put = F.when(F.col("plain"), F.transform("targets", lambda t: join_path(t, F.col("specifier")))).otherwise(F.transform("targets", lambda t: F.when(wild, F.replace(t, F.lit("*"), inner)).otherwise(t)))
         # ranks 50 and above: after relative paths, before packages
-        aliased = best.select(*key, "plain", F.flatten(F.transform(put, probes)).alias("tried")).select(*key, F.explode(F.transform("tried", lambda p, k: F.struct((F.when(F.col("plain"), 75).otherwise(50) + k / 10_000).cast("double").alias("rank"), p.alias("candidate"), F.lit(True).alias("exact")))).alias("c"))
-        relative = relative.select(*key, F.struct(F.col("c.rank").cast("double").alias("rank"), "c.candidate", "c.exact").alias("c")).unionAll(aliased)
+        parts.append(best.select(*key, F.explode(ranked(put, F.when(F.col("plain"), 75).otherwise(50), True)).alias("c")))
 
     named = packages.where("manifest = 'package.json'").select(F.col("path").alias("home"), F.col("name").alias("package"), "entries")
     workspace = script.where(~spec.rlike(r"^[./]")).withColumn("package", import_name(F.col("lang"), spec)).join(named, "package")
     rest = F.expr("substring(specifier, length(package) + 2)")
-    entry = F.flatten(F.transform("entries", lambda e: probes(join_path(F.col("home"), e))))
-    guess = F.flatten(F.transform("entries", lambda e: probes(join_path(F.col("home"), F.regexp_replace(F.regexp_replace(e, "(^|/)(dist|build|lib|out)/", "$1src/"), r"\.[cm]?jsx?$", "")))))
-    index = F.concat(probes(join_path(F.col("home"), F.lit("src"))), probes(F.col("home")))
-    inside = F.concat(ranked(probes(join_path(F.col("home"), rest)), 100, True), ranked(probes(join_path(F.col("home"), F.lit("src"), rest)), 200, False))
+    entry = F.transform("entries", lambda e: join_path(F.col("home"), e))
+    guess = F.transform("entries", lambda e: join_path(F.col("home"), F.regexp_replace(F.regexp_replace(e, "(^|/)(dist|build|lib|out)/", "$1src/"), r"\.[cm]?jsx?$", "")))
+    index = F.array(join_path(F.col("home"), F.lit("src")), F.col("home"))
+    inside = F.concat(ranked(F.array(join_path(F.col("home"), rest)), 100, True), ranked(F.array(join_path(F.col("home"), F.lit("src"), rest)), 200, False))
     whole = F.concat(ranked(entry, 100, True), ranked(guess, 300, False), ranked(index, 500, False))
-    workspace = workspace.select(*key, F.explode(F.when(rest == "", whole).otherwise(inside)).alias("c"))
+    parts.append(workspace.select(*key, F.explode(F.when(rest == "", whole).otherwise(inside)).alias("c")))
 
     python = literal.where("lang = 'python'").withColumn("module", F.replace(spec, F.lit("."), F.lit("/")))
-    files_of = lambda base: F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit(".pyi")), F.concat(base, F.lit("/__init__.py")))
-    up = F.concat(own_folder, F.repeat(F.lit("/.."), F.col("level") - 1))
-    dotted = python.where("level > 0").select(*key, F.explode(ranked(F.when(spec == "", F.array(join_path(up, F.lit("__init__.py")))).otherwise(files_of(join_path(up, F.col("module")))), 0, True)).alias("c"))
     homes = packages.select(F.col("path").alias("folder")).union(packages.sparkSession.createDataFrame([("",)], "folder string")).distinct()
     roots = python.where("level = 0").select(*key, "module", F.explode(ancestors(F.col("src"))).alias("a")).select(*key, "module", "a.*").join(homes, "folder")
-    base = lambda *parts: files_of(join_path(F.col("folder"), *parts, F.col("module")))
-    plain = roots.select(*key, F.explode(ranked(F.concat(base(), base(F.lit("src"))), F.lit(1000) - 10 * F.col("depth"), True)).alias("c"))
+    base = lambda *parts: join_path(F.col("folder"), *parts, F.col("module"))
+    parts.append(roots.select(*key, F.explode(ranked(F.array(base(), base(F.lit("src"))), F.lit(1000) - 10 * F.col("depth"), True, "python")).alias("c")))
+    return reduce(DataFrame.unionAll, (p.select(*key, "c.*") for p in parts))
+
+
+def _near(imports: DataFrame) -> DataFrame:
+    """The imports that can mean one base only, with its way: those of a script by a path, and those of Python with a level."""
+    spec, own_folder = F.col("specifier"), folder(F.col("src"))
+    up = F.concat(own_folder, F.repeat(F.lit("/.."), F.col("level") - 1))
+    script = join_path(F.when(F.startswith(spec, F.lit("/")), "").otherwise(own_folder), spec)
+    dotted = F.when(spec == "", join_path(up, F.lit("__init__.py"))).otherwise(join_path(up, F.replace(spec, F.lit("."), F.lit("/"))))
+    way = F.when(F.col("lang") != "python", "script").when(spec == "", "path").otherwise("python")
+    return imports.where(_is_near()).withColumns({"way": way, "base": F.when(F.col("lang") != "python", script).otherwise(dotted)})
+
 
-    return relative.select(*key, "c.*").unionAll(workspace.select(*key, "c.*")).unionAll(dotted.select(*key, "c.*")).unionAll(plain.select(*key, "c.*"))
+def _is_near() -> Column:
+    by_path = F.when(F.col("lang") != "python", F.col("specifier").rlike(r"^\.{1,2}(/|$)|^/")).otherwise(F.col("level") > 0)
+    return F.coalesce(F.col("literal") & by_path, F.lit(False))
 
 
 def resolve_imports(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """The imports with ``target`` (a file, or null), ``exact``, and for others ``external`` and ``declared``.
 
     Candidates are tried in the order of their ranks; what is only found by a guess at a package's layout isn't exact.
-    ``paths(path)`` are the files that there are, where ``facts`` has some of them only.
+    ``paths(path)`` are the files that there are, where ``facts`` has some of them only. Imports of one base meet the files
+    in one join; only the others are gathered by their ranks, and looked up among what is declared.
     """
     imports, key, spec = imports_of(facts), ["src", "idx"], F.col("specifier")
-    known = (facts if paths is None else paths).select(F.col("path").alias("target"))
-    candidates = import_candidates(facts, packages, configs)
-    hits = candidates.join(known, F.col("candidate") == F.col("target")).groupBy(*key).agg(F.min_by(F.struct("target", "exact"), "rank").alias("hit"))
-
-    outside = imports.withColumn("package", import_name(F.col("lang"), spec))
+    known = tried((facts if paths is None else paths).select(F.col("path").alias("target")))
+    first = known.groupBy("way", "base").agg(F.min_by("target", "step").alias("target"))
+    none = F.lit(None)
+    near = _near(imports).join(first, ["way", "base"], "left").select(*imports.columns, "target", F.lit(True).alias("found_exact"), none.cast("boolean").alias("declared"))
+
+    others = imports.where(~_is_near())
+    bases = _far_bases(others, packages, configs).join(first, ["way", "base"])
+    hits = bases.groupBy(*key).agg(F.min_by(F.struct("target", F.col("exact").alias("found_exact")), "rank").alias("hit")).select(*key, "hit.*")
+    outside = others.withColumn("package", import_name(F.col("lang"), spec))
     declared = packages.select(F.col("path").alias("folder"), F.explode("dependencies").alias("dependency"))
     wanted = F.when(F.col("lang") == "python", F.lower(F.regexp_replace("package", "[-_.]+", "-"))).otherwise(F.col("package"))
     stated = outside.select(*key, wanted.alias("dependency"), F.explode(ancestors(F.col("src"))).alias("a")).select(*key, "dependency", "a.folder").join(declared, ["folder", "dependency"], "left_semi").select(*key).distinct().withColumn("declared", F.lit(True))
+    far = others.join(hits, key, "left").join(stated, key, "left").select(*imports.columns, "target", "found_exact", "declared")
+
+    out = near.unionAll(far).withColumn("package", import_name(F.col("lang"), spec))
     builtin = F.when(F.col("lang") == "python", F.col("package").isin(*sorted(sys.stdlib_module_names))).otherwise(F.startswith(spec, F.lit("node:")) | F.col("package").isin(*NODE_MODULES))
     lost = ~F.col("literal") | (F.col("level") > 0) | ((F.col("lang") != "python") & spec.rlike(r"^[./#~]|^@/"))
     kind = F.when(lost, "unresolved").when(builtin, "builtin").otherwise("third_party")
-    out = outside.join(hits, key, "left").join(stated, key, "left")
-    none = F.col("hit").isNull()
+    none = F.col("target").isNull()
     return out.select(
         *imports.columns,
-        F.col("hit.target").alias("target"),
-        (F.coalesce("hit.exact", F.lit(True)) & (F.col("kind") != "importlib")).alias("exact"),
+        "target",
+        (F.coalesce("found_exact", F.lit(True)) & (F.col("kind") != "importlib")).alias("exact"),
         F.when(none, F.when(lost | (F.col("lang") == "python"), F.when(lost, spec).otherwise(F.col("package"))).otherwise(F.regexp_replace("package", "^node:", ""))).alias("external"),
         F.when(none, kind).alias("external_kind"),
         F.when(none & (kind == "third_party"), F.coalesce("declared", F.lit(False))).alias("declared"),
@@ -220,22 +263,46 @@ def aliases(facts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame
     return own, links, stars
 
 
-def resolve_names(requests: DataFrame, own: DataFrame, links: DataFrame, stars: DataFrame, facts: DataFrame) -> DataFrame:
+def kept_aliases(facts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``aliases`` gives, written once for all that reads it."""
+    return tuple(materialize(t, n) for t, n in zip(aliases(facts, resolved), ("definitions", "aliases", "stars"), strict=True))
+
+
+def submodules_of(facts: DataFrame) -> DataFrame:
+    """file, stem of the Python modules, by which a package's submodules are found."""
+    return facts.where("lang = 'python'").select(F.col("path").alias("file"), F.regexp_replace("path", r"(/__init__)?\.pyi?$", "").alias("stem"))
+
+
+def star_names(own: DataFrame, links: DataFrame, stars: DataFrame, facts: DataFrame) -> DataFrame:
+    """module, name, rank, to_module: the stars of a module that lead to one which may know a name, by that name.
+
+    A star that is not among these is settled as unknown. There are as many rows as names that pass through stars, not
+    a row for each name asked for and each star, which would be the square of a large index.
+    """
+    names = [t.select("module", "name") for t in (own, links)]
+    inner = submodules_of(facts).select(F.concat(F.regexp_replace("stem", "[^/]*$", ""), F.lit("__init__.py")).alias("module"), F.regexp_replace("stem", "^.*/", "").alias("name"))
+    led_to = stars.select(F.col("to_module").alias("module")).distinct()
+    names = reduce(DataFrame.unionAll, (t.join(led_to, "module", "left_semi") for t in [*names, inner]))
+    known = exported_names(names, names.limit(0), stars)
+    return materialize(stars.join(known.where("name <> 'default'").toDF("to_module", "name"), "to_module").select("module", "name", "rank", "to_module"), "star-names")
+
+
+def resolve_names(requests: DataFrame, own: DataFrame, links: DataFrame, starred: DataFrame, facts: DataFrame) -> DataFrame:
     """module, name, at_module, at_symbol for ``requests(module, name)``; at_symbol is null where a module is meant.
+    ``own`` and ``links`` are those of ``aliases``, ``starred`` is what ``star_names`` makes of them; each is read in every round.
 
     A module's own definition comes first, then its aliases, then its stars in order (never for ``default``), then for
     Python a submodule of that name. Requests spread until none is new. Then answers come back round by round: a name
     is settled once its link is, or once a star is answered and all stars before it are settled as unknown; what can
     no longer be settled, as cycles, is unknown. So of several stars the first in order that knows the name answers.
     """
-    own, links, stars = (materialize(t, n) for t, n in ((own, "definitions"), (links, "aliases"), (stars, "stars")))
-    submodule = facts.where("lang = 'python'").select(F.col("path").alias("file"), F.regexp_replace("path", r"(/__init__)?\.pyi?$", "").alias("stem"))
+    submodule = submodules_of(facts)
     asked = materialize(requests.select("module", "name").distinct(), "requests")
     everything, steps = asked, []
     while not asked.isEmpty():
         left = asked.where("name <> '*'").join(own, ["module", "name"], "left_anti")
         alias = left.join(links, ["module", "name"]).select("module", "name", "rank", "to_module", "to_name")
-        star = left.where("name <> 'default'").join(links, ["module", "name"], "left_anti").join(stars, "module").select("module", "name", "rank", "to_module", F.col("name").alias("to_name"))
+        star = left.where("name <> 'default'").join(links, ["module", "name"], "left_anti").join(starred, ["module", "name"]).select("module", "name", "rank", "to_module", F.col("name").alias("to_name"))
         step = materialize(alias.unionAll(star), "steps")
         steps.append(step)
         asked = materialize(step.where("to_module is not null").select(F.col("to_module").alias("module"), F.col("to_name").alias("name")).distinct().join(everything, ["module", "name"], "left_anti"), "requests")
@@ -281,7 +348,7 @@ def build_edges(facts: DataFrame, packages: DataFrame, configs: DataFrame | None
 
     Edges of test files are of kind tests, but for those to externals; an edge to a whole module is an import of it.
     """
-    facts = materialize(facts, "facts")
+    facts = written(facts, "facts")
     return edges_of(facts, materialize(resolve_imports(facts, packages, configs), "imports"))
 
 
@@ -292,7 +359,8 @@ def edges_of(facts: DataFrame, resolved: DataFrame, only: DataFrame | None = Non
     leads to through re-exports are followed.
     """
     everything = facts
-    own, links, stars = aliases(facts, resolved)
+    own, links, stars = kept_aliases(facts, resolved)
+    ways = star_names(own, links, stars, facts)
     if only is not None:
         only = F.broadcast(only) if only.count() <= MOST_BROADCAST else only
         facts = materialize(facts.join(only, "path", "left_semi"), "some-facts")
@@ -329,13 +397,13 @@ def edges_of(facts: DataFrame, resolved: DataFrame, only: DataFrame | None = Non
     for more in wanted[1:]:
         asked = asked.unionAll(more)
     asked = materialize(asked, "uses")
-    answers = resolve_names(asked.select(F.col("target").alias("module"), "name"), own, links, stars, everything)
+    answers = resolve_names(asked.select(F.col("target").alias("module"), "name"), own, links, ways, everything)
     found = asked.join(answers, (asked["target"] == answers["module"]) & (asked["name"] == answers["name"])).drop(answers["name"])
     # a use of a name that turns out to be a module is one of the module's names, or none
     through = F.col("use") & F.col("at_symbol").isNull()
     found = materialize(found.select("src", "line", "exact", "from", "kind", "use", "then", "at_module", "at_symbol"), "found")
     inner = found.where(through & F.col("then").isNotNull()).drop("at_symbol").withColumnRenamed("at_module", "module")
-    again = resolve_names(inner.select("module", F.col("then").alias("name")), own, links, stars, everything)
+    again = resolve_names(inner.select("module", F.col("then").alias("name")), own, links, ways, everything)
     inner = inner.join(again.withColumnRenamed("name", "then"), ["module", "then"]).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol")
     found = found.where(~through).select("src", "line", "exact", "from", "kind", "at_module", "at_symbol").unionAll(inner)
     to = F.concat_ws("#", "at_module", "at_symbol")
@@ -381,9 +449,10 @@ def published_api(facts: DataFrame, packages: DataFrame, configs: DataFrame | No
     Names and whole modules feed each other: a module's names are resolved, and those that turn out to be modules, as
     those of ``export * as`` or of Python's submodules, are marked in turn, each once, so cycles end.
     """
-    facts = materialize(facts, "facts")
+    facts = written(facts, "facts")
     resolved = materialize(resolve_imports(facts, packages, configs), "imports")
-    own, links, stars = aliases(facts, resolved)
+    own, links, stars = kept_aliases(facts, resolved)
+    ways = star_names(own, links, stars, facts)
     home = packages.where("published")
     index = F.concat(F.flatten(F.transform("entries", lambda e: F.concat(probes(join_path(F.col("path"), e)), probes(join_path(F.col("path"), F.regexp_replace(F.regexp_replace(e, "(^|/)(dist|build|lib|out)/", "$1src/"), r"\.[cm]?jsx?$", "")))))), probes(join_path(F.col("path"), F.lit("src"))), probes(F.col("path")))
     script = home.where("manifest = 'package.json'").select(F.explode(index).alias("module"))
@@ -397,7 +466,7 @@ def published_api(facts: DataFrame, packages: DataFrame, configs: DataFrame | No
     while not todo.isEmpty():
         marked.append(todo)
         asked = materialize(exported_names(seen_own, seen_links, stars, todo.withColumnRenamed("module", "id")).join(todo, "module", "left_semi"), "asked")
-        answers = materialize(resolve_names(asked, own, links, stars, facts).join(asked, ["module", "name"], "left_semi"), "answers")
+        answers = materialize(resolve_names(asked, own, links, ways, facts).join(asked, ["module", "name"], "left_semi"), "answers")
         symbols.append(answers.where("at_symbol is not null").select(F.col("at_module").alias("module"), F.col("at_symbol").alias("symbol")))
         # a name that is a whole module publishes all that this one shows
         whole = answers.where("at_symbol is null and at_module is not null").select(F.col("at_module").alias("module")).distinct()
@@ -439,7 +508,7 @@ class Built(NamedTuple):
 
 def build(facts: DataFrame, packages: DataFrame, configs: DataFrame | None = None) -> Built:
     """All of ``facts(path, content_hash, lang, is_test, facts)`` resolved."""
-    facts = materialize(facts, "facts")
+    facts = written(facts, "facts")
     imports = materialize(resolve_imports(facts, packages, configs), "imports")
     return Built(facts, imports, materialize(edges_of(facts, imports), "edges"), facts.select("path"))
 
@@ -453,7 +522,7 @@ def rebuild(before: Built, facts: DataFrame, packages: DataFrame, configs: DataF
     module, or it passes on names of a touched module. Names are resolved again in files with new contents or new
     imports and in those that import, or had an edge into, a touched module; all other edges stay as they were.
     """
-    after = materialize(facts, "facts")
+    after = written(facts, "facts")
     was, now = (b.select("path", "content_hash") for b in (before.facts, after))
     both = was.withColumnRenamed("content_hash", "was").join(now.withColumnRenamed("content_hash", "now"), "path", "full_outer")
     differ = materialize(both.where("not (was <=> now)"), "changes")
@@ -462,7 +531,7 @@ def rebuild(before: Built, facts: DataFrame, packages: DataFrame, configs: DataF
     if come_or_gone.isEmpty():
         moved = come_or_gone
     else:
-        moved = import_candidates(kept, packages, configs).join(_small(come_or_gone.select(F.col("path").alias("candidate"))), "candidate", "left_semi").select(F.col("src").alias("path")).distinct()
+        moved = import_bases(imports_of(kept), packages, configs).join(_small(tried(come_or_gone.select(F.col("path").alias("target")))), ["way", "base"], "left_semi").select(F.col("src").alias("path")).distinct()
     changed = materialize(differ.where("now is not null").select("path").union(moved).distinct(), "changed")
     again = materialize(resolve_imports(after.join(_small(changed), "path", "left_semi"), packages, configs, after.select("path")), "imports")
     gone = changed.union(differ.select("path")).distinct()
