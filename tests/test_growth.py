@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import facts as fx
-from weftline.operators import resolve
+from weftline.operators import fixpoint, resolve
 from weftline.sources import repository, source_lens
 
 
@@ -42,3 +45,40 @@ def test_files_are_tried_for_the_bases_that_mean_them(spark):
     rows = resolve.tried(spark.createDataFrame([(p,) for p in paths], "target string")).where("way = 'script'").orderBy("base", "step").collect()
     got = {b: list(dict.fromkeys(r.target for r in rows if r.base == b)) for b in bases}
     assert got == {b: list(dict.fromkeys(p)) for b, p in want.items()} and any(len(p) > 2 for p in want.values())
+
+
+@pytest.mark.parametrize("small_part", [1000, 6])
+def test_parts_of_a_graph_are_walked_apart(spark, monkeypatch, small_part):
+    """Random graphs beside each other with cycles, ends and chains between numbers; parts over the limit go by rounds."""
+    monkeypatch.setattr(fixpoint, "MANY", 1)
+    monkeypatch.setattr(fixpoint, "SMALL_PART", small_part)
+    rng = random.Random(5)
+    edges = {(100 * k + rng.randrange(12), 100 * k + rng.randrange(12)): rng.random() < 0.7 for k in range(6) for _ in range((4, 20)[k % 2])}
+    edges |= {(900, 903): True, (901, 903): True, (901, 905): False, (904, 905): True}
+    seen = {n: {n} for e in edges for n in e}
+    for a, b in [*edges] * 20:
+        seen[a] |= seen[b]
+        seen[b] |= seen[a]
+    rows = spark.createDataFrame([(a, b, e) for (a, b), e in edges.items()] + [(None, 1, True), (2, None, True)], "src long, dst long, exact boolean")
+    got = {r.id: r.part for r in fixpoint.parts(rows.where("src is not null and dst is not null")).collect()}
+    assert got == {n: min(s) for n, s in seen.items()}
+    targets = sorted(seen)
+    found = {(r.target, r.id): r.exact for r in fixpoint.dependents(rows, spark.createDataFrame([(t,) for t in targets], "target long")).collect()}
+    want = {}
+    for target in targets:
+        for only_exact in (False, True):
+            level, known = {target}, set()
+            while level:
+                level = {a for (a, b), e in edges.items() if b in level and (e or not only_exact) and a != target} - known
+                known |= level
+            want |= {(target, n): only_exact for n in known}
+    assert found == want and len(want) > 100
+
+
+def test_targets_of_one_part_share_rows(spark, monkeypatch):
+    """Ten stars of 20 with all their points as targets: a few rows a node, not one for each target."""
+    monkeypatch.setattr(fixpoint, "MANY", 1)
+    edges = [(1000 * k + i + 1, 1000 * k + i, True) for k in range(10) for i in range(20)]
+    deps = spark.createDataFrame(edges, "src long, dst long, exact boolean")
+    reach = fixpoint.reach(deps, fixpoint.direct(deps, deps.select(F.col("dst").alias("target"))))
+    assert reach.pairs().count() == 10 * 210 and reach.bits.count() <= 2 * 200
