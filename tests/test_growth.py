@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import facts as fx
-from weftline.operators import fixpoint, resolve
+from weftline.operators import components, fixpoint, resolve
 from weftline.sources import repository, source_lens
 
 
@@ -82,3 +82,12 @@ def test_targets_of_one_part_share_rows(spark, monkeypatch):
     deps = spark.createDataFrame(edges, "src long, dst long, exact boolean")
     reach = fixpoint.reach(deps, fixpoint.direct(deps, deps.select(F.col("dst").alias("target"))))
     assert reach.pairs().count() == 10 * 210 and reach.bits.count() <= 2 * 200
+
+
+def test_cycles_beside_each_other_are_found_at_once(spark, monkeypatch):
+    calls, reach = [], components.reachable
+    monkeypatch.setattr(components, "reachable", lambda *a: calls.append(1) or reach(*a))
+    edges = [(10 * k + a, 10 * k + b) for k in range(8) for a, b in ((1, 2), (2, 3), (3, 1), (3, 5), (5, 6), (6, 5))]
+    found = {r.component: (r.n_files, r.n_deps) for r in components.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {10 * k + 1: (3, 3) for k in range(8)} | {10 * k + 5: (2, 2) for k in range(8)}
+    assert len(calls) <= 4, "two rounds, not one for each of the eight graphs"
